@@ -74,18 +74,18 @@ def ideal_dcg(relevant: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def score_queries(hits: DataFrame) -> DataFrame:
-    """One row of metrics per query from its ranked hits.
+def score_queries(hits: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """One row of metrics per query (``keys``) from its ranked hits.
 
     Precision divides by what was retrieved, recall by all relevant index rows,
     average precision and the ideal gain by the smaller of the two.
     """
     running = (
-        Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     )
     relevant = F.col("relevant")
     found = hits.withColumn("running", F.sum("relevant").over(running))
-    grouped = found.groupBy("query_id").agg(
+    grouped = found.groupBy(*keys).agg(
         F.first("label").alias("label"),
         F.first("total_relevant").alias("total_relevant"),
         F.count(F.lit(1)).alias("retrieved"),
@@ -96,7 +96,7 @@ def score_queries(hits: DataFrame) -> DataFrame:
     )
     ideal = F.least("total_relevant", "retrieved")
     return grouped.select(
-        "query_id",
+        *keys,
         "label",
         (F.col("found") / F.col("retrieved")).alias("precision_at_k"),
         (F.col("found") / F.col("total_relevant")).alias("recall_at_k"),
