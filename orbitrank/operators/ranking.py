@@ -15,18 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-VALUE_BUCKETS = 256
-
+from orbitrank.operators.frames import null_safe_join
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
-    """Equi-join on ``keys`` treating NULL as a value; keeps the left keys."""
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__{key}")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(renamed[f"__{key}"])
-    return left.join(renamed, condition, how).drop(*[f"__{key}" for key in keys])
+VALUE_BUCKETS = 256
 
 
 def bucketed_rank(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbitrank.functions.hashing import hashed_order
-from orbitrank.operators.ranking import bucketed_rank, hashed_rank, null_safe_join
+from orbitrank.operators.frames import null_safe_join
+from orbitrank.operators.ranking import bucketed_rank, hashed_rank
 
 
 def query_quota(size: Column, fraction: float) -> Column:

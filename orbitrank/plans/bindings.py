@@ -209,3 +209,156 @@ located AS (
   SELECT *, CAST({SQL_LON} AS DOUBLE) AS longitude, CAST({SQL_LAT} AS DOUBLE) AS latitude FROM store),
 placed AS (
   SELECT *, {sql_cell('longitude', 'latitude', '2000000.0')} AS spatial_group FROM located)"""
+
+
+# ---- multi-label relevance --------------------------------------------------
+
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label sets per item; query rows alternate development and final, some unlabeled."""
+    items = store(spark, sf_dir).select("item_id", "position", "split").join(
+        read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), F.col("label").alias("n")),
+        "position",
+    )
+    p = F.col("position")
+    second = ((F.col("n") + p % 3) % 10).cast("string")
+    labels = F.array_sort(F.array_distinct(F.array(F.col("n").cast("string"), second)))
+    partition = F.when(F.col("split") == "index", "index").otherwise(
+        F.when(p % 2 == 0, "development").otherwise("final")
+    )
+    none = (F.col("split") == "query") & (p % 31 == 4)
+    return items.select(
+        "item_id",
+        F.when(none, F.array().cast("array<string>")).otherwise(labels).alias("labels"),
+        partition.alias("partition"),
+    )
+
+
+SQL_RELEVANCE = """
+relevance AS (
+  SELECT s.item_id, s.position, s.e,
+    CASE WHEN s.split = 'query' AND s.position % 31 = 4 THEN [] ELSE list_sort(list_distinct(
+      [CAST(m.label AS VARCHAR), CAST((m.label + m.vec_id % 3) % 10 AS VARCHAR)])) END AS labels,
+    CASE WHEN s.split = 'index' THEN 'index' WHEN s.position % 2 = 0 THEN 'development' ELSE 'final' END AS "partition"
+  FROM store s JOIN embeddings m ON m.vec_id = s.position)"""
+
+
+# ---- benchmark candidates ---------------------------------------------------
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Georeferenced candidates from orders: priority is the class."""
+    key = F.col("o_orderkey")
+    lon = F.lit(5.0) + F.pmod(key * 7919, F.lit(9973)) / 1000.0
+    lat = F.lit(45.0) + F.pmod(key * 4729, F.lit(9967)) / 1000.0
+    return read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("m"), key.cast("string")).alias("member"),
+        F.col("o_orderpriority").alias("label"),
+        lon.alias("longitude"),
+        lat.alias("latitude"),
+        geo.lonlat_cell(lon, lat).alias("spatial_group"),
+        key.alias("key"),
+    )
+
+
+def used_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).filter(F.col("key") % 97 == 5).select(
+        "member", "longitude", "latitude"
+    )
+
+
+SQL_CANDIDATES = f"""
+located_orders AS (
+  SELECT 'm' || CAST(o_orderkey AS VARCHAR) AS member, o_orderpriority AS label, o_orderkey AS key,
+    CAST(5.0 + ((o_orderkey * 7919) % 9973) / 1000.0 AS DOUBLE) AS longitude,
+    CAST(45.0 + ((o_orderkey * 4729) % 9967) / 1000.0 AS DOUBLE) AS latitude FROM orders),
+candidates AS (SELECT *, {sql_cell('longitude', 'latitude')} AS spatial_group FROM located_orders),
+used AS (SELECT * FROM candidates WHERE key % 97 = 5)"""
+
+
+# ---- patch metadata and footprints -----------------------------------------
+
+def raw_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patch metadata rows from orders, repeats included."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    letter = F.when(cust % 2 == 0, "U").otherwise("T")
+    tile = F.concat(F.lpad((29 + cust % 8).cast("string"), 2, "0"), letter, F.lit("UP"))
+    patch = F.concat(
+        F.lit("S2A_MSIL2A_"), F.date_format("o_orderdate", "yyyyMMdd"),
+        F.lit("T101031_N9999_R022_T"), tile, F.lit("_"),
+        F.lpad((cust % 100).cast("string"), 2, "0"), F.lit("_"),
+        F.lpad((key % 100).cast("string"), 2, "0"),
+    )
+    split = F.element_at(
+        F.create_map(F.lit("F"), F.lit("train"), F.lit("O"), F.lit("test"), F.lit("P"), F.lit("validation")),
+        F.col("o_orderstatus"),
+    )
+    return read(spark, sf_dir, "orders").select(
+        patch.alias("patch_id"),
+        F.array(F.col("o_orderpriority"), F.concat(F.lit("class-"), (cust % 6).cast("string"))).alias("labels"),
+        split.alias("split"),
+        F.concat(F.lit("NATION_"), (cust % 25).cast("string")).alias("country"),
+        F.concat(F.lit("S1_"), key.cast("string")).alias("s1_name"),
+        F.concat(F.lit("S2_"), key.cast("string")).alias("s2v1_name"),
+        (key % 53 == 0).alias("contains_seasonal_snow"),
+        (key % 47 == 0).alias("contains_cloud_or_shadow"),
+        key.alias("key"),
+    )
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metadata row per patch id: the earliest order wins."""
+    rows = raw_patches(spark, sf_dir)
+    first = rows.groupBy("patch_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "patch_id"]), "key").alias("r"))
+    return first.select("patch_id", "r.*")
+
+
+def footprints(rows: DataFrame) -> DataFrame:
+    """Native UTM square of every patch id, from its tile, row and column."""
+    parts = F.split("patch_id", "_")
+    tile = F.substring(parts[5], 2, 5)
+    left = 300_000.0 + parts[6].cast("int") * 4_000.0
+    base = F.when(F.substring(tile, 3, 1) == "U", 5_400_000.0).otherwise(4_500_000.0)
+    bottom = base + parts[7].cast("int") * 4_000.0
+    return rows.select(
+        "patch_id", geo.mgrs_epsg(tile).alias("epsg"),
+        left.alias("left"), bottom.alias("bottom"),
+        (left + 1_200.0).alias("right"), (bottom + 1_200.0).alias("top"),
+    )
+
+
+def sql_utm(epsg: str, x: str, y: str) -> tuple[str, str]:
+    """The transverse Mercator inverse as SQL text (northern zones)."""
+    radius, beta, delta = geo.utm_inverse_coefficients()
+    xi, eta = f"(({y}) / {geo.UTM_SCALE * radius!r})", f"((({x}) - 500000.0) / {geo.UTM_SCALE * radius!r})"
+    xip, etap = xi, eta
+    for j, b in enumerate(beta, start=1):
+        xip += f" - {b!r} * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})"
+        etap += f" - {b!r} * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})"
+    chi = f"asin(sin({xip}) / cosh({etap}))"
+    lat = chi + "".join(f" + {d!r} * sin({2 * j} * {chi})" for j, d in enumerate(delta, start=1))
+    lon = f"(({epsg}) % 100) * 6 - 183 + degrees(atan2(sinh({etap}), cos({xip})))"
+    return lon, f"degrees({lat})"
+
+
+_UTM_LON, _UTM_LAT = sql_utm("epsg", "(\"left\" + \"right\") / 2", "(bottom + top) / 2")
+SQL_RAW_PATCHES = """
+raw_patches AS (
+  SELECT 'S2A_MSIL2A_' || strftime(o_orderdate, '%Y%m%d') || 'T101031_N9999_R022_T' ||
+      lpad(CAST(29 + o_custkey % 8 AS VARCHAR), 2, '0') || CASE WHEN o_custkey % 2 = 0 THEN 'U' ELSE 'T' END || 'UP_' ||
+      lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || '_' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS patch_id,
+    [o_orderpriority, 'class-' || CAST(o_custkey % 6 AS VARCHAR)] AS labels,
+    CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'test' WHEN 'P' THEN 'validation' END AS split,
+    'NATION_' || CAST(o_custkey % 25 AS VARCHAR) AS country, 'S1_' || CAST(o_orderkey AS VARCHAR) AS s1_name,
+    'S2_' || CAST(o_orderkey AS VARCHAR) AS s2v1_name, o_orderkey % 53 = 0 AS contains_seasonal_snow,
+    o_orderkey % 47 = 0 AS contains_cloud_or_shadow, o_orderkey AS key,
+    CAST(o_orderdate AS DATE) AS day FROM orders)"""
+SQL_PATCHES = SQL_RAW_PATCHES + """,
+patches AS (SELECT * FROM raw_patches QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY key) = 1)"""
+SQL_FOOTPRINTS = SQL_PATCHES + f""",
+fp0 AS (SELECT patch_id, split_part(patch_id, '_', 6)[2:6] AS tile, CAST(split_part(patch_id, '_', 7) AS INTEGER) AS rr,
+  CAST(split_part(patch_id, '_', 8) AS INTEGER) AS cc FROM patches),
+fp AS (SELECT patch_id, CAST(CASE WHEN tile[3] >= 'N' THEN 32600 ELSE 32700 END + CAST(tile[1:2] AS INTEGER) AS INTEGER) AS epsg,
+  CAST(300000.0 + rr * 4000.0 AS DOUBLE) AS "left",
+  CAST(CASE WHEN tile[3] = 'U' THEN 5400000.0 ELSE 4500000.0 END + cc * 4000.0 AS DOUBLE) AS bottom FROM fp0),
+fp2 AS (SELECT *, "left" + 1200.0 AS "right", bottom + 1200.0 AS top FROM fp),
+fp3 AS (SELECT *, {_UTM_LON} AS longitude, {_UTM_LAT} AS latitude FROM fp2),
+footprints AS (SELECT *, {sql_cell('longitude', 'latitude')} AS spatial_group FROM fp3)"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitrank.functions import vectors
@@ -11,26 +10,10 @@ from orbitrank.operators.splits import hash_split
 from orbitrank.plans.bindings import (
     K, SQL_SCORED, SQL_STORE, base_items, read, sql_hits, store, with_sql,
 )
+from orbitrank.plans.registry import Registry, rounded
 
-QUERIES = {}
-ORACLES = {}
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, as results are exported."""
-    return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    )
-
-
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-    return add
-
+REGISTRY = Registry()
+QUERIES, ORACLES, register = REGISTRY.queries, REGISTRY.oracles, REGISTRY.add
 
 _STORE_HITS = with_sql(SQL_STORE, sql_hits())
 _STORE_SCORED = with_sql(SQL_STORE, sql_hits(), SQL_SCORED)

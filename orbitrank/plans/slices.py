@@ -13,19 +13,11 @@ from orbitrank.plans.bindings import (
     K, SQL_GEOGRAPHY, SQL_SCORED, SQL_STORE, SQL_STORES, flipped_vector, geography, saved,
     sql_haversine, sql_hits, store, stores, with_sql,
 )
-from orbitrank.plans.retrieval import _MEANS, rounded
+from orbitrank.plans.registry import Registry, rounded
+from orbitrank.plans.retrieval import _MEANS
 
-QUERIES = {}
-ORACLES = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-    return add
+REGISTRY = Registry()
+QUERIES, ORACLES, register = REGISTRY.queries, REGISTRY.oracles, REGISTRY.add
 
 
 NAMES = ["full", "half", "sparse"]
