@@ -213,7 +213,7 @@ def allocate_cells(
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         return _greedy_cells(pdf, wanted, minimum, fewest_cells, size)
 
-    return table.groupBy(F.lit(0)).applyInPandas(
+    return table.withColumn("scope", F.lit("all")).groupBy("scope").applyInPandas(
         greedy, "spatial_group string, cell_order string, n bigint"
     )
 
@@ -302,7 +302,7 @@ def _label_top_up(
             added = pd.concat([added, fresh])
         return added[["patch_id"]]
 
-    return table.groupBy(F.lit(0)).applyInPandas(top_up, "patch_id string")
+    return table.withColumn("scope", F.lit("all")).groupBy("scope").applyInPandas(top_up, "patch_id string")
 
 
 def fill_partition(

@@ -362,3 +362,39 @@ fp AS (SELECT patch_id, CAST(CASE WHEN tile[3] >= 'N' THEN 32600 ELSE 32700 END
 fp2 AS (SELECT *, "left" + 1200.0 AS "right", bottom + 1200.0 AS top FROM fp),
 fp3 AS (SELECT *, {_UTM_LON} AS longitude, {_UTM_LAT} AS latitude FROM fp2),
 footprints AS (SELECT *, {sql_cell('longitude', 'latitude')} AS spatial_group FROM fp3)"""
+
+
+# ---- places and acquisitions ------------------------------------------------
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("bigint") * 1000
+    lon, lat = lonlat(key)
+    return read(spark, sf_dir, "nation").select(
+        F.lower("n_name").alias("place_id"), lon.alias("longitude"), lat.alias("latitude"),
+        F.col("n_nationkey").cast("bigint").alias("key"),
+    )
+
+
+def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue items of a place: one per order, with a cloud share that may be missing."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    return read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("nation_"), (cust % 25).cast("string")).alias("place_id"),
+        F.lpad(key.cast("string"), 10, "0").alias("item_id"),
+        F.when(key % 613 != 0, F.col("o_orderdate")).alias("datetime"),
+        F.when(key % 41 != 0, F.floor(F.col("o_totalprice") % 100).cast("double")).alias("cloud"),
+        key.alias("key"),
+    )
+
+
+SQL_PLACES = """
+places AS (SELECT lower(n_name) AS place_id, n_nationkey AS key,
+  CAST(((CAST(n_nationkey AS BIGINT) * 1000 * 7919) % 36000) / 100.0 - 180.0 AS DOUBLE) AS longitude,
+  CAST(((CAST(n_nationkey AS BIGINT) * 1000 * 4729) % 14000) / 100.0 - 70.0 AS DOUBLE) AS latitude FROM nation)"""
+SQL_ACQUISITIONS = """
+acq AS (SELECT 'nation_' || CAST(o_custkey % 25 AS VARCHAR) AS place_id, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS item_id,
+  CASE WHEN o_orderkey % 613 <> 0 THEN o_orderdate END AS datetime, o_orderkey AS key,
+  CASE WHEN o_orderkey % 41 <> 0 THEN CAST(floor(o_totalprice % 100) AS DOUBLE) END AS cloud FROM orders),
+dayed AS (SELECT *, coalesce(strftime(datetime, '%Y-%m-%d'), 'unknown') AS acquisition_day FROM acq),
+obs AS (SELECT *, count(*) OVER (PARTITION BY place_id, acquisition_day) AS items_that_day FROM dayed
+  QUALIFY row_number() OVER (PARTITION BY place_id, acquisition_day ORDER BY coalesce(cloud, 1e300), datetime NULLS FIRST, item_id) = 1)"""
