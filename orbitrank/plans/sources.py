@@ -643,7 +643,7 @@ def q_mask(spark, sf_dir):
 
 @register(
     "reflectance",
-    with_sql(SQL_STRIPS) + """SELECT item_id, round(sum(red * 0.0001 + CASE WHEN item_id % 3 = 0 THEN 0.0 ELSE -0.1 END), 6) AS total FROM px GROUP BY item_id""",
+    with_sql(SQL_STRIPS) + """SELECT item_id, round(sum(CAST(red * 0.0001 + CASE WHEN item_id % 3 = 0 THEN 0.0 ELSE -0.1 END AS DOUBLE)), 6) AS total FROM px GROUP BY item_id""",
 )
 def q_reflectance(spark, sf_dir):
     baseline = F.when(F.col("item_id") % 3 == 0, "03.01").when(F.col("item_id") % 3 == 1, "04.00").otherwise("05.10")

@@ -23,7 +23,11 @@ failures struct<count: bigint>
 
 def keyed(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """One row holding a map from key to value; for keys bounded by the number of stores."""
-    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value)))).alias(name))
+    entries = F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value")))
+    by_key = F.array_sort(
+        entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    )
+    return df.agg(F.map_from_entries(by_key).alias(name))
 
 
 def report_document(sections: DataFrame) -> DataFrame:
