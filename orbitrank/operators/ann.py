@@ -28,11 +28,12 @@ def _chunked(df: DataFrame, key: str, sizes: DataFrame, mine: str, other: str, o
 
 
 def cell_topk(
-    probes: DataFrame, index: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS, exclude_self: bool = True
+    probes: DataFrame, index: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS,
+    exclude_self: bool = True, overlapping: bool = False,
 ) -> DataFrame:
     """Exact top-k among the index rows of each query's probed cells.
 
-    Both sides carry ``cell``. A crowded cell is cut into chunks on both sides, so
+    ``overlapping`` says an index row may lie in several cells. Both sides carry ``cell``. A crowded cell is cut into chunks on both sides, so
     no group exceeds a chunk however skewed the cells are.
     """
     def chunks(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +43,9 @@ def cell_topk(
     left = _chunked(probes, "query_id", sizes, "n_row", "n_col", "row", "col")
     right = _chunked(index, "item_id", sizes, "n_col", "n_row", "col", "row")
     partial = keyed_topk(left, right, ["cell", "row", "col"], k, exclude_self)
-    return merge_best(partial.dropDuplicates(["query_id", "item_id"]), k)
+    if overlapping:
+        partial = partial.dropDuplicates(["query_id", "item_id"])
+    return merge_best(partial, k)
 
 
 class CellIndex:
@@ -117,7 +120,7 @@ def hyperplane_topk(
         ]
         return df.withColumn("cell", F.explode(F.array(*found)))
 
-    return cell_topk(bucketed(queries.select("query_id", "vector")), bucketed(index), k)
+    return cell_topk(bucketed(queries.select("query_id", "vector")), bucketed(index), k, overlapping=True)
 
 
 def sweep(

@@ -16,7 +16,8 @@ from orbitrank.session import cut_lineage
 
 # Distinct reference points are shipped to the tasks only up to this count.
 SHIPPED_POINTS = 50_000
-_PAIRS_PER_BLOCK = 4_000_000
+_PAIRS_PER_BLOCK = 2_000_000
+_COSINE_SLACK = 4e-15
 
 # Larger sides meet through cubes around the unit sphere, halved level by level.
 _FIRST_LEVEL = 3
@@ -24,17 +25,34 @@ _LAST_LEVEL = 20
 _LEAF_POINTS = 32
 
 
+def _unit(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Points on the unit sphere, one row each."""
+    flat = np.cos(lat)
+    return np.column_stack([flat * np.cos(lon), flat * np.sin(lon), np.sin(lat)])
+
+
 def _block_nearest(lon: np.ndarray, lat: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Metres from each point to the nearest reference point.
+
+    One matrix product finds the reference points that could be nearest; rounding
+    makes it blind below ``_COSINE_SLACK``, so every one inside that slack is
+    measured by the haversine formula.
+    """
     out = np.empty(len(lon))
     step = max(1, _PAIRS_PER_BLOCK // max(1, len(ref)))
     ref_lon, ref_lat = np.radians(ref[:, 0]), np.radians(ref[:, 1])
     lon, lat = np.radians(lon), np.radians(lat)
+    left, right = _unit(lon, lat), _unit(ref_lon, ref_lat).T
     for start in range(0, len(lon), step):
-        rows = slice(start, start + step)
-        a = np.sin((ref_lat[None, :] - lat[rows, None]) / 2) ** 2
-        b = np.sin((ref_lon[None, :] - lon[rows, None]) / 2) ** 2
-        h = a + np.cos(lat[rows, None]) * np.cos(ref_lat[None, :]) * b
-        out[rows] = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(h.min(axis=1), 0, 1)))
+        cosines = left[start : start + step] @ right
+        row, col = np.nonzero(cosines >= cosines.max(axis=1, keepdims=True) - _COSINE_SLACK)
+        at = row + start
+        h = np.sin((ref_lat[col] - lat[at]) / 2) ** 2 + (
+            np.cos(lat[at]) * np.cos(ref_lat[col]) * np.sin((ref_lon[col] - lon[at]) / 2) ** 2
+        )
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        closest = np.minimum.reduceat(h, starts)
+        out[start : start + len(closest)] = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(closest, 0, 1)))
     return out
 
 

@@ -60,20 +60,20 @@ def hashed_rank(
 ) -> DataFrame:
     """Rank by a hex digest inside ``groups``.
 
-    The first four hex digits are uniform, so they are 65,536 even buckets.
+    The first three hex digits are uniform, so they are 4,096 even buckets.
     """
-    bucketed = df.withColumn("__bucket", F.substring(hash_col, 1, 4))
+    bucketed = df.withColumn("__bucket", F.substring(hash_col, 1, 3))
     return bucketed_rank(bucketed, groups, "__bucket", [hash_col, *ties], rank, size).drop("__bucket")
 
 
-def _value_buckets(values: DataFrame, value: str) -> DataFrame:
-    """Add ``__bucket``, an even split of the distinct values.
+def _value_buckets(values: DataFrame, value: str, seen: DataFrame) -> DataFrame:
+    """Add ``__bucket``, a roughly even split of the values of ``seen``.
 
     The split points are read once and become literals, so a recomputed task
     sees the same buckets. They decide balance only, never a result.
     """
     share = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    found = sorted(set(values.approxQuantile(value, share, 0.002)))
+    found = sorted(set(seen.approxQuantile(value, share, 0.002)))
     splits = [float("-inf"), *found, float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol=value, outputCol="__bucket")
     return bucketizer.transform(values)
@@ -86,7 +86,7 @@ def running_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
     of all rows costs one row.
     """
     distinct = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    bucketed = _value_buckets(distinct, value)
+    bucketed = _value_buckets(distinct, value, df)
     sums = bucketed.groupBy(*groups, "__bucket").agg(F.sum("n").alias("__n"))
     over_group = Window.partitionBy(*groups)
     earlier = over_group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +151,7 @@ def value_rank(
     counts = running_counts(df, groups, value).select(
         *groups, value, F.col("below").alias("__below"), "total"
     )
-    ranges = _value_buckets(df, position).withColumnRenamed("__bucket", "__range")
+    ranges = _value_buckets(df, position, df).withColumnRenamed("__bucket", "__range")
     tied = bucketed_rank(
         ranges, [*groups, value], "__range", [position], rank="__tie", size="__ties"
     )

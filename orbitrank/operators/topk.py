@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # Queries are shipped whole only below this many bytes; above it both sides are
-# cut into chunks of CHUNK_ROWS and meet in a grid of equi-joined groups.
+# cut into chunks of about CHUNK_BYTES and meet in a grid of equi-joined groups.
 SHIPPED_QUERY_BYTES = 64 * 1024 * 1024
+CHUNK_BYTES = 32 * 1024 * 1024
 CHUNK_ROWS = 16_384
 _QUERY_SLICE = 1_024
 _INDEX_SLICE = 8_192
@@ -198,7 +199,10 @@ def shipped_topk(
                 _offer_batch(running, matrix, batch, exclude_self)
         yield from running.table().to_batches()
 
-    return merge_best(right.mapInArrow(score, PARTIAL_SCHEMA), k)
+    # Each task returns k rows per query, so a huge index is scanned by a few tasks
+    # per core rather than one per file split. This narrows without a shuffle.
+    tasks = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    return merge_best(right.coalesce(tasks).mapInArrow(score, PARTIAL_SCHEMA), k)
 
 
 def exact_topk(
@@ -218,4 +222,5 @@ def exact_topk(
     ).first()
     if measured["n"] * max(measured["d"], 1) * 8 <= shipped_bytes:
         return shipped_topk(queries, index, k, exclude_self)
-    return grid_topk(queries, index, measured["n"], index.count(), k, exclude_self)
+    rows = max(k, CHUNK_BYTES // (8 * measured["d"]))
+    return grid_topk(queries, index, measured["n"], index.count(), k, exclude_self, rows)

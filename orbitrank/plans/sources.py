@@ -356,19 +356,28 @@ def q_catalog(spark, sf_dir):
     return checks.catalog_violations(known, rows)
 
 
+def source_meta(spark, sf_dir) -> DataFrame:
+    """One described store per document source."""
+    return read(spark, sf_dir, "documents").groupBy(F.col("source").alias("store")).agg(
+        F.sha2(F.max("text"), 256).alias("manifest_sha256"),
+        (F.count(F.lit(1)) % 7 + 8).cast("int").alias("image_size"),
+        (F.sum("n_chars") % 5 + 16).cast("int").alias("dimension"),
+    )
+
+
 @register(
     "projection_bind",
-    """SELECT * FROM (VALUES ('manifest_hash_differs', 'full'), ('image_size_differs', 'half'), ('dimension_differs', 'half'), ('manifest_hash_differs', 'sparse')) v(rule, key)""",
+    """WITH m AS (SELECT source AS store, sha256(max(text)) AS h, count(*) % 7 + 8 AS s, CAST(sum(n_chars) % 5 + 16 AS INTEGER) AS d FROM documents GROUP BY source)
+SELECT 'manifest_hash_differs' AS rule, store AS key FROM m WHERE h[1:1] < '8'
+UNION ALL SELECT 'image_size_differs', store FROM m WHERE s > 10 UNION ALL SELECT 'dimension_differs', store FROM m WHERE d = 17""",
 )
 def q_projection_bind(spark, sf_dir):
-    stored = meta(spark, sf_dir)
+    stored = source_meta(spark, sf_dir)
     fitted = stored.select(
-        "store", F.lower("manifest_sha256").alias("h"), "image_size", "dimension"
-    ).select(
         "store",
-        F.when(F.col("store") == "sparse", "other").otherwise(F.col("h")).alias("manifest_sha256"),
-        F.when(F.col("store") == "half", 48).otherwise(F.col("image_size")).alias("image_size"),
-        F.when(F.col("store") == "half", 16).otherwise(F.col("dimension")).alias("dimension"),
+        F.when(F.substring("manifest_sha256", 1, 1) < "8", "other").otherwise(F.col("manifest_sha256")).alias("manifest_sha256"),
+        F.least("image_size", F.lit(10)).alias("image_size"),
+        F.when(F.col("dimension") == 17, 99).otherwise(F.col("dimension")).alias("dimension"),
     )
     return checks.projection_violations(fitted, stored)
 

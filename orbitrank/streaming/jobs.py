@@ -95,8 +95,8 @@ def ingest_stream(items: DataFrame, path: str, checkpoint: str, available_now: b
         first = hashed.groupBy("sha256").agg(F.min("item_id").alias("item_id"))
         if batch_id == 0:
             return first
-        earlier = [f"{path}/batch_id={i}" for i in range(batch_id)]
-        seen = batch.sparkSession.read.schema("sha256 string, item_id string").parquet(*earlier)
+        written = batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+        seen = written.filter(F.col("batch_id") < batch_id)
         return first.join(seen.select("sha256"), "sha256", "left_anti")
 
     return start_batches(items, path, checkpoint, fresh, available_now=available_now)
