@@ -24,7 +24,7 @@ def sum_of_squares(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Unit-length copy of ``vector``.
+    """Unit-length copy of ``vector``; a zero vector fails, see ``vector_defect``.
 
     The norm is repeated with ``array_repeat`` so it is computed once per row: a
     reference to it inside a lambda would be evaluated again for every element.

@@ -20,7 +20,7 @@ _PAIRS_PER_BLOCK = 2_000_000
 _COSINE_SLACK = 4e-15
 
 # Larger sides meet through cubes around the unit sphere, halved level by level.
-_FIRST_LEVEL = 3
+_FIRST_LEVEL = 2
 _LAST_LEVEL = 20
 _LEAF_POINTS = 32
 
@@ -150,9 +150,15 @@ def _descend(
 ) -> DataFrame:
     left, right = _on_sphere(left), _on_sphere(right)
     leaf = _leaf_level(right, n_right)
-    level = min(_FIRST_LEVEL, leaf)
+    level = _FIRST_LEVEL
+    # Sixty-four coarse cubes cover the sphere: each left cube names them all and
+    # keeps those that hold reference points, an equi-join of a bounded table.
+    across = F.sequence(F.lit(0).cast("long"), F.lit(2**level - 1).cast("long"))
+    named = _cubes(left, level, "l")
+    for axis in ("rix", "riy", "riz"):
+        named = named.withColumn(axis, F.explode(across))
     pairs = _prune(
-        _cubes(left, level, "l").join(_cubes(right, level, "r"), "group"), level, within_chord
+        named.join(_cubes(right, level, "r"), ["group", "rix", "riy", "riz"]), level, within_chord
     )
     while level < leaf:
         level += 1

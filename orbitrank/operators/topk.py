@@ -41,7 +41,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         return np.empty((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    if not (np.isfinite(norms).all() and (norms > 0).all()):
+        raise ValueError("vectors must be finite and non-zero; see vector_violations")
+    return rows / norms
 
 
 def _block_best(scores: np.ndarray, positions: np.ndarray, k: int) -> np.ndarray:

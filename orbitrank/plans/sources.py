@@ -639,12 +639,12 @@ SQL_STRIPS = """
 px AS (SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
   l_partkey * 37 % 4000 AS red, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE l_partkey * 11 % 12000 END AS green, l_suppkey * 53 % 3000 AS blue, l_suppkey % 12 AS scene FROM lineitem),
 masked AS (SELECT *, red = 0 OR green = 0 OR blue = 0 OR scene IN (0, 1, 3, 7, 8, 9, 10, 11) AS m FROM px)"""
-_RGB = [F.col("red"), F.col("green"), F.col("blue")]
+RGB = ("red", "green", "blue")
 
 
 @register("pixel_mask", with_sql(SQL_STRIPS) + "SELECT item_id, string_agg(CASE WHEN m THEN '1' ELSE '0' END, '' ORDER BY n) AS mask FROM masked GROUP BY item_id")
 def q_mask(spark, sf_dir):
-    mask = pixels.masked_pixels(_RGB, scene_class=F.col("scene"))
+    mask = pixels.masked_pixels([F.col(c) for c in RGB], scene_class=F.col("scene"))
     return strips(spark, sf_dir).select(
         "item_id", F.array_join(F.transform(mask, lambda m: F.when(m, "1").otherwise("0")), "").alias("mask")
     )
@@ -666,7 +666,7 @@ def q_reflectance(spark, sf_dir):
     with_sql(SQL_STRIPS) + """SELECT item_id, string_agg(CAST(CASE WHEN m THEN 0 ELSE CAST(round_even(CAST(least(1.0, green / 2750.0) * 255.0 AS DOUBLE), 0) AS INTEGER) END AS VARCHAR), ',' ORDER BY n) AS rgb FROM masked GROUP BY item_id""",
 )
 def q_stretch(spark, sf_dir):
-    mask = pixels.masked_pixels(_RGB, scene_class=F.col("scene"))
+    mask = pixels.masked_pixels([F.col(c) for c in RGB], scene_class=F.col("scene"))
     stretched = pixels.rgb_stretch(F.col("green"), mask, 0.0, 2750.0)
     return strips(spark, sf_dir).select(
         "item_id", F.array_join(F.transform(stretched, lambda v: v.cast("string")), ",").alias("rgb")
@@ -679,7 +679,7 @@ def q_stretch(spark, sf_dir):
 )
 def q_bands(spark, sf_dir):
     """Thirteen archive bands cycling red, green and blue, reordered and scaled both ways."""
-    bands = F.array(*[_RGB[i % 3] for i in range(13)])
+    bands = F.array(*[F.col(RGB[i % 3]) for i in range(13)])
     order = ("B02", "B03", "B8A")
     chosen = pixels.reorder_bands(bands, order)
     def total(c):
