@@ -22,7 +22,8 @@ SHIPPED_QUERY_BYTES = 64 * 1024 * 1024
 CHUNK_BYTES = 32 * 1024 * 1024
 CHUNK_ROWS = 16_384
 _QUERY_SLICE = 1_024
-_INDEX_SLICE = 8_192
+_INDEX_SLICE = 16_384
+_PAIR_SLICE = 262_144
 
 # Scores are compared after rounding, so copies of a vector tie whatever order
 # a processor sums their products in.
@@ -47,56 +48,71 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return rows / norms
 
 
-def _block_best(scores: np.ndarray, positions: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k best of every row, by score then position."""
-    width = scores.shape[1]
-    if width <= k:
-        return np.broadcast_to(np.arange(width), scores.shape)
-    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    floor = np.take_along_axis(scores, best, axis=1).min(axis=1, keepdims=True)
-    tied = np.flatnonzero((scores >= floor).sum(axis=1) > k)
-    for row in tied:
-        pool = np.flatnonzero(scores[row] >= floor[row])
-        order = np.lexsort((positions[pool], -scores[row, pool]))
-        best[row] = pool[order[:k]]
-    return best
+def _pair_scores(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Double-precision cosines of chosen pairs, a bounded slice at a time."""
+    out = np.empty(len(row))
+    for start in range(0, len(row), _PAIR_SLICE):
+        part = slice(start, start + _PAIR_SLICE)
+        out[part] = np.einsum("ij,ij->i", queries[row[part]], vectors[col[part]])
+    return np.round(out, SCORE_DIGITS)
 
 
 class _Running:
     """The best k seen so far for each query of one task."""
 
-    def __init__(self, query_ids: list[str], k: int) -> None:
+    def __init__(self, query_ids: list[str], queries: np.ndarray, k: int) -> None:
         n = len(query_ids)
         self.k = k
         self.query_ids = np.asarray(query_ids, dtype=object)
+        self.queries = queries
+        self.rough = queries.astype(np.float32)
         self.scores = np.full((n, k), -np.inf)
         self.positions = np.full((n, k), np.iinfo(np.int64).max)
         self.items = np.full((n, k), None, dtype=object)
         self.labels = np.full((n, k), None, dtype=object)
 
-    def offer(self, queries, vectors, positions, items, labels, exclude_self: bool) -> None:
+    def offer(self, vectors, positions, items, labels, exclude_self: bool) -> None:
+        """Compare every query with a batch of index rows.
+
+        A single-precision product rules out almost every pair: its error is below
+        ``margin``, so only pairs within it of the current k-th best are scored in
+        double precision.
+        """
+        rough = vectors.astype(np.float32)
+        margin = (vectors.shape[1] + 4) * 1.2e-7
         for start in range(0, len(vectors), _INDEX_SLICE):
             part = slice(start, start + _INDEX_SLICE)
-            block, where, what, tags = vectors[part], positions[part], items[part], labels[part]
-            for top in range(0, len(queries), _QUERY_SLICE):
+            for top in range(0, len(self.queries), _QUERY_SLICE):
                 rows = slice(top, top + _QUERY_SLICE)
-                scores = np.round(queries[rows] @ block.T, SCORE_DIGITS)
+                scores = self.rough[rows] @ rough[part].T
                 if exclude_self:
-                    scores[self.query_ids[rows][:, None] == what[None, :]] = -np.inf
-                best = _block_best(scores, where, self.k)
-                self._merge(rows, np.take_along_axis(scores, best, axis=1), where[best],
-                            what[best], tags[best])
-
-    def _merge(self, rows: slice, scores, positions, items, labels) -> None:
-        scores = np.concatenate([self.scores[rows], scores], axis=1)
-        positions = np.concatenate([self.positions[rows], positions], axis=1)
-        items = np.concatenate([self.items[rows], items], axis=1)
-        labels = np.concatenate([self.labels[rows], labels], axis=1)
-        keep = np.lexsort((positions, -scores), axis=1)[:, : self.k]
-        self.scores[rows] = np.take_along_axis(scores, keep, axis=1)
-        self.positions[rows] = np.take_along_axis(positions, keep, axis=1)
-        self.items[rows] = np.take_along_axis(items, keep, axis=1)
-        self.labels[rows] = np.take_along_axis(labels, keep, axis=1)
+                    scores[self.query_ids[rows][:, None] == items[part][None, :]] = -np.inf
+                worst = self.scores[rows, -1]
+                cut = worst - margin - 10.0**-SCORE_DIGITS
+                unfilled = np.flatnonzero(np.isneginf(worst))
+                if len(unfilled) and scores.shape[1] > self.k:
+                    at = scores.shape[1] - self.k
+                    cut[unfilled] = np.partition(scores[unfilled], at, axis=1)[:, at] - 2 * margin
+                row, col = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+                if len(row):
+                    col = col + start
+                    exact = _pair_scores(self.queries[rows], vectors, row, col)
+                    self._merge(rows, row, exact, positions[col], items[col], labels[col])
+
+    def _merge(self, rows: slice, row, scores, positions, items, labels) -> None:
+        """Fold candidate pairs into the kept ones, by score then position."""
+        n, k = self.scores[rows].shape
+        owner = np.concatenate([np.repeat(np.arange(n), k), row])
+        scores = np.concatenate([self.scores[rows].ravel(), scores])
+        positions = np.concatenate([self.positions[rows].ravel(), positions])
+        order = np.lexsort((positions, -scores, owner))
+        owner = owner[order]
+        first = np.searchsorted(owner, np.arange(n))
+        keep = order[(first[:, None] + np.arange(k)).ravel()]
+        self.scores[rows] = scores[keep].reshape(n, k)
+        self.positions[rows] = positions[keep].reshape(n, k)
+        self.items[rows] = np.concatenate([self.items[rows].ravel(), items])[keep].reshape(n, k)
+        self.labels[rows] = np.concatenate([self.labels[rows].ravel(), labels])[keep].reshape(n, k)
 
     def table(self) -> pa.Table:
         kept = np.isfinite(self.scores)
@@ -112,12 +128,11 @@ class _Running:
         )
 
 
-def _offer_batch(running: _Running, queries: np.ndarray, batch, exclude_self: bool) -> None:
+def _offer_batch(running: _Running, batch, exclude_self: bool) -> None:
     if batch.num_rows == 0:
         return
     column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
     running.offer(
-        queries,
         _matrix(column["vector"]),
         column["position"].to_numpy(zero_copy_only=False)
         if isinstance(column["position"], pa.Array) else column["position"].to_numpy(),
@@ -151,9 +166,9 @@ def keyed_topk(
     The caller guarantees that no key holds more than a chunk of either side.
     """
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        running = _Running(left.column("query_id").to_pylist(), k)
+        running = _Running(left.column("query_id").to_pylist(), _matrix(left.column("vector")), k)
         if left.num_rows:
-            _offer_batch(running, _matrix(left.column("vector")), right, exclude_self)
+            _offer_batch(running, right, exclude_self)
         return running.table()
 
     return (
@@ -196,10 +211,10 @@ def shipped_topk(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = shipped.value
-        running = _Running(query_ids, k)
+        running = _Running(query_ids, matrix, k)
         for batch in batches:
             if query_ids:
-                _offer_batch(running, matrix, batch, exclude_self)
+                _offer_batch(running, batch, exclude_self)
         yield from running.table().to_batches()
 
     # Each task returns k rows per query, so a huge index is scanned by a few tasks

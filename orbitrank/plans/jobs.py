@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from orbitrank.operators import ann, metrics, represent
+from orbitrank.operators.topk import exact_topk
 from orbitrank.plans import slices as sliced
 from orbitrank.plans.bindings import K, SQL_STORE, base_items, read, saved, sql_hits, store, with_sql
 from orbitrank.plans.registry import Registry, rounded
@@ -194,6 +195,22 @@ def q_expand(spark, sf_dir):
     return grown.select("position", F.round(norm, 6).alias("norm"), F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
+@register("exact_topk_expanded")
+def q_topk_expanded(spark, sf_dir):
+    """Exact search at twenty-five times the corpus, every fifth vector a query."""
+    def build():
+        rows = store(spark, sf_dir)
+        n = rows.count()
+        return ann.expand_corpus(rows, n, 25 * n, 64, 42, 0.01)
+
+    grown = saved(spark, sf_dir, "expanded", build).withColumn("item_id", F.col("position").cast("string"))
+    queries = grown.filter("position % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = grown.filter("position % 5 <> 0").select(
+        "item_id", "position", F.lit(None).cast("string").alias("item_label"), F.col("embedding").alias("vector"))
+    hits = exact_topk(queries, index, K)
+    return rounded(hits.select("query_id", F.col("rank").cast("int").alias("rank"), "item_id", "score"))
+
+
 # ---- streaming --------------------------------------------------------------
 
 def _stream(spark, sf_dir, name):
