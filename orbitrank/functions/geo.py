@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mean Earth radius, WGS84 axes, UTM scale, search-window degree.
@@ -88,23 +88,38 @@ def utm_inverse_coefficients() -> tuple[float, list[float], list[float]]:
     return radius, beta, delta
 
 
-def utm_to_lonlat(epsg: Column, easting: Column, northing: Column) -> tuple[Column, Column]:
-    """Longitude and latitude degrees of a UTM point given its 326zz / 327zz code."""
+def add_lonlat(
+    df: DataFrame, epsg: Column, easting: Column, northing: Column,
+    lon: str = "longitude", lat: str = "latitude",
+) -> DataFrame:
+    """Add longitude and latitude degrees of UTM points given their 326zz / 327zz code.
+
+    Every step of the series is a column of its own: written as one expression the
+    shared parts would be repeated dozens of times in the generated code.
+    """
     radius, beta, delta = utm_inverse_coefficients()
-    zone = epsg % 100
     false_northing = F.when(epsg >= 32700, F.lit(10_000_000.0)).otherwise(F.lit(0.0))
-    xi = (northing - false_northing) / (UTM_SCALE * radius)
-    eta = (easting - 500_000.0) / (UTM_SCALE * radius)
+    staged = df.withColumns({
+        "__xi": (northing - false_northing) / (UTM_SCALE * radius),
+        "__eta": (easting - 500_000.0) / (UTM_SCALE * radius),
+        "__zone": epsg % 100,
+    })
+    xi, eta = F.col("__xi"), F.col("__eta")
     xi_p, eta_p = xi, eta
     for j, b in enumerate(beta, start=1):
         xi_p = xi_p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta_p = eta_p - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi_p) / F.cosh(eta_p))
-    lat = chi
+    staged = staged.withColumns({"__xi_p": xi_p, "__eta_p": eta_p})
+    staged = staged.withColumns({
+        "__chi": F.asin(F.sin("__xi_p") / F.cosh("__eta_p")),
+        lon: F.col("__zone") * 6 - 183 + F.degrees(F.atan2(F.sinh("__eta_p"), F.cos("__xi_p"))),
+    })
+    latitude = F.col("__chi")
     for j, d in enumerate(delta, start=1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lon = zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta_p), F.cos(xi_p)))
-    return lon, F.degrees(lat)
+        latitude = latitude + d * F.sin(2 * j * F.col("__chi"))
+    return staged.withColumn(lat, F.degrees(latitude)).drop(
+        "__xi", "__eta", "__zone", "__xi_p", "__eta_p", "__chi"
+    )
 
 
 def mgrs_epsg(tile: Column) -> Column:

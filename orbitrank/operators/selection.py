@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitrank.functions.geo import haversine_m, utm_to_lonlat
+from orbitrank.functions.geo import add_lonlat, haversine_m
 from orbitrank.functions.hashing import hashed_order
 from orbitrank.operators.checks import Rule, violations
 from orbitrank.operators.frames import beside, stack
@@ -369,25 +369,30 @@ def select_partitions(candidates: DataFrame, policy: Policy) -> Selection:
     return Selection(rows=selected, feasibility=feasible)
 
 
-def corner_radius_m() -> Column:
-    """Largest distance from a footprint's centre to its reprojected corners."""
-    distances = []
-    for x in ("left", "right"):
-        for y in ("bottom", "top"):
-            lon, lat = utm_to_lonlat(F.col("epsg"), F.col(x), F.col(y))
-            distances.append(haversine_m(lon, lat, F.col("longitude"), F.col("latitude")))
-    return F.greatest(*distances)
+def with_corner_distance(rows: DataFrame) -> DataFrame:
+    """Four rows per patch: metres from its centre to each reprojected corner."""
+    corners = F.array(*[
+        F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("left", "right") for y in ("bottom", "top")
+    ])
+    exploded = rows.withColumn("corner", F.explode(corners))
+    placed = add_lonlat(
+        exploded, F.col("epsg"), F.col("corner.x"), F.col("corner.y"), "corner_lon", "corner_lat"
+    )
+    return placed.withColumn(
+        "corner_m",
+        haversine_m(F.col("corner_lon"), F.col("corner_lat"), F.col("longitude"), F.col("latitude")),
+    )
 
 
 def partition_stats(rows: DataFrame) -> DataFrame:
     """Size, cells, dates and the largest corner radius of every partition."""
     day = patch_day(F.col("patch_id"))
-    return rows.groupBy("partition").agg(
-        F.count(F.lit(1)).alias("patches"),
+    return with_corner_distance(rows).groupBy("partition").agg(
+        F.expr("count(*) div 4").alias("patches"),
         F.count_distinct("spatial_group").alias("cells"),
         F.min(day).alias("date_min"),
         F.max(day).alias("date_max"),
-        F.max(corner_radius_m()).alias("maximum_corner_radius_m"),
+        F.max("corner_m").alias("maximum_corner_radius_m"),
     )
 
 
@@ -433,9 +438,9 @@ def audit_selection(rows: DataFrame, candidates: DataFrame, policy: Policy) -> D
 
     ``rows`` has (patch_id, partition); everything else comes from ``candidates``.
     """
-    bound = rows.select("patch_id", "partition").join(
-        candidates, "patch_id", "left"
-    )
+    # A selection is as small as its policy says; it is written once and then read
+    # by every rule below.
+    bound = cut_lineage(rows.select("patch_id", "partition").join(candidates, "patch_id", "left"))
     day = patch_day(F.col("patch_id"))
     in_window = F.lit(False)
     for name, spec in policy.partitions.items():

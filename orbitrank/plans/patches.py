@@ -161,9 +161,8 @@ def q_mgrs(spark, sf_dir):
 @register("utm_center", with_sql(SQL_FOOTPRINTS) + "SELECT patch_id, round(longitude, 7) AS longitude, round(latitude, 7) AS latitude FROM footprints")
 def q_utm(spark, sf_dir):
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("bottom") + F.col("top")) / 2
-    lon, lat = geo.utm_to_lonlat(F.col("epsg"), x, y)
-    return footprints(patches(spark, sf_dir)).select(
-        "patch_id", F.round(lon, 7).alias("longitude"), F.round(lat, 7).alias("latitude")
+    return geo.add_lonlat(footprints(patches(spark, sf_dir)), F.col("epsg"), x, y).select(
+        "patch_id", F.round("longitude", 7).alias("longitude"), F.round("latitude", 7).alias("latitude")
     )
 
 

@@ -70,8 +70,7 @@ def identity_violations(found: DataFrame) -> DataFrame:
 def add_centers(footprints: DataFrame) -> DataFrame:
     """Centre longitude, latitude and equal-area cell of native UTM squares."""
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("bottom") + F.col("top")) / 2
-    lon, lat = geo.utm_to_lonlat(F.col("epsg"), x, y)
-    placed = footprints.withColumns({"longitude": lon, "latitude": lat})
+    placed = geo.add_lonlat(footprints, F.col("epsg"), x, y)
     return placed.withColumn("spatial_group", geo.lonlat_cell(F.col("longitude"), F.col("latitude")))
 
 

@@ -99,8 +99,7 @@ def test_utm_inverse_against_forward_series(spark):
         x, y = utm_forward(lon, lat, zone)
         rows.append(((32600 if lat >= 0 else 32700) + zone, x, y, lon, lat))
     df = spark.createDataFrame(rows, "epsg int, x double, y double, lon double, lat double")
-    lon, lat = geo.utm_to_lonlat(F.col("epsg"), F.col("x"), F.col("y"))
-    for row in df.select(lon.alias("a"), lat.alias("b"), "lon", "lat").collect():
+    for row in geo.add_lonlat(df, F.col("epsg"), F.col("x"), F.col("y"), "a", "b").collect():
         assert haversine(row["a"], row["b"], row["lon"], row["lat"]) < 0.01
 
 
