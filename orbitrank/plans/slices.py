@@ -262,7 +262,35 @@ def tidy(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
 
 
 
-@register("analyze")
+def _tidy_sql(section: str, query: str, slice_sql: str, numbers: list[str], store: str = "store") -> str:
+    """SQL of one report section: the section's own query, unpivoted."""
+    listed = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in numbers)
+    return (
+        f"SELECT store, slice, metric, value, '{section}' AS section FROM (UNPIVOT "
+        f"(SELECT {store} AS store, {slice_sql} AS slice, {listed} FROM ({query})) "
+        f"ON {', '.join(numbers)} INTO NAME metric VALUE value)"
+    )
+
+
+_METRICS = ["evaluated_queries", "precision_at_k", "recall_at_k", "map_at_k", "ndcg_at_k"]
+_SPREAD = ["groups", "size_minimum", "size_median", "size_maximum", "map_minimum", "map_p10", "map_median",
+           "map_p90", "map_maximum", "map_standard_deviation"]
+_METRES = ["minimum_m", "maximum_m", "edge_low_m", "edge_high_m"]
+SQL_ANALYZE = " UNION ALL ".join([
+    _tidy_sql("aggregate", _ALL + f"SELECT store, {_MEANS} FROM scored GROUP BY store", "'all'", _METRICS),
+    _tidy_sql("latitude_bands", ORACLES["latitude_slices"], "band", _METRICS),
+    _tidy_sql("spatial_group_spread", ORACLES["cell_spread"], "'all'", _SPREAD),
+    _tidy_sql("pairwise_overlap", ORACLES["agreement"], "pair", ["mean_overlap_at_k", "queries"], "'all'"),
+    _tidy_sql("correct_store_census", ORACLES["agreement_census"], "correct", ["queries", "stores_correct"], "'all'"),
+    _tidy_sql("retrieved_when_wrong", ORACLES["confusion"], "label || '/' || retrieved", ["hits"]),
+    _tidy_sql("universally_hard", ORACLES["hard_share"], "'all'", ["hard_queries", "shared_queries", "share"], "'all'"),
+    _tidy_sql("nearest_index_m", ORACLES["distance_quartiles"], "CAST(quartile AS VARCHAR)", _METRICS + _METRES),
+    _tidy_sql("nearest_same_label_index_m", ORACLES["distance_quartiles_same_label"], "CAST(quartile AS VARCHAR)",
+              _METRICS + _METRES),
+])
+
+
+@register("analyze", SQL_ANALYZE)
 def q_analyze(spark, sf_dir):
     """Every slice of the analysis as one tidy table over one ranked hits table."""
     hits, scored = all_hits(spark, sf_dir), all_scored(spark, sf_dir)
@@ -276,7 +304,7 @@ def q_analyze(spark, sf_dir):
         tidy(slices.confusion(hits), "retrieved_when_wrong", ["label", "retrieved"]),
         tidy(slices.hard_share(scored, NAMES), "universally_hard", []),
         *[
-            tidy(slices.distance_quartiles(scored, places, a), a, ["quartile"])
+            tidy(_quartiles(spark, sf_dir, a), a, ["quartile"])
             for a in ("nearest_index_m", "nearest_same_label_index_m")
         ],
     ]
