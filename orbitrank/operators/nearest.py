@@ -15,7 +15,7 @@ from orbitrank.functions.geo import EARTH_RADIUS_M, haversine_m
 from orbitrank.session import cut_lineage
 
 # Distinct reference points are shipped to the tasks only up to this count.
-SHIPPED_POINTS = 50_000
+SHIPPED_POINTS = 10_000
 _PAIRS_PER_BLOCK = 2_000_000
 _COSINE_SLACK = 4e-15
 

@@ -109,10 +109,15 @@ def running_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
 
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float]
+    df: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float],
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group: rows of (groups, probability, quantile)."""
-    counts = running_counts(df.filter(F.col(value).isNotNull()), groups, value)
+    """Linearly interpolated quantiles per group: rows of (groups, probability, quantile).
+
+    ``counts`` may hand in the ``running_counts`` of the same rows.
+    """
+    if counts is None:
+        counts = running_counts(df.filter(F.col(value).isNotNull()), groups, value)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
     position = F.col("probability") * (F.col("total") - 1)
     placed = counts.select(*groups, value, "n", "below", "total", wanted).withColumn(
@@ -141,16 +146,17 @@ def exact_quantiles(
 
 
 def value_rank(
-    df: DataFrame, groups: Sequence[str], value: str, position: str, rank: str = "rank"
+    df: DataFrame, groups: Sequence[str], value: str, position: str, rank: str = "rank",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Zero-based rank by (value, position) with ``total`` rows per group.
 
     Ties on ``value`` are ordered by ``position``; a hot tie is split again into
     ranges of ``position``, so it never becomes one task either.
     """
-    counts = running_counts(df, groups, value).select(
-        *groups, value, F.col("below").alias("__below"), "total"
-    )
+    if counts is None:
+        counts = running_counts(df, groups, value)
+    counts = counts.select(*groups, value, F.col("below").alias("__below"), "total")
     ranges = _value_buckets(df, position, df).withColumnRenamed("__bucket", "__range")
     tied = bucketed_rank(
         ranges, [*groups, value], "__range", [position], rank="__tie", size="__ties"

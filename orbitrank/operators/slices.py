@@ -12,7 +12,8 @@ from orbitrank.functions.geo import latitude_band
 from orbitrank.functions.vectors import as_double, cosine, sum_of_squares
 from orbitrank.operators.metrics import mean_metrics
 from orbitrank.operators.nearest import nearest_distance
-from orbitrank.operators.ranking import exact_quantiles, value_rank
+from orbitrank.operators.ranking import exact_quantiles, running_counts, value_rank
+from orbitrank.session import cut_lineage
 
 MINIMUM_SLICE_QUERIES = 5
 LISTED_QUERIES = 25
@@ -171,13 +172,16 @@ def distance_quartiles(scored: DataFrame, geography: DataFrame, attribute: str)
     located = scored.join(
         geography.select("query_id", "position", F.col(attribute).alias("distance")), "query_id"
     ).filter(F.col("distance").isNotNull())
-    ranked = value_rank(located, ["store"], "distance", "position", rank="__rank")
+    # Read by several passes below: written once, one narrow row per scored query.
+    located = cut_lineage(located)
+    counts = cut_lineage(running_counts(located, ["store"], "distance"))
+    ranked = value_rank(located, ["store"], "distance", "position", rank="__rank", counts=counts)
     bucket = F.least(F.floor(F.col("__rank") * 4 / F.col("total")), F.lit(3)).cast("int")
     placed = ranked.filter(F.col("total") >= 4).withColumn("quartile", bucket + 1)
     extent = placed.groupBy("store", "quartile").agg(
         F.min("distance").alias("minimum_m"), F.max("distance").alias("maximum_m")
     )
-    edges = exact_quantiles(located, ["store"], "distance", [0.0, 0.25, 0.5, 0.75, 1.0])
+    edges = exact_quantiles(located, ["store"], "distance", [0.0, 0.25, 0.5, 0.75, 1.0], counts)
     edge = F.col("quantile")
     low = edges.select("store", (F.col("probability") * 4 + 1).cast("int").alias("quartile"),
                        edge.alias("edge_low_m"))

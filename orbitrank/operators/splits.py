@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from orbitrank.functions.hashing import hashed_order
 from orbitrank.operators.frames import null_safe_join
 from orbitrank.operators.ranking import bucketed_rank, hashed_rank
+from orbitrank.session import cut_lineage
+
+# The planner limits a ranking window before its shuffle only up to this rank.
+MAP_SIDE_LIMIT = 1_000
 
 
 def query_quota(size: Column, fraction: float) -> Column:
@@ -26,22 +30,37 @@ def hash_split(
 ) -> DataFrame:
     """Add ``split``: per label, the first hashes in seeded order become queries.
 
-    Copies share their key, so they share a split. Ranks are taken over distinct
-    keys and inside hash buckets, so one dominant label is still many tasks.
+    Copies share their key, so they share a split. Only the hash at which a label's
+    quota ends is looked for: distinct hashes are counted per label and hash prefix,
+    the prefix where the quota ends is ranked, and every row is then compared with
+    its label's last query hash. No label is ever sorted whole.
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
-    distinct = df.select(F.col(label).alias("__label"), F.col(key).alias("__key")).distinct()
-    ordered = distinct.withColumn("__order", hashed_order(seed, F.col("__key")))
-    ranked = hashed_rank(ordered, ["__label"], "__order", rank="__rank", size="__size")
-    chosen = ranked.select(
-        F.col("__label").alias(label),
-        F.col("__key").alias(key),
-        F.when(F.col("__rank") <= query_quota(F.col("__size"), fraction), "query")
-        .otherwise("index")
-        .alias("split"),
+    order = hashed_order(seed, F.col(key))
+    hashed = df.select(
+        F.col(label).alias("__label"), order.alias("__order"), F.substring(order, 1, 3).alias("__prefix")
+    )
+    counts = hashed.distinct().groupBy("__label", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+    over_label = Window.partitionBy("__label")
+    earlier = over_label.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({
+        "__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
+        "__quota": query_quota(F.sum("__n").over(over_label), fraction),
+    })
+    ends = placed.filter(
+        (F.col("__before") < F.col("__quota")) & (F.col("__quota") <= F.col("__before") + F.col("__n"))
+    ).select("__label", "__prefix", (F.col("__quota") - F.col("__before")).alias("__need"))
+    inside = null_safe_join(hashed, ends, ["__label", "__prefix"]).distinct()
+    nth = F.row_number().over(over_label.orderBy("__order"))
+    last = inside.withColumn("__nth", nth).filter(F.col("__nth") == F.col("__need"))
+    last = last.select(F.col("__label").alias(label), F.col("__order").alias("__last"))
+    query = F.coalesce(order <= F.col("__last"), F.lit(False))
+    return (
+        null_safe_join(df, last, [label], "left")
+        .withColumn("split", F.when(query, "query").otherwise("index"))
+        .drop("__last")
     )
-    return null_safe_join(df, chosen, [label, key])
 
 
 def query_cells(
@@ -83,8 +102,8 @@ def spread_sample(
 ) -> DataFrame:
     """Per label, take ``count`` rows using every cell before reusing one.
 
-    Rows are ranked inside a cell by hash, then by (depth, hashed cell). Both
-    ranks are bucketed: by hash prefix, then by depth.
+    Rows are ranked inside a cell by hash, then by (depth, hashed cell). Small
+    counts are limited map-side; larger ones are ranked in hash buckets.
     """
     name = F.concat(F.lit(f"{namespace}:"), F.col("label"))
     hashed = candidates.withColumns(
@@ -93,8 +112,13 @@ def spread_sample(
             "__cell": hashed_order(seed, name, F.col("spatial_group")),
         }
     )
-    deep = hashed_rank(
-        hashed, ["label", "spatial_group"], "__order", ["member"], rank="depth", size="__size"
-    ).filter(F.col("depth") <= count)
+    cell = ["label", "spatial_group"]
+    if count <= MAP_SIDE_LIMIT:
+        inside = Window.partitionBy(*cell).orderBy("__order", "member")
+        deep = hashed.withColumn("depth", F.row_number().over(inside).cast("bigint"))
+    else:
+        deep = hashed_rank(hashed, cell, "__order", ["member"], rank="depth", size="__size").drop("__size")
+    # Ranked twice below; written once instead of sorting the candidates again.
+    deep = cut_lineage(deep.filter(F.col("depth") <= count))
     ranked = bucketed_rank(deep, ["label"], "depth", ["__cell"], rank="pick", size="__all")
-    return ranked.filter(F.col("pick") <= count).drop("__order", "__cell", "__size", "__all")
+    return ranked.filter(F.col("pick") <= count).drop("__order", "__cell", "__all")
