@@ -37,11 +37,12 @@ def hash_split(
     """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
-    order = hashed_order(seed, F.col(key))
-    hashed = df.select(
-        F.col(label).alias("__label"), order.alias("__order"), F.substring(order, 1, 3).alias("__prefix")
-    )
-    counts = hashed.distinct().groupBy("__label", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+    def hashed(rows: DataFrame) -> DataFrame:
+        order = hashed_order(seed, F.col("__key"))
+        return rows.withColumn("__order", order).withColumn("__prefix", F.substring("__order", 1, 3))
+
+    keys = df.select(F.col(label).alias("__label"), F.col(key).alias("__key"))
+    counts = hashed(keys.distinct()).groupBy("__label", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
     over_label = Window.partitionBy("__label")
     earlier = over_label.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumns({
@@ -51,11 +52,11 @@ def hash_split(
     ends = placed.filter(
         (F.col("__before") < F.col("__quota")) & (F.col("__quota") <= F.col("__before") + F.col("__n"))
     ).select("__label", "__prefix", (F.col("__quota") - F.col("__before")).alias("__need"))
-    inside = null_safe_join(hashed, ends, ["__label", "__prefix"]).distinct()
+    inside = null_safe_join(hashed(keys), ends, ["__label", "__prefix"]).distinct()
     nth = F.row_number().over(over_label.orderBy("__order"))
     last = inside.withColumn("__nth", nth).filter(F.col("__nth") == F.col("__need"))
     last = last.select(F.col("__label").alias(label), F.col("__order").alias("__last"))
-    query = F.coalesce(order <= F.col("__last"), F.lit(False))
+    query = F.coalesce(hashed_order(seed, F.col(key)) <= F.col("__last"), F.lit(False))
     return (
         null_safe_join(df, last, [label], "left")
         .withColumn("split", F.when(query, "query").otherwise("index"))
