@@ -620,29 +620,30 @@ def q_headline(spark, sf_dir):
 # ---- pixels -----------------------------------------------------------------
 
 def strips(spark, sf_dir) -> DataFrame:
-    """Pixel strips from line items: one strip per order, three bands and a scene class."""
-    line = F.array_sort(F.collect_list(F.struct(
-        F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
-        F.col("l_extendedprice").alias("price"))))
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(line.alias("px"))
-    dn = lambda f: F.transform("px", f)
-    return rows.select(
+    """A strip of four pixels per line item: three bands and a scene class."""
+    def strip(f):
+        return F.array(*[f(i).cast("int") for i in range(4)])
+
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    return read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("item_id"),
-        dn(lambda p: (p["pk"] * 37 % 4000).cast("int")).alias("red"),
-        dn(lambda p: F.when(p["pk"] % 9 == 0, 0).otherwise(p["pk"] * 11 % 12000).cast("int")).alias("green"),
-        dn(lambda p: (p["sk"] * 53 % 3000).cast("int")).alias("blue"),
-        dn(lambda p: (p["sk"] % 12).cast("int")).alias("scene"),
+        strip(lambda i: (part + i) * 37 % 4000).alias("red"),
+        strip(lambda i: F.when((part + i) % 9 == 0, 0).otherwise((part + i) * 11 % 12000)).alias("green"),
+        strip(lambda i: (supplier + i) * 53 % 3000).alias("blue"),
+        strip(lambda i: (supplier + i) % 12).alias("scene"),
     )
 
 
 SQL_STRIPS = """
-px AS (SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
-  l_partkey * 37 % 4000 AS red, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE l_partkey * 11 % 12000 END AS green, l_suppkey * 53 % 3000 AS blue, l_suppkey % 12 AS scene FROM lineitem),
+px AS (SELECT rid, l_orderkey AS item_id, n, (l_partkey + n) * 37 % 4000 AS red,
+  CASE WHEN (l_partkey + n) % 9 = 0 THEN 0 ELSE (l_partkey + n) * 11 % 12000 END AS green,
+  (l_suppkey + n) * 53 % 3000 AS blue, (l_suppkey + n) % 12 AS scene
+  FROM (SELECT row_number() OVER () AS rid, * FROM lineitem), range(0, 4) t(n)),
 masked AS (SELECT *, red = 0 OR green = 0 OR blue = 0 OR scene IN (0, 1, 3, 7, 8, 9, 10, 11) AS m FROM px)"""
 RGB = ("red", "green", "blue")
 
 
-@register("pixel_mask", with_sql(SQL_STRIPS) + "SELECT item_id, string_agg(CASE WHEN m THEN '1' ELSE '0' END, '' ORDER BY n) AS mask FROM masked GROUP BY item_id")
+@register("pixel_mask", with_sql(SQL_STRIPS) + "SELECT item_id, string_agg(CASE WHEN m THEN '1' ELSE '0' END, '' ORDER BY n) AS mask FROM masked GROUP BY rid, item_id")
 def q_mask(spark, sf_dir):
     mask = pixels.masked_pixels([F.col(c) for c in RGB], scene_class=F.col("scene"))
     return strips(spark, sf_dir).select(
@@ -652,7 +653,7 @@ def q_mask(spark, sf_dir):
 
 @register(
     "reflectance",
-    with_sql(SQL_STRIPS) + """SELECT item_id, round(sum(CAST(red * 0.0001 + CASE WHEN item_id % 3 = 0 THEN 0.0 ELSE -0.1 END AS DOUBLE)), 6) AS total FROM px GROUP BY item_id""",
+    with_sql(SQL_STRIPS) + """SELECT item_id, round(sum(CAST(red * 0.0001 + CASE WHEN item_id % 3 = 0 THEN 0.0 ELSE -0.1 END AS DOUBLE)), 6) AS total FROM px GROUP BY rid, item_id""",
 )
 def q_reflectance(spark, sf_dir):
     baseline = F.when(F.col("item_id") % 3 == 0, "03.01").when(F.col("item_id") % 3 == 1, "04.00").otherwise("05.10")
@@ -663,7 +664,7 @@ def q_reflectance(spark, sf_dir):
 
 @register(
     "rgb_stretch",
-    with_sql(SQL_STRIPS) + """SELECT item_id, string_agg(CAST(CASE WHEN m THEN 0 ELSE CAST(round_even(CAST(least(1.0, green / 2750.0) * 255.0 AS DOUBLE), 0) AS INTEGER) END AS VARCHAR), ',' ORDER BY n) AS rgb FROM masked GROUP BY item_id""",
+    with_sql(SQL_STRIPS) + """SELECT item_id, string_agg(CAST(CASE WHEN m THEN 0 ELSE CAST(round_even(CAST(least(1.0, green / 2750.0) * 255.0 AS DOUBLE), 0) AS INTEGER) END AS VARCHAR), ',' ORDER BY n) AS rgb FROM masked GROUP BY rid, item_id""",
 )
 def q_stretch(spark, sf_dir):
     mask = pixels.masked_pixels([F.col(c) for c in RGB], scene_class=F.col("scene"))
@@ -675,7 +676,7 @@ def q_stretch(spark, sf_dir):
 
 @register(
     "band_prepare",
-    with_sql(SQL_STRIPS) + """SELECT item_id, round(sum(least(green, 10000) / 10000.0), 6) AS scaled, round(sum((blue - 1000.0) / 250.0), 6) AS standardised FROM px GROUP BY item_id""",
+    with_sql(SQL_STRIPS) + """SELECT item_id, round(sum(least(green, 10000) / 10000.0), 6) AS scaled, round(sum((blue - 1000.0) / 250.0), 6) AS standardised FROM px GROUP BY rid, item_id""",
 )
 def q_bands(spark, sf_dir):
     """Thirteen archive bands cycling red, green and blue, reordered and scaled both ways."""

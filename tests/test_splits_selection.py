@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from orbitrank.operators import coverage, selection
+from orbitrank.operators import coverage, selection, splits
 from orbitrank.operators.splits import hash_split, query_cells, spread_sample
 
 
@@ -39,8 +39,9 @@ def candidates(spark, n=400, cells=24, hot=0):
     return spark.createDataFrame(rows, "member string, label string, spatial_group string, longitude double, latitude double"), rows
 
 
-@pytest.mark.parametrize("hot", [0, 300])
-def test_spread_sample_uses_every_cell_first(spark, hot):
+@pytest.mark.parametrize("hot, limit", [(0, 1000), (300, 1000), (300, 0)])
+def test_spread_sample_uses_every_cell_first(spark, monkeypatch, hot, limit):
+    monkeypatch.setattr(splits, "MAP_SIDE_LIMIT", limit)
     df, rows = candidates(spark, hot=hot)
     got = spread_sample(df, 40, 3, "query").collect()
     for label in "ab":
