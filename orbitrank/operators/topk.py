@@ -64,6 +64,7 @@ class _Running:
         n = len(query_ids)
         self.k = k
         self.query_ids = np.asarray(query_ids, dtype=object)
+        self.row_of = {query_id: row for row, query_id in enumerate(query_ids)}
         self.queries = queries
         self.rough = queries.astype(np.float32)
         self.scores = np.full((n, k), -np.inf)
@@ -80,20 +81,24 @@ class _Running:
         """
         rough = vectors.astype(np.float32)
         margin = (vectors.shape[1] + 4) * 1.2e-7
+        own = np.full(len(items), -1)
+        if exclude_self:
+            own = np.fromiter((self.row_of.get(item, -1) for item in items), np.int64, len(items))
         for start in range(0, len(vectors), _INDEX_SLICE):
             part = slice(start, start + _INDEX_SLICE)
             for top in range(0, len(self.queries), _QUERY_SLICE):
                 rows = slice(top, top + _QUERY_SLICE)
                 scores = self.rough[rows] @ rough[part].T
-                if exclude_self:
-                    scores[self.query_ids[rows][:, None] == items[part][None, :]] = -np.inf
+                mine = own[part]
+                itself = np.flatnonzero((mine >= top) & (mine < top + len(scores)))
+                scores[mine[itself] - top, itself] = -np.inf
                 worst = self.scores[rows, -1]
                 cut = worst - margin - 10.0**-SCORE_DIGITS
                 unfilled = np.flatnonzero(np.isneginf(worst))
                 if len(unfilled) and scores.shape[1] > self.k:
                     at = scores.shape[1] - self.k
                     cut[unfilled] = np.partition(scores[unfilled], at, axis=1)[:, at] - 2 * margin
-                row, col = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+                row, col = np.nonzero(scores >= np.maximum(cut, -2.0)[:, None].astype(np.float32))
                 if len(row):
                     col = col + start
                     exact = _pair_scores(self.queries[rows], vectors, row, col)
