@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import chat, mixing
+from orbitrank.llm import chat, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,9 @@ def op1(spark, sf_dir):
 @_query("op5_source_mixing", mixing.REPORT_SQL)
 def op5(spark, sf_dir):
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_token_counts")
+def op10(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_counts.count_tokens(_table(spark, sf_dir, "documents"), path)
