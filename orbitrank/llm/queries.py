@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import chat, mixing, piece_counts
+from orbitrank.llm import chat, language, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,14 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
     return piece_counts.count_tokens(_table(spark, sf_dir, "documents"), path)
+
+
+@_query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language.held_out(docs["doc_id"], 5)
+    predicted = language.predict(docs, language.learn(docs.where(~held_out)))
+    return predicted.select(
+        "doc_id", language.held_out(predicted["doc_id"], 5).alias("held_out"), "lang_pred", "score",
+        "bits", "n_symbols", "rejected",
+    )
