@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import chat, language, mixing, piece_counts
+from orbitrank.llm import byte_pairs, chat, language, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,9 @@ def op2(spark, sf_dir):
         "doc_id", language.held_out(predicted["doc_id"], 5).alias("held_out"), "lang_pred", "score",
         "bits", "n_symbols", "rejected",
     )
+
+
+@_query("op7_bpe_roundtrip")
+def op7(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return byte_pairs.digests(byte_pairs.encode_decode(_table(spark, sf_dir, "documents"), path))
