@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import byte_pairs, chat, language, mixing, piece_counts
+from orbitrank.llm import byte_pairs, chat, language, main_text, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op2(spark, sf_dir):
 def op7(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return byte_pairs.digests(byte_pairs.encode_decode(_table(spark, sf_dir, "documents"), path))
+
+
+@_query("op3_html_main_text")
+def op3(spark, sf_dir):
+    return main_text.extract(_table(spark, sf_dir, "pages"))
