@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import byte_pairs, chat, language, main_text, mixing, piece_counts
+from orbitrank.llm import byte_pairs, chat, fingerprints, language, main_text, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op7(spark, sf_dir):
 @_query("op3_html_main_text")
 def op3(spark, sf_dir):
     return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_fingerprints")
+def op8(spark, sf_dir):
+    return fingerprints.fingerprint_corpus(_table(spark, sf_dir, "documents"))
