@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import byte_pairs, chat, fingerprints, language, main_text, mixing, piece_counts
+from orbitrank.llm import byte_pairs, chat, fingerprints, jaccard, language, main_text, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,12 @@ def op3(spark, sf_dir):
 @_query("op8_fingerprints")
 def op8(spark, sf_dir):
     return fingerprints.fingerprint_corpus(_table(spark, sf_dir, "documents"))
+
+
+#: Links of the registered join: three-word shingles, nine tenths of the union.
+NEAR_COPIES = jaccard.Likeness(words=3, per_cent=90)
+
+
+@_query("op9_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard.linked_documents(_table(spark, sf_dir, "documents"), NEAR_COPIES)
