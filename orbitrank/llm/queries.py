@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import byte_pairs, chat, fingerprints, jaccard, language, main_text, mixing, piece_counts
+from orbitrank.llm import byte_pairs, chat, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,13 @@ NEAR_COPIES = jaccard.Likeness(words=3, per_cent=90)
 @_query("op9_jaccard_join")
 def op9(spark, sf_dir):
     return jaccard.linked_documents(_table(spark, sf_dir, "documents"), NEAR_COPIES)
+
+
+@_query("op4_lm_scoring")
+def op4(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    scored = hidden_markov.score_corpus(docs, ~language.held_out(docs["doc_id"], 10))
+    return scored.select(
+        "doc_id", language.held_out(scored["doc_id"], 10).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score",
+    )
