@@ -354,11 +354,36 @@ def linked_documents(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, like: Likeness) -> DataFrame:
-    """``docs`` with the lowest id of each class; of that id's rows, one is kept."""
-    joined = linked_documents(docs, like)
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__kept")
-    ).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return found.withColumn("__row", F.row_number().over(first)).where(F.col("__row") == 1).drop("__row")
+    """``docs`` with one row of each class: the lowest id, of its rows the lowest text hash.
+
+    Documents without words have no links and all stay. What goes is named by id and
+    text hash and is taken out where the documents are read, unless there is too much of
+    it to ship.
+    """
+    joined = join_sets(docs, like)
+    rows = joined.documents.where(F.col("size") > 0)
+    members = rows.join(joined.classes, rows["set"] == joined.classes["node"], "left").select(
+        F.coalesce("component", "set").alias("class"),
+        F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("row"),
+    ).groupBy("class", "row").agg(F.count(F.lit(1)).alias("copies"))
+    first = members.groupBy("class").agg(F.min("row").alias("first"))
+    judged = cut_lineage(
+        members.join(first, "class").where((F.col("row") != F.col("first")) | (F.col("copies") > 1)).select(
+            F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"),
+            (F.col("row") == F.col("first")).alias("__stays"),
+        )
+    )
+    counts = {r[0]: r[1] for r in judged.groupBy("__stays").count().collect()}
+
+    def named(stays: bool | None) -> DataFrame:
+        found = judged if stays is None else judged.where(F.col("__stays") == stays)
+        return F.broadcast(found) if sum(counts.values()) <= SHIPPED_GIVERS else found
+
+    hashed = docs.withColumn("__text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    out = hashed.join(named(None), same, "left_anti")
+    if counts.get(True):  # equal rows of one id, of which one stays
+        out = out.unionByName(
+            hashed.join(named(True), same, "left_semi").dropDuplicates(["doc_id", "__text"])
+        )
+    return out.drop("__text")

@@ -358,6 +358,24 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     )
 
 
+def drop_rejected(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not rejected.
+
+    Without a model only texts without a letter are.
+    """
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rejected = shipped.value.decide(*_measure(shipped.value, batch.column(place).to_pylist()))[3]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """Whether crc32 of the id's text leaves no remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
