@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import byte_pairs, chat, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts
+from orbitrank.llm import byte_pairs, chat, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts, top_k
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op4(spark, sf_dir):
         "doc_id", language.held_out(scored["doc_id"], 10).alias("held_out"), "n_tokens", "n_known",
         "train_tokens", "base_score", "score",
     )
+
+
+@_query("op6_exact_top_k", top_k.TOP_K_SQL)
+def op6(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return top_k.top_k(docs, docs["doc_id"] % 20 == 0)
