@@ -328,7 +328,7 @@ def score_corpus(docs: DataFrame, training: Column) -> DataFrame:
             borders = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rare_rows))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lengths), pa.array(np.concatenate(known).astype(np.int64)),
-                 pa.array(np.concatenate(logs)), pa.array(likely - np.concatenate(class_logs)),
+                 pa.array(np.concatenate(logs).astype(np.float64)), pa.array(likely - np.concatenate(class_logs)),
                  pa.ListArray.from_arrays(borders, pa.array(np.concatenate(rare_words).view(np.int64))),
                  pa.ListArray.from_arrays(borders, pa.array(np.concatenate(rare_counts).astype(np.int64)))],
                 names=["doc_id", "n_tokens", "known", "logs", "classes", "rare", "rare_n"],
