@@ -236,8 +236,10 @@ def nearest_distance(
     )
 
 
-def guard_band(left: DataFrame, right: DataFrame, minimum_m: float) -> DataFrame:
+def guard_band(
+    left: DataFrame, right: DataFrame, minimum_m: float, shipped_points: int = SHIPPED_POINTS
+) -> DataFrame:
     """Left rows at least ``minimum_m`` from every right row (the boundary is kept)."""
-    near = nearest_distance(left, right, within_m=minimum_m)
+    near = nearest_distance(left, right, within_m=minimum_m, shipped_points=shipped_points)
     too_close = near.filter(F.col("nearest_m") < minimum_m).select("left_id")
     return left.join(too_close, "left_id", "left_anti")

@@ -16,7 +16,6 @@ from orbitrank.operators.ranking import exact_quantiles, running_counts, value_r
 from orbitrank.session import cut_lineage
 
 MINIMUM_SLICE_QUERIES = 5
-LISTED_QUERIES = 25
 
 
 def query_geography(items: DataFrame) -> DataFrame:
@@ -148,10 +147,10 @@ def hard_share(scored: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def hard_examples(scored: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The first hard queries by id, as listed in a report."""
+def hard_examples(scored: DataFrame, names: Sequence[str], listed: int | None = None) -> DataFrame:
+    """All hard queries, or the first ``listed`` by id, as a report shows them."""
     hard = hard_queries(scored, names).filter("hard").select("query_id", "label")
-    return hard.orderBy("query_id").limit(LISTED_QUERIES)
+    return hard if listed is None else hard.orderBy("query_id").limit(listed)
 
 
 def confusion(hits: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def query_cells(
 
 
 def spread_sample(
-    candidates: DataFrame, count: int, seed: int, namespace: str
+    candidates: DataFrame, count: int, seed: int, namespace: str, map_side: int = MAP_SIDE_LIMIT
 ) -> DataFrame:
     """Per label, take ``count`` rows using every cell before reusing one.
 
@@ -114,7 +114,7 @@ def spread_sample(
         }
     )
     cell = ["label", "spatial_group"]
-    if count <= MAP_SIDE_LIMIT:
+    if count <= map_side:
         inside = Window.partitionBy(*cell).orderBy("__order", "member")
         deep = hashed.withColumn("depth", F.row_number().over(inside).cast("bigint"))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orbitrank.functions.geo import place_bbox
+from orbitrank.functions.geo import bbox_defect, place_bbox
 from orbitrank.operators.checks import Rule, duplicates, violations
 from orbitrank.operators.frames import stack
 
@@ -34,11 +34,19 @@ def place_violations(places: DataFrame) -> DataFrame:
 def with_windows(places: DataFrame, size_m: float) -> DataFrame:
     """Add the search window of every place."""
     if not size_m > 0:
-        raise ValueError("size_m must be a positive number of metres")
+        raise ValueError("a window has an extent above zero metres")
     west, south, east, north = place_bbox(F.col("longitude"), F.col("latitude"), size_m)
     return places.withColumns({"west": west, "south": south, "east": east, "north": north})
 
 
+def window_violations(windows: DataFrame) -> DataFrame:
+    """Places whose search window leaves the globe or crosses the antimeridian."""
+    sides = [F.col(c) for c in ("west", "south", "east", "north")]
+    return windows.select(F.col("place_id").alias("key"), bbox_defect(*sides).alias("defect")).filter(
+        F.col("defect").isNotNull()
+    ).select(F.concat(F.lit("window_"), F.col("defect")).alias("rule"), "key")
+
+
 def items_in_windows(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Catalogue items whose box overlaps a place's window.
 
@@ -84,15 +92,19 @@ def day_dedupe(items: DataFrame) -> DataFrame:
     )
 
 
-def place_survey(observations: DataFrame) -> DataFrame:
-    """Items, distinct days and usability of every place that returned any item."""
-    return observations.groupBy("place_id").agg(
+def place_survey(places: DataFrame, observations: DataFrame) -> DataFrame:
+    """Items, distinct days and usability of every place, also where nothing was found."""
+    found = observations.groupBy("place_id").agg(
         F.sum("items_that_day").alias("items_returned"),
         F.count(F.lit(1)).alias("distinct_days"),
-        (F.count(F.lit(1)) >= MINIMUM_DATES).alias("usable"),
         F.min("acquisition_day").alias("first_day"),
         F.max("acquisition_day").alias("last_day"),
     )
+    known = places.select("place_id").distinct().join(found, "place_id", "left")
+    return known.fillna(0, ["items_returned", "distinct_days"]).select(
+        "place_id", "items_returned", "distinct_days",
+        (F.col("distinct_days") >= MINIMUM_DATES).alias("usable"), "first_day", "last_day",
+    )
 
 
 def upper_median(values: Column) -> Column:

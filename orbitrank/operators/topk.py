@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 # cut into chunks of about CHUNK_BYTES and meet in a grid of equi-joined groups.
 SHIPPED_QUERY_BYTES = 64 * 1024 * 1024
 CHUNK_BYTES = 32 * 1024 * 1024
+# What a task keeps of one hit: score, position, and two references.
+HIT_BYTES = 64
 CHUNK_ROWS = 16_384
 _QUERY_SLICE = 1_024
 _INDEX_SLICE = 16_384
@@ -222,10 +224,7 @@ def shipped_topk(
                 _offer_batch(running, batch, exclude_self)
         yield from running.table().to_batches()
 
-    # Each task returns k rows per query, so a huge index is scanned by a few tasks
-    # per core rather than one per file split. This narrows without a shuffle.
-    tasks = 4 * queries.sparkSession.sparkContext.defaultParallelism
-    return merge_best(right.coalesce(tasks).mapInArrow(score, PARTIAL_SCHEMA), k)
+    return merge_best(right.mapInArrow(score, PARTIAL_SCHEMA), k)
 
 
 def exact_topk(
@@ -235,15 +234,20 @@ def exact_topk(
     """The k most similar index rows of every query, ranked from 1.
 
     ``queries`` has (query_id, vector); ``index`` has (item_id, position, item_label,
-    vector). The query side is measured: below ``shipped_bytes`` it is shipped to
-    the tasks that scan the index, otherwise both sides meet chunk by chunk.
+    vector). The query side is measured, vectors and k hits of each query together:
+    below ``shipped_bytes`` it is shipped to the tasks that scan the index where it
+    lies, otherwise both sides meet chunk by chunk. A repeated query id is refused, as
+    the hits of its vectors could not be told apart.
     """
     if k < 1:
         raise ValueError("k must be positive")
     measured = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d"),
+        F.count_distinct("query_id").alias("ids"),
     ).first()
-    if measured["n"] * max(measured["d"], 1) * 8 <= shipped_bytes:
+    if measured["ids"] != measured["n"]:
+        raise ValueError("query ids must be present and distinct")
+    if measured["n"] * (8 * max(measured["d"], 1) + HIT_BYTES * k) <= shipped_bytes:
         return shipped_topk(queries, index, k, exclude_self)
     rows = max(k, CHUNK_BYTES // (8 * measured["d"]))
     return grid_topk(queries, index, measured["n"], index.count(), k, exclude_self, rows)

@@ -37,20 +37,27 @@ def base_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SAVED: dict[tuple[str, str, str], str] = {}
+_STORES: dict[tuple, str] = {}
 
 
-def saved(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build a derived table once per session, then read it back pruned by column.
+def written(spark: SparkSession, name: str, build) -> DataFrame:
+    """A derived table, written within the query that asks for it and read back by column."""
+    path = scratch_path(spark, name)
+    build().write.parquet(path)
+    return spark.read.parquet(path)
 
-    A store is a saved artifact: its split is decided once, written, and reused.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SAVED:
-        path = scratch_path(spark, name)
-        build().write.mode("overwrite").parquet(path)
-        _SAVED[key] = path
-    return spark.read.parquet(_SAVED[key])
+
+def _kept_store(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A store is a saved artifact: its split is decided once for the files it is made of."""
+    files = read(spark, sf_dir, "embeddings").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"
+    ).distinct().collect()
+    key = (spark.sparkContext.applicationId, tuple(sorted(map(str, files))))
+    if key not in _STORES:
+        path = scratch_path(spark, "store")
+        build().write.parquet(path)
+        _STORES[key] = path
+    return spark.read.parquet(_STORES[key])
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
             "position", "item_id", "embedding", "label", "split"
         )
 
-    return saved(spark, sf_dir, "store", build)
+    return _kept_store(spark, sf_dir, build)
 
 
 def short_vector(embedding: Column) -> Column:

@@ -8,7 +8,7 @@ from orbitrank.functions import geo
 from orbitrank.operators import coverage, metrics, multilabel, selection
 from orbitrank.operators.splits import query_cells, spread_sample
 from orbitrank.plans.bindings import (
-    K, SQL_CANDIDATES, SQL_RELEVANCE, SQL_STORE, candidates, relevance, saved, sql_haversine,
+    K, SQL_CANDIDATES, SQL_RELEVANCE, SQL_STORE, candidates, relevance, written, sql_haversine,
     store, used_members, with_sql,
 )
 from orbitrank.plans.registry import Registry, rounded
@@ -48,8 +48,8 @@ _MEANS = """count(*) AS evaluated_queries, round(avg(precision_at_k), 6) AS prec
 
 
 def _scored(spark, sf_dir):
-    return saved(
-        spark, sf_dir, "multilabel",
+    return written(
+        spark, "multilabel",
         lambda: multilabel.evaluate_development(store(spark, sf_dir), relevance(spark, sf_dir), K, 0.5),
     )
 
@@ -160,9 +160,16 @@ def q_spread(spark, sf_dir):
     return spread_sample(candidates(spark, sf_dir), 40, 42, "query").select("member", "label", "spatial_group")
 
 
+@register("spread_sample_large", ORACLES["spread_sample"])
+def q_spread_large(spark, sf_dir):
+    """The same, as if more were drawn than a task may keep of a cell."""
+    drawn = spread_sample(candidates(spark, sf_dir), 40, 42, "query", map_side=0)
+    return drawn.select("member", "label", "spatial_group")
+
+
 def _split_manifest(spark, sf_dir):
-    return saved(
-        spark, sf_dir, "spatial_manifest",
+    return written(
+        spark, "spatial_manifest",
         lambda: selection.spatial_split(candidates(spark, sf_dir), _QPC, _IPC, _SEP, 42).manifest(),
     )
 
@@ -259,7 +266,7 @@ def _distances(spark, sf_dir):
         pool, used = candidates(spark, sf_dir), used_members(spark, sf_dir)
         return coverage.unused_distances(pool, used, used)
 
-    return saved(spark, sf_dir, "unused_distances", build)
+    return written(spark, "unused_distances", build)
 
 
 @register(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitrank.operators import ann, metrics, represent
 from orbitrank.operators.topk import exact_topk
 from orbitrank.plans import slices as sliced
-from orbitrank.plans.bindings import K, SQL_STORE, base_items, read, saved, sql_hits, store, with_sql
+from orbitrank.plans.bindings import K, SQL_STORE, base_items, read, written, sql_hits, store, with_sql
 from orbitrank.plans.registry import Registry, rounded
 from orbitrank.session import scratch_path
 from orbitrank.sources import stores as store_source
@@ -40,7 +40,7 @@ def projected(spark, sf_dir):
     def build():
         basis = represent.fit_pca(vectors_of(spark, sf_dir), COMPONENTS)
         return represent.project(vectors_of(spark, sf_dir), basis)
-    return saved(spark, sf_dir, "projected", build)
+    return written(spark, "projected", build)
 
 
 @register("pca_embed")
@@ -203,7 +203,7 @@ def q_topk_expanded(spark, sf_dir):
         n = rows.count()
         return ann.expand_corpus(rows, n, 25 * n, 64, 42, 0.01)
 
-    grown = saved(spark, sf_dir, "expanded", build).withColumn("item_id", F.col("position").cast("string"))
+    grown = written(spark, "expanded", build).withColumn("item_id", F.col("position").cast("string"))
     queries = grown.filter("position % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     index = grown.filter("position % 5 <> 0").select(
         "item_id", "position", F.lit(None).cast("string").alias("item_label"), F.col("embedding").alias("vector"))
@@ -217,6 +217,17 @@ def _stream(spark, sf_dir, name):
     return jobs.read_parquet_stream(spark, sf_dir, read(spark, sf_dir, name).schema, f"{name}.parquet")
 
 
+FILES = 4
+
+
+def _in_files(spark, sf_dir, name, by):
+    """A table as a stream of ``FILES`` files, one to a batch, dealt so that keys meet across files."""
+    folder = scratch_path(spark, f"{name}-files")
+    table = read(spark, sf_dir, name)
+    table.repartition(FILES, by).write.parquet(folder)
+    return jobs.read_parquet_stream(spark, folder, table.schema, files_per_batch=1)
+
+
 def _run(spark, name, start):
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     jobs.drain(start(path, checkpoint))
@@ -241,20 +252,20 @@ FROM (SELECT * REPLACE (CASE WHEN event_id % 41 = 0 THEN NULL ELSE round(value,
 QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY coalesce(value, 1e300), ts, event_id) = 1""",
 )
 def q_stream_dedupe(spark, sf_dir):
-    arriving = _stream(spark, sf_dir, "events").select(
+    arriving = _in_files(spark, sf_dir, "events", "event_id").select(
         F.col("user_id").alias("place_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("item_id"),
         F.when(F.col("event_id") % 41 != 0, F.round("value", 2)).alias("cloud"),
     )
-    path = _run(spark, "stream-days", lambda p, c: jobs.start_batches(jobs.day_dedupe_stream(arriving), p, c, mode="update"))
+    path = _run(spark, "stream-days", lambda p, c: jobs.start_batches(jobs.day_dedupe_stream(arriving, late_after=None), p, c, mode="update"))
     return jobs.latest(path, spark, ["place_id", "acquisition_day"]).drop("ts")
 
 
 @register("stream_ingest", "SELECT sha256(text) AS sha256, min(doc_id) AS item_id FROM documents GROUP BY sha256(text)")
 def q_stream_ingest(spark, sf_dir):
-    arriving = _stream(spark, sf_dir, "documents").select(
+    arriving = _in_files(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("item_id"), F.encode("text", "utf-8").alias("content"))
     path = _run(spark, "stream-ingest", lambda p, c: jobs.ingest_stream(arriving, p, c))
-    return spark.read.parquet(path).select("sha256", "item_id")
+    return jobs.latest(path, spark, ["sha256"])
 
 
 @register(

@@ -8,7 +8,7 @@ from orbitrank.functions import geo
 from orbitrank.operators import checks, metadata, selection
 from orbitrank.operators.frames import stack
 from orbitrank.plans.bindings import (
-    SQL_FOOTPRINTS, SQL_PATCHES, SQL_RAW_PATCHES, footprints, patches, raw_patches, saved,
+    SQL_FOOTPRINTS, SQL_PATCHES, SQL_RAW_PATCHES, footprints, patches, raw_patches, written,
     sql_haversine, sql_utm, with_sql,
 )
 from orbitrank.plans.registry import Registry, rounded
@@ -29,8 +29,8 @@ POLICY = selection.Policy(
 
 
 def inventory(spark, sf_dir):
-    return saved(
-        spark, sf_dir, "inventory",
+    return written(
+        spark, "inventory",
         lambda: source.add_centers(footprints(patches(spark, sf_dir).select("patch_id"))),
     )
 
@@ -45,8 +45,8 @@ def excluded(spark, sf_dir):
 
 def placed(spark, sf_dir):
     """Recommended metadata joined one-to-one with its geometry."""
-    return saved(
-        spark, sf_dir, "placed_patches",
+    return written(
+        spark, "placed_patches",
         lambda: source.join_candidates(recommended(spark, sf_dir).drop("key"), inventory(spark, sf_dir)),
     )
 
@@ -273,8 +273,8 @@ def q_grid_dedupe(spark, sf_dir):
 
 
 def _selected(spark, sf_dir):
-    return saved(
-        spark, sf_dir, "selected",
+    return written(
+        spark, "selected",
         lambda: selection.select_partitions(placed(spark, sf_dir), POLICY).rows,
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbitrank.operators import metrics, slices
 from orbitrank.operators.nearest import guard_band, nearest_distance
 from orbitrank.plans.bindings import (
-    K, SQL_GEOGRAPHY, SQL_SCORED, SQL_STORE, SQL_STORES, flipped_vector, geography, saved,
+    K, SQL_GEOGRAPHY, SQL_SCORED, SQL_STORE, SQL_STORES, flipped_vector, geography, written,
     sql_haversine, sql_hits, store, stores, with_sql,
 )
 from orbitrank.plans.registry import Registry, rounded
@@ -25,15 +25,15 @@ NAMES = ["full", "half", "sparse"]
 
 def all_hits(spark, sf_dir) -> DataFrame:
     """Hits of the three representations, ranked once and reused by every slice."""
-    return saved(
-        spark, sf_dir, "hits",
+    return written(
+        spark, "hits",
         lambda: metrics.per_store(stores(spark, sf_dir), lambda s: metrics.ranked_hits(s, K)),
     )
 
 
 def all_scored(spark, sf_dir) -> DataFrame:
-    return saved(
-        spark, sf_dir, "scored",
+    return written(
+        spark, "scored",
         lambda: metrics.score_queries(all_hits(spark, sf_dir), ["store", "query_id"]),
     )
 
@@ -43,8 +43,8 @@ def located(spark, sf_dir) -> DataFrame:
 
 
 def query_places(spark, sf_dir) -> DataFrame:
-    return saved(
-        spark, sf_dir, "query_places", lambda: slices.query_geography(located(spark, sf_dir))
+    return written(
+        spark, "query_places", lambda: slices.query_geography(located(spark, sf_dir))
     )
 
 
@@ -68,6 +68,15 @@ def q_nearest(spark, sf_dir):
     return near.select(F.col("left_id").alias("query_id"), F.round("nearest_m", 4).alias("nearest_m"))
 
 
+@register("nearest_distance_descend", ORACLES["nearest_distance"])
+def q_nearest_descend(spark, sf_dir):
+    """The same, as if the reference points were too many to ship."""
+    items = located(spark, sf_dir)
+    left = items.filter("split = 'query'").withColumn("left_id", F.col("item_id"))
+    near = nearest_distance(left, items.filter("split = 'index'"), shipped_points=0)
+    return near.select(F.col("left_id").alias("query_id"), F.round("nearest_m", 4).alias("nearest_m"))
+
+
 @register(
     "nearest_same_label",
     _GEO_ONLY + "SELECT query_id, round(nearest_same_label_index_m, 4) AS nearest_m FROM nearest",
@@ -90,6 +99,14 @@ def q_guard_band(spark, sf_dir):
     return guard_band(left, items.filter("split = 'query'"), 500_000.0).select("item_id")
 
 
+@register("guard_band_descend", ORACLES["guard_band"])
+def q_guard_band_descend(spark, sf_dir):
+    """The same, as if the reference points were too many to ship."""
+    items = located(spark, sf_dir)
+    left = items.filter("split = 'index'").withColumn("left_id", F.col("item_id"))
+    return guard_band(left, items.filter("split = 'query'"), 500_000.0, shipped_points=0).select("item_id")
+
+
 @register(
     "latitude_slices",
     _GEO + f"""SELECT store, printf('%+07.2f..%+07.2f', floor(latitude / 5.0) * 5.0, floor(latitude / 5.0) * 5.0 + 5.0) AS band,
@@ -184,7 +201,7 @@ _HARD = """, hard AS (SELECT query_id, any_value(label) AS label, max(top_one) =
 """
 
 
-@register("hard_queries", _ALL + _HARD + "SELECT query_id, label FROM hard WHERE hard ORDER BY query_id LIMIT 25")
+@register("hard_queries", _ALL + _HARD + "SELECT query_id, label FROM hard WHERE hard")
 def q_hard(spark, sf_dir):
     return slices.hard_examples(all_scored(spark, sf_dir), NAMES)
 

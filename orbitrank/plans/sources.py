@@ -13,7 +13,7 @@ from orbitrank.operators.frames import beside, stack
 from orbitrank.plans import slices as sliced
 from orbitrank.plans.bindings import (
     K, SQL_ACQUISITIONS, SQL_RELEVANCE, SQL_SCORED, SQL_STORE, SQL_STORES, acquisitions, read,
-    relevance, saved, sql_hits, store, stores, with_sql,
+    relevance, written, sql_hits, store, stores, with_sql,
 )
 from orbitrank.plans.registry import Registry, rounded
 from orbitrank.plans.retrieval import _MEANS
@@ -45,8 +45,8 @@ manifest AS (SELECT e.*, s.split FROM entries e JOIN splits s USING (label, sha2
 
 
 def manifest(spark, sf_dir) -> DataFrame:
-    return saved(
-        spark, sf_dir, "manifest",
+    return written(
+        spark, "manifest",
         lambda: manifests.build_manifest(files(spark, sf_dir), "/images"),
     )
 
@@ -442,10 +442,10 @@ items AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS item_id, o_orderk
 @register(
     "stac_search",
     with_sql(SQL_ITEMS) + """SELECT item_id, datetime, CAST(cloud AS VARCHAR) AS cloud FROM items WHERE collection = 'c1' AND datetime BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'
-  AND w <= 60 AND w + 5 >= -40 AND s <= 50 AND s + 5 >= -30 AND cloud < 30 ORDER BY datetime, item_id LIMIT 100""",
+  AND w <= 60 AND w + 5 >= -40 AND s <= 50 AND s + 5 >= -30 AND cloud < 30""",
 )
 def q_search(spark, sf_dir):
-    wanted = catalogue.Search("c1", -40.0, -30.0, 60.0, 50.0, "1996-01-01", "1999-12-31", 100, 30.0)
+    wanted = catalogue.Search("c1", -40.0, -30.0, 60.0, 50.0, "1996-01-01", "1999-12-31", max_cloud_cover=30.0)
     return catalogue.search(items(spark, sf_dir), wanted).select(
         "item_id", "datetime", F.col("properties")["eo:cloud_cover"].alias("cloud")
     )
@@ -545,7 +545,7 @@ def report(spark, sf_dir) -> DataFrame:
 def saved_report(spark, sf_dir) -> DataFrame:
     def build():
         return report(spark, sf_dir)
-    return reports.read_report(saved(spark, sf_dir, "report", build))
+    return reports.read_report(written(spark, "report", build))
 
 
 _NAMES = {"full": "Full-64", "half": "Half-32"}

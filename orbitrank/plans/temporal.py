@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitrank.operators import temporal
-from orbitrank.plans.bindings import SQL_ACQUISITIONS, SQL_PLACES, acquisitions, places, read, saved, with_sql
+from orbitrank.plans.bindings import SQL_ACQUISITIONS, SQL_PLACES, acquisitions, places, read, written, with_sql
 from orbitrank.plans.registry import Registry, rounded
 
 REGISTRY = Registry()
@@ -16,7 +16,7 @@ ANCHOR, QUERY_COUNT, MIN_GAP = "1998-07-15", 3, 90
 
 
 def observations(spark, sf_dir):
-    return saved(spark, sf_dir, "observations", lambda: temporal.day_dedupe(acquisitions(spark, sf_dir)))
+    return written(spark, "observations", lambda: temporal.day_dedupe(acquisitions(spark, sf_dir)))
 
 
 def dates(column):
@@ -82,6 +82,24 @@ def q_bbox(spark, sf_dir):
     return rounded(temporal.with_windows(places(spark, sf_dir), 20_000.0).select("place_id", "west", "south", "east", "north"))
 
 
+@register(
+    "place_window_violations",
+    with_sql(SQL_PLACES) + """, w AS (SELECT place_id, longitude + CASE key % 3 WHEN 0 THEN 0 WHEN 1 THEN 179.95 - longitude ELSE -179.95 - longitude END AS x,
+  latitude + CASE WHEN key % 5 = 4 THEN 89.95 - latitude ELSE 0 END AS y, 20000.0 / 2 / 111320.0 AS half FROM places),
+b AS (SELECT place_id, x - half / cos(radians(y)) AS west, x + half / cos(radians(y)) AS east, y - half AS south, y + half AS north FROM w)
+SELECT CASE WHEN NOT (west >= -180 AND east <= 180) THEN 'window_longitude_order' ELSE 'window_latitude_order' END AS rule, place_id AS key
+FROM b WHERE NOT (west >= -180 AND east <= 180 AND south >= -90 AND north <= 90)""",
+)
+def q_window_violations(spark, sf_dir):
+    """Places moved to the antimeridian and to the pole."""
+    k = F.col("key")
+    moved = places(spark, sf_dir).withColumns({
+        "longitude": F.when(k % 3 == 0, F.col("longitude")).when(k % 3 == 1, 179.95).otherwise(-179.95),
+        "latitude": F.when(k % 5 == 4, 89.95).otherwise(F.col("latitude")),
+    })
+    return temporal.window_violations(temporal.with_windows(moved, 20_000.0))
+
+
 def item_boxes(spark, sf_dir):
     """Catalogue items with a half-degree box around a customer-derived point."""
     key = F.col("c_custkey")
@@ -111,13 +129,24 @@ def q_dedupe(spark, sf_dir):
     return found.select("place_id", "acquisition_day", "item_id", "cloud", "items_that_day")
 
 
-_SURVEY = """SELECT place_id, CAST(sum(items_that_day) AS BIGINT) AS items_returned, count(*) AS distinct_days, count(*) >= 2 AS usable,
-  min(acquisition_day) AS first_day, max(acquisition_day) AS last_day FROM obs GROUP BY place_id"""
+# Two places of the list have no item at all.
+_SURVEY = """SELECT p.place_id, CAST(coalesce(sum(items_that_day), 0) AS BIGINT) AS items_returned, count(acquisition_day) AS distinct_days,
+  count(acquisition_day) >= 2 AS usable, min(acquisition_day) AS first_day, max(acquisition_day) AS last_day
+  FROM (SELECT 'nation_' || n_nationkey AS place_id FROM nation UNION ALL SELECT 'nowhere_' || r_regionkey FROM region WHERE r_regionkey < 2) p
+  LEFT JOIN obs USING (place_id) GROUP BY p.place_id"""
+
+
+def surveyed(spark, sf_dir):
+    """The places of the survey: one a nation, and two that no item belongs to."""
+    nations = read(spark, sf_dir, "nation").select(F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("place_id"))
+    empty = read(spark, sf_dir, "region").filter("r_regionkey < 2").select(
+        F.concat(F.lit("nowhere_"), F.col("r_regionkey").cast("string")).alias("place_id"))
+    return nations.unionByName(empty)
 
 
 @register("place_survey", with_sql(SQL_ACQUISITIONS) + _SURVEY)
 def q_survey(spark, sf_dir):
-    return temporal.place_survey(observations(spark, sf_dir))
+    return temporal.place_survey(surveyed(spark, sf_dir), observations(spark, sf_dir))
 
 
 @register(
@@ -127,7 +156,7 @@ SELECT count(*) AS places, count(*) FILTER (usable) AS usable_places, min(distin
   list_sort(list(distinct_days))[count(*) // 2 + 1] AS median, max(distinct_days) AS maximum, CAST(sum(distinct_days) AS BIGINT) AS total FROM s""",
 )
 def q_totals(spark, sf_dir):
-    return temporal.survey_totals(temporal.place_survey(observations(spark, sf_dir)))
+    return temporal.survey_totals(temporal.place_survey(surveyed(spark, sf_dir), observations(spark, sf_dir)))
 
 
 @register(

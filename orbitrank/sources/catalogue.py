@@ -33,7 +33,10 @@ SAFE_PROPERTIES = (
 
 @dataclass(frozen=True)
 class Search:
-    """Bounds, closed date range and limits of one catalogue search."""
+    """Bounds, closed date range and ceilings of one catalogue search.
+
+    Without ``limit`` a search returns all that it finds.
+    """
 
     collection: str
     west: float
@@ -42,18 +45,29 @@ class Search:
     north: float
     start: str
     end: str
-    limit: int = 20
+    limit: int | None = None
     max_cloud_cover: float | None = None
 
+    def defects(self) -> list[str]:
+        """What is wrong with the request, each as one phrase."""
+        longitudes, latitudes = (self.west, self.east), (self.south, self.north)
+        rules = {
+            "west to east is no range of longitudes": _ascending(longitudes, 180),
+            "south to north is no range of latitudes": _ascending(latitudes, 90),
+            "collection, first and last date are needed": all((self.collection, self.start, self.end)),
+            "a limit is at least one": self.limit is None or self.limit >= 1,
+            "a cloud ceiling is a share of a hundred": self.max_cloud_cover is None
+            or 0 <= self.max_cloud_cover <= 100,
+        }
+        return [phrase for phrase, holds in rules.items() if not holds]
+
     def __post_init__(self) -> None:
-        if not -180 <= self.west < self.east <= 180 or not -90 <= self.south < self.north <= 90:
-            raise ValueError("search bounds must be ordered longitudes and latitudes")
-        if not self.collection or not self.start or not self.end:
-            raise ValueError("collection and dates must not be empty")
-        if not 1 <= self.limit <= 1000:
-            raise ValueError("limit must be between 1 and 1000")
-        if self.max_cloud_cover is not None and not 0 <= self.max_cloud_cover <= 100:
-            raise ValueError("max_cloud_cover must be a percentage")
+        if found := self.defects():
+            raise ValueError("; ".join(found))
+
+
+def _ascending(pair: tuple[float, float], most: float) -> bool:
+    return -most <= pair[0] < pair[1] <= most
 
 
 def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +83,7 @@ def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def search(items: DataFrame, query: Search) -> DataFrame:
-    """Items meeting bounds, dates and cloud, the first ``limit`` by (datetime, id).
+    """Items meeting bounds, dates and cloud; with a limit the first by (datetime, id).
 
     A missing cloud share never passes a cloud ceiling. Every condition is a plain
     column comparison, so those on flat columns reach the scan.
@@ -86,7 +100,8 @@ def search(items: DataFrame, query: Search) -> DataFrame:
     if query.max_cloud_cover is not None:
         cloud = F.col("properties")["eo:cloud_cover"].try_cast("double")
         found = found.filter(cloud < query.max_cloud_cover)
-    return allow_listed(found).orderBy("datetime", "item_id").limit(query.limit)
+    kept = allow_listed(found)
+    return kept if query.limit is None else kept.orderBy("datetime", "item_id").limit(query.limit)
 
 
 def allow_listed(items: DataFrame, keys: Sequence[str] = SAFE_PROPERTIES) -> DataFrame:

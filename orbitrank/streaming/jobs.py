@@ -58,14 +58,17 @@ def score_stream(queries: DataFrame, index: DataFrame, k: int, path: str, checkp
     return start_batches(queries, path, checkpoint, rank, available_now=available_now)
 
 
-def day_dedupe_stream(items: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Least cloudy item per place and day so far; items behind the watermark are dropped.
+def day_dedupe_stream(items: DataFrame, late_after: str | None) -> DataFrame:
+    """Least cloudy item per place and day so far. ``items`` has (place_id, ts, cloud, item_id).
 
-    ``items`` has (place_id, ts, cloud, item_id).
+    ``late_after`` is the policy for late items: with None every item counts whenever it
+    comes, so the answer does not depend on how a bounded table is cut into files and
+    batches, and a row of state stays for each place and day; with a delay, items behind
+    the watermark are dropped and their days leave the state.
     """
     order = F.struct(F.coalesce("cloud", F.lit(float("inf"))), F.col("ts"), F.col("item_id"))
     return (
-        items.withWatermark("ts", delay)
+        (items if late_after is None else items.withWatermark("ts", late_after))
         .groupBy("place_id", F.window("ts", "1 day"))
         .agg(F.min_by(F.struct("item_id", "cloud", "ts"), order).alias("row"), F.count(F.lit(1)).alias("items_that_day"))
         .select("place_id", F.to_date("window.start").alias("acquisition_day"), "row.*", "items_that_day")
@@ -85,21 +88,16 @@ def unique_within_watermark(items: DataFrame, delay: str = "1 day") -> DataFrame
 
 
 def ingest_stream(items: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append content never seen before, over the whole history.
+    """Keep each content once, under the lowest id that it ever came with.
 
-    ``items`` has (item_id, content). Inside a batch the lowest id of a content wins;
-    earlier batches win over later ones.
+    ``items`` has (item_id, content). The lowest id of every content is kept as keyed
+    state; each batch writes the contents whose id is new or lower, and ``latest`` with
+    key ``sha256`` reads what holds. No batch reads what earlier ones wrote.
     """
-    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
-        hashed = batch.select(content_sha256(F.col("content")).alias("sha256"), "item_id")
-        first = hashed.groupBy("sha256").agg(F.min("item_id").alias("item_id"))
-        if batch_id == 0:
-            return first
-        written = batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-        seen = written.filter(F.col("batch_id") < batch_id)
-        return first.join(seen.select("sha256"), "sha256", "left_anti")
-
-    return start_batches(items, path, checkpoint, fresh, available_now=available_now)
+    lowest = items.select(content_sha256(F.col("content")).alias("sha256"), "item_id").groupBy("sha256").agg(
+        F.min("item_id").alias("item_id")
+    )
+    return start_batches(lowest, path, checkpoint, mode="update", available_now=available_now)
 
 
 def precision_monitor(hits: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:

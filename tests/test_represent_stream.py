@@ -78,7 +78,28 @@ def test_ingest_remembers_every_batch(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
         stream = jobs.read_parquet_stream(spark, str(folder), spark.createDataFrame([], schema).schema)
         jobs.drain(jobs.ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")))
-    assert {r["item_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "c", "e", "g"}
+    kept = jobs.latest(str(tmp_path / "out"), spark, ["sha256"]).collect()
+    assert sorted(r["item_id"] for r in kept) == ["a", "c", "e", "g"]
+
+
+def test_a_lower_id_of_a_later_batch_wins(spark, tmp_path):
+    folder, schema = tmp_path / "in", "item_id string, content binary"
+    for batch in ([("m", b"x"), ("b", b"y")], [("a", b"x"), ("z", b"y")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = jobs.read_parquet_stream(spark, str(folder), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    jobs.drain(jobs.ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")))
+    assert sorted(r["item_id"] for r in jobs.latest(str(tmp_path / "out"), spark, ["sha256"]).collect()) == ["a", "b"]
+
+
+def test_without_a_late_policy_every_row_counts(spark, tmp_path):
+    folder = tmp_path / "in"
+    for day, cloud, item in ((9, 5.0, "a"), (1, 9.0, "b"), (9, 1.0, "c"), (1, 2.0, "d")):
+        row = [("p", dt.datetime(2024, 6, day), cloud, item)]
+        spark.createDataFrame(row, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = jobs.read_parquet_stream(spark, str(folder), spark.createDataFrame([], EVENTS).schema, files_per_batch=1)
+    jobs.drain(jobs.start_batches(jobs.day_dedupe_stream(stream, None), str(tmp_path / "out"), str(tmp_path / "state"), mode="update"))
+    got = jobs.latest(str(tmp_path / "out"), spark, ["place_id", "acquisition_day"]).collect()
+    assert {(r["acquisition_day"].day, r["item_id"], r["items_that_day"]) for r in got} == {(1, "d", 2), (9, "c", 2)}
 
 
 def test_repeats_within_the_watermark(spark, tmp_path):

@@ -163,12 +163,12 @@ def test_rare_labels_claim_cells_first(spark):
     # c3 covers both y; x is then one short, and every x cell gives that one: hashed order decides.
     first_x = min(("c1", "c2", "c4"), key=lambda c: sha(f"1:{c}"))
     assert owned == {"c3", first_x}
-    with pytest.raises(Exception, match="label capacity"):
+    with pytest.raises(Exception, match="too few patches of label"):
         selection.allocate_cells(df, ["x", "y", "q"], 3, policy, is_index=False).collect()
 
 
 def test_policy_shortfalls_raise(spark):
     df = spark.createDataFrame([("p1", ["x"], "c1")], "patch_id string, labels array<string>, spatial_group string")
     policy = selection.Policy(partitions={}, minimum_label_count=1, minimum_query_cells=2)
-    with pytest.raises(Exception, match="spatial cells"):
+    with pytest.raises(Exception, match="cells are left"):
         selection.allocate_cells(df, ["x"], 1, policy, is_index=False).collect()

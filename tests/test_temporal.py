@@ -25,8 +25,19 @@ def test_least_cloudy_and_missing_cloud(spark):
     found = temporal.day_dedupe(items)
     assert {(r["acquisition_day"], r["item_id"]) for r in found.collect()} == {
         ("2024-06-01", "a"), ("2024-06-02", "d"), ("unknown", "e"), ("2024-06-03", "f")}
-    row = temporal.place_survey(found).first()
+    places = spark.createDataFrame([("p",), ("empty",)], "place_id string")
+    rows = {r["place_id"]: r for r in temporal.place_survey(places, found).collect()}
+    row, none = rows["p"], rows["empty"]
     assert (row["items_returned"], row["distinct_days"], row["usable"]) == (7, 4, True)
+    assert (none["items_returned"], none["distinct_days"], none["usable"], none["first_day"]) == (0, 0, False, None)
+    totals = temporal.survey_totals(temporal.place_survey(places, found)).first()
+    assert (totals["places"], totals["minimum"], totals["median"], totals["total"]) == (2, 0, 4, 4)
+
+
+def test_windows_stay_on_the_globe(spark):
+    places = spark.createDataFrame([("ok", 10.0, 50.0), ("edge", 179.99, 0.0), ("pole", 0.0, 89.95)], "place_id string, longitude double, latitude double")
+    found = temporal.window_violations(temporal.with_windows(places, 20_000.0)).collect()
+    assert {(r["rule"], r["key"]) for r in found} == {("window_longitude_order", "edge"), ("window_latitude_order", "pole")}
 
 
 def test_dates_spread_over_the_year(spark):

@@ -57,6 +57,8 @@ def test_fewer_rows_than_k_and_self_exclusion(spark):
     assert as_lists(topk.exact_topk(left, right, 5, exclude_self=False)) == {"a": ["a", "b"]}
     with pytest.raises(ValueError):
         topk.exact_topk(left, right, 0)
+    with pytest.raises(ValueError, match="distinct"):
+        topk.exact_topk(left.unionByName(left), right, 1)
 
 
 def test_plan_limits_before_the_shuffle(spark):
