@@ -2,18 +2,22 @@
 
 1. Every document becomes the set of hashes of its shingles. Equal sets are one set from
    here on, whatever the number of copies.
-2. Two sets that are alike enough share a shingle among the first few of either, in any
-   one order of shingles (the prefix filter). The order puts shingles that many
-   documents share last, so that common passages bring nobody together. Which those are
-   is estimated on a bounded sample; the estimate has no bearing on the result.
-3. Sets that share a prefix shingle and whose sizes allow a link are chained, and the
+2. A set's keys are its first shingles in the order of their hashes: as many as may be
+   missing from a partner, and m more. Linked sets share at least m keys. A set that
+   shares fewer with all other sets together has no links and is done. Of the others'
+   keys the m - 1 that most sets share are left out, as one shared key must remain. So
+   common passages bring nobody together.
+3. Sets that share a key that is left and whose sizes allow a link are chained, and the
    chains' connected components are families: no link leaves a family.
 4. A family's sets are sorted by size and cut into tiles. Tiles whose sizes allow a link
    meet in one task. There hashed bitmap signatures bound the intersection of two sets
    from above by counting bits, and what is left is intersected as sorted arrays.
-5. The verified links' connected components are the classes.
+5. A meeting gives, for each of its sets that links, how many documents it links with
+   and the least set that its links reach there. The connected components of these are
+   the classes.
 
-No step holds more than two tiles, and no step makes the pairs of a group of copies.
+No step holds more than two tiles, and no step gives the pairs of a group: what leaves a
+meeting is at most a row for each of its sets.
 
 Defined results: null and empty texts and texts without words have an empty set, no
 links and a class of their own; a text with fewer words than a shingle is one shingle of
@@ -24,7 +28,6 @@ no other. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,12 +44,14 @@ from orbitrank.session import cut_lineage
 TILE_SETS = 1_024
 #: Bits of a signature.
 SIGNATURE_BITS = 2_048
-#: Documents sampled for the order of shingles, and how many must share a common one.
-ORDER_SAMPLE, COMMON_AT = 20_000, 4
-#: Most frequent sampled shingles that are put last.
-MOST_COMMON = 200_000
+#: One shared key more is asked for with so many shingles that may be missing.
+SPARE = 3
+#: Rounds that take out sets which share too little with those that are left.
+PRUNING = 2
+#: Rows whose sets are made at once.
+SET_ROWS = 512
 #: Up to this many rows that name a set's document are shipped; more are joined.
-SHIPPED_GIVERS = 500_000
+SHIPPED_GIVERS = 200_000
 
 
 @dataclass(frozen=True)
@@ -61,9 +66,10 @@ class Likeness:
         return -(-self.per_cent * (one + two) // (100 + self.per_cent))
 
     def prefix(self, size):
-        """How many first shingles of a set of ``size`` may not be skipped."""
-        # A partner holds at least per_cent of the set, so this many may be missing, and one.
-        return size - -(-self.per_cent * size // 100) + 1
+        """Keys of a set, and how many of them it shares with any partner."""
+        missing = size - -(-self.per_cent * size // 100)
+        shared = 1 + min(missing // SPARE, size - missing - 1)
+        return missing + shared, shared
 
     def sizes_fit(self, small, large):
         """Whether sets of these sizes can link at all."""
@@ -97,77 +103,66 @@ def _set_name(shingles: np.ndarray) -> int:
         return int(mix64(np.array([total ^ np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
-def _common_shingles(docs: DataFrame, like: Likeness, n_docs: int) -> np.ndarray:
-    """Sorted shingles that several of the sampled documents share, rarest order first.
-
-    Returned as two columns: shingle and its count.
-    """
-    span = 1 << 20
-    share = int(span * min(1.0, ORDER_SAMPLE / max(n_docs, 1)))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share)
-
-    def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(docs: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, text_hash, size, set (name), keys and needed (shared ones) of every document."""
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            sets = list(shingle_sets(batch.column(0), like.words))
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"]
-            )
+            for at in range(0, len(batch), SET_ROWS):
+                piece = batch.slice(at, SET_ROWS)
+                sizes, names, keys, needed = [], [], [], []
+                for shingles in shingle_sets(piece.column(2), like.words):
+                    sizes.append(len(shingles))
+                    names.append(_set_name(shingles) if len(shingles) else None)
+                    length, shared = like.prefix(len(shingles)) if len(shingles) else (0, 0)
+                    keys.append(shingles[:length].view(np.int64))
+                    needed.append(shared)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(needed, pa.int32())],
+                    names=["doc_id", "text_hash", "size", "set", "keys", "needed"],
+                )
 
-    # Copies of a text count once: they end up in one set.
-    table = (
-        sample.select("text").distinct().mapInArrow(counted, "shingle bigint, n bigint")
-        .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_AT)
-        .orderBy(F.col("n").desc(), "shingle").limit(MOST_COMMON).toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(
+        batches, f"doc_id {kind}, text_hash bigint, size bigint, set bigint, "
+        "keys array<bigint>, needed int",
     )
-    table = table.assign(shingle=table["shingle"].to_numpy().view(np.uint64)).sort_values("shingle")
-    return np.stack([table["shingle"].to_numpy(np.uint64), table["n"].to_numpy(np.uint64)])
-
 
-def _prefixes(docs: DataFrame, like: Likeness, common: np.ndarray) -> DataFrame:
-    """doc_id, size, set (name) and prefix (shingles) of every document."""
-    shipped = docs.sparkSession.sparkContext.broadcast(common)
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shipped.value
-        for batch in stream:
-            sizes, names, prefixes = [], [], []
-            for shingles in shingle_sets(batch.column(1), like.words):
-                sizes.append(len(shingles))
-                names.append(_set_name(shingles) if len(shingles) else None)
-                n = like.prefix(len(shingles)) if len(shingles) else 0
-                if len(keys) and n:
-                    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-                    rank = np.where(keys[at] == shingles, counts[at], np.uint64(0))
-                    shingles = shingles[np.argsort(rank, kind="stable")]
-                prefixes.append(shingles[:n].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "size", "set", "prefix"],
-            )
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries (key, set, needed) whose key another set has too, with ``sharing`` sets.
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        batches, f"doc_id {kind}, size bigint, set bigint, prefix array<bigint>"
-    )
+    A set with fewer such keys than it needs has no links and goes.
+    """
+    sharing = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = entries.withColumn("sharing", sharing).where(F.col("sharing") > 1)
+    enough = Window.partitionBy("set")
+    return shared.withColumn("own", F.count(F.lit(1)).over(enough)).where(F.col("own") >= F.col("needed"))
 
 
-def _chains(prefixed: DataFrame, like: Likeness) -> DataFrame:
-    """Edges (a, b) between sets that share a prefix shingle and may link by size.
+def _chains(keyed: DataFrame, like: Likeness) -> DataFrame:
+    """Edges (a, b) between sets that share a key and may link by size.
 
-    The sets of a shingle, by size, are runs in which each is near enough to the one
+    The sets of a key, by size, are runs in which each is near enough to the one
     before; every one is joined to the first of its run.
     """
-    sets = prefixed.where(F.col("size") > 0).groupBy("set").agg(
-        F.first("size").alias("size"), F.first("prefix").alias("prefix")
+    sets = keyed.where(F.col("size") > 0).groupBy("set").agg(
+        F.first("size").alias("size"), F.first("needed").alias("needed"), F.first("keys").alias("keys")
     )
-    entries = sets.select(F.explode("prefix").alias("shingle"), "size", "set")
-    by_size = Window.partitionBy("shingle").orderBy("size", "set")
+    entries = sets.select("set", "needed", F.explode("keys").alias("key"))
+    for _ in range(PRUNING):
+        entries = cut_lineage(_shared(entries.select("key", "set", "needed")))
+    # The keys that most sets share are spared, as many as may be.
+    common_first = Window.partitionBy("set").orderBy(F.col("sharing").desc(), "key")
+    kept = entries.withColumn("place", F.row_number().over(common_first)).where(
+        F.col("place") >= F.col("needed")
+    ).select("key", "set").join(sets.select("set", "size"), "set")
+    by_size = Window.partitionBy("key").orderBy("size", "set")
     so_far = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.lag("size").over(by_size)
     fresh = before.isNull() | (F.col("size") * like.per_cent > before * 100)
     return (
-        entries.withColumn("fresh", fresh)
+        kept.withColumn("fresh", fresh)
         .withColumn("head", F.last(F.when(F.col("fresh"), F.col("set")), ignorenulls=True).over(so_far))
         .where(~F.col("fresh")).select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
     )
@@ -181,8 +176,10 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def tile_links(one: list[np.ndarray], two: list[np.ndarray] | None, like: Likeness) -> list[tuple[int, int]]:
-    """Places of linked sets in two tiles, or within one. Tiles are sorted by size.
+def tile_links(
+    one: list[np.ndarray], two: list[np.ndarray] | None, like: Likeness
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two tiles, or within one, each set of the first with those that it links with, by place.
 
     Sets that have different bits cannot share the shingles behind them: the sizes and
     the number of different bits bound the intersection from above.
@@ -190,7 +187,6 @@ def tile_links(one: list[np.ndarray], two: list[np.ndarray] | None, like: Likene
     other = one if two is None else two
     marks, other_marks = _signatures(one), _signatures(other)
     sizes = np.array([len(x) for x in other])
-    out = []
     for i, own in enumerate(one):
         low, high = (i + 1, len(other)) if two is None else (0, len(other))
         near = np.arange(low, high)
@@ -210,17 +206,50 @@ def tile_links(one: list[np.ndarray], two: list[np.ndarray] | None, like: Likene
         at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
         common = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum(lengths) - lengths)
         linked = near[common >= like.least_common(lengths, len(own))]
-        out += [(i, int(j)) for j in linked]
-    return out
+        if len(linked):
+            yield i, linked
+
+
+def meeting(
+    one: list[np.ndarray], two: list[np.ndarray] | None, copies: np.ndarray, like: Likeness
+) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets of two tiles, or of one: documents linked with, and place of the class's first.
+
+    ``copies`` counts the documents of each set, those of the second tile after the first's.
+    """
+    partners = np.zeros(len(copies), dtype=np.int64)
+    first = np.arange(len(copies))
+    for i, linked in tile_links(one, two, like):
+        linked = linked + (0 if two is None else len(one))
+        partners[i] += copies[linked].sum()
+        partners[linked] += copies[i]
+        joined = np.unique(np.append(first[linked], first[i]))
+        if len(joined) > 1:
+            first[np.isin(first, joined)] = joined[0]
+    return partners, first
+
+
+def _tiles(families: DataFrame) -> DataFrame:
+    """``families`` with a tile for each set: a run of sizes of about ``TILE_SETS`` sets.
+
+    Counted by size, so that no family is sorted as a whole; a size of more sets than
+    that is dealt out by the sets' names.
+    """
+    sizes = families.groupBy("family", "size").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("family").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = F.ceil(F.col("n") / TILE_SETS)
+    tile = F.floor(F.col("ahead") / TILE_SETS) + F.pmod(F.xxhash64("set"), parts)
+    return families.join(runs, ["family", "size"]).withColumn("tile", tile.cast("long")).drop("n", "ahead")
 
 
 def _verified(docs: DataFrame, families: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) between sets of one family. families: set, size, family."""
-    # Tiles: the family's sets by size, TILE_SETS to a tile; the sizes that each spans.
-    by_size = Window.partitionBy("family").orderBy("size", "set")
-    tiled = cut_lineage(families.withColumn(
-        "tile", F.floor((F.row_number().over(by_size) - 1) / TILE_SETS).cast("long")
-    ))
+    """set, other (the first set of its class there) and partners of the sets that link.
+
+    A set has a row for each meeting in which it links. families: set, size, family,
+    copies, doc_id, text_hash.
+    """
+    tiled = cut_lineage(_tiles(families))
     spans = tiled.groupBy("family", "tile").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     later = spans.select(
         "family", F.col("tile").alias("with"), F.col("least").alias("with_least")
@@ -233,26 +262,29 @@ def _verified(docs: DataFrame, families: DataFrame, like: Likeness) -> DataFrame
 
     def sets(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            found = list(shingle_sets(batch.column(0), like.words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_name(x) if len(x) else None for x in found], pa.int64()),
-                 pa.array([x.tobytes() for x in found], pa.binary())], names=["named", "shingles"],
-            )
+            for at in range(0, len(batch), SET_ROWS):
+                piece = batch.slice(at, SET_ROWS)
+                found = [x.tobytes() for x in shingle_sets(piece.column(5), like.words)]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns[:5], pa.array(found, pa.binary())],
+                    names=["family", "of", "size", "set", "copies", "shingles"],
+                )
 
     # One document of each set in a family gives the set itself.
-    givers = tiled.select("doc_id", "text_hash")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    givers = tiled.select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "family", F.col("tile").alias("of"),
+        "size", "set", "copies",
+    )
     if givers.count() <= SHIPPED_GIVERS:
         givers = F.broadcast(givers)
-    content = (
-        texts.join(givers, (texts["doc_id"].eqNullSafe(givers["doc_id"])) & (texts["text_hash"] == givers["text_hash"]))
-        .select("text").mapInArrow(sets, "named bigint, shingles binary")
-        .groupBy("named").agg(F.first("shingles").alias("shingles"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    placed = texts.join(givers, same).select("family", "of", "size", "set", "copies", "text").mapInArrow(
+        sets, "family bigint, of bigint, size bigint, set bigint, copies bigint, shingles binary"
     )
-    placed = tiled.join(content, F.col("set") == F.col("named")).select(
-        "family", F.col("tile").alias("of"), "set", "size", "shingles"
+    dealt = placed.join(wanted, ["family", "of"]).select(
+        "family", "tile", "with", "of", "size", "set", "copies", "shingles"
     )
-    dealt = placed.join(wanted, ["family", "of"]).select("family", "tile", "with", "of", "size", "set", "shingles")
 
     def linked(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tiles = None, {}
@@ -260,92 +292,83 @@ def _verified(docs: DataFrame, families: DataFrame, like: Likeness) -> DataFrame
         def finish() -> pa.RecordBatch | None:
             if key is None:
                 return None
-            own = tiles.get(key[1], ([], []))
-            if key[1] == key[2]:
-                pairs = [(own[0][i], own[0][j]) for i, j in tile_links(own[1], None, like)] if own[1] else []
-            else:
-                other = tiles.get(key[2], ([], []))
-                found = tile_links(own[1], other[1], like) if own[1] and other[1] else []
-                pairs = [(own[0][i], other[0][j]) for i, j in found]
+            none: tuple[list, list, list] = ([], [], [])
+            own, other = tiles.get(key[1], none), none if key[1] == key[2] else tiles.get(key[2], none)
+            names = np.array(own[0] + other[0], dtype=np.int64)
+            copies = np.array(own[1] + other[1], dtype=np.int64)
+            if not own[0] or key[1] != key[2] and not other[0]:
+                return None
+            partners, first = meeting(own[2], None if key[1] == key[2] else other[2], copies, like)
+            linked = np.flatnonzero(partners)
             return pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())],
-                names=["a", "b"],
+                [pa.array(names[linked]), pa.array(names[first[linked]]), pa.array(partners[linked])],
+                names=["set", "other", "partners"],
             )
 
         for batch in stream:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
-            for family, tile, partner, of, _, name, shingles in rows:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True)
+            for family, tile, partner, of, _, name, n, shingles in rows:
                 if (family, tile, partner) != key:
                     if (made := finish()) is not None:
                         yield made
                     key, tiles = (family, tile, partner), {}
-                names, content = tiles.setdefault(of, ([], []))
-                names.append(name)
-                content.append(np.frombuffer(shingles, dtype=np.uint64))
+                names, copies, content = tiles.setdefault(of, ([], [], []))
+                if not names or names[-1] != name:  # equal rows of one id give a set twice
+                    names.append(name)
+                    copies.append(n)
+                    content.append(np.frombuffer(shingles, dtype=np.uint64))
         if (made := finish()) is not None:
             yield made
 
     return (
         dealt.repartition("family", "tile", "with")
         .sortWithinPartitions("family", "tile", "with", "of", "size", "set")
-        .mapInArrow(linked, "a bigint, b bigint")
+        .mapInArrow(linked, "set bigint, other bigint, partners bigint")
     )
 
 
 @dataclass(frozen=True)
 class Joined:
-    """Documents with their sets, the links between sets, and the class of each set."""
+    """Documents with their sets, each set's documents, linked documents and class.
+
+    sets: set, copies, lowest (id), partners, class.
+    """
 
     documents: DataFrame
-    links: DataFrame
-    classes: DataFrame
+    sets: DataFrame
 
 
 def join_sets(docs: DataFrame, like: Likeness) -> Joined:
     """Run the join over ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    n_docs = docs.select("doc_id").count()
-    common = _common_shingles(docs, like, n_docs)
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    prefixed = cut_lineage(_with_hash(hashed, like, common))
-    edges = cut_lineage(_chains(prefixed, like))
+    keyed = cut_lineage(_keyed(docs, like))
+    edges = cut_lineage(_chains(keyed, like))
     family = connected(edges)
-    givers = prefixed.where(F.col("size") > 0).groupBy("set").agg(
-        F.first("size").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("giver")
+    givers = keyed.where(F.col("size") > 0).groupBy("set").agg(
+        F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lowest"),
+        F.min(F.struct("doc_id", "text_hash")).alias("giver"),
     )
     members = family.join(givers, family["node"] == givers["set"]).select(
-        "set", "size", F.col("component").alias("family"), "giver.doc_id", "giver.text_hash"
+        "set", "size", F.col("component").alias("family"), "copies", "giver.doc_id", "giver.text_hash"
     )
     links = cut_lineage(_verified(docs, members, like))
-    return Joined(prefixed.drop("prefix"), links, connected(links))
-
-
-def _with_hash(hashed: DataFrame, like: Likeness, common: np.ndarray) -> DataFrame:
-    """Prefixes beside the hash of each text, carried through as part of the id."""
-    keyed = hashed.select(F.struct("doc_id", "text_hash").alias("doc_id"), "text")
-    return _prefixes(keyed, like, common).select("doc_id.doc_id", "doc_id.text_hash", "size", "set", "prefix")
+    classes = connected(links.select(F.col("set").alias("a"), F.col("other").alias("b")))
+    partners = links.groupBy("set").agg(F.sum("partners").alias("partners"))
+    sets = givers.join(classes, givers["set"] == classes["node"], "left").join(partners, "set", "left").select(
+        "set", "copies", "lowest", F.coalesce("partners", F.lit(0)).alias("partners"),
+        F.coalesce("component", "set").alias("class"),
+    )
+    return Joined(keyed.drop("keys", "needed"), cut_lineage(sets))
 
 
 def linked_documents(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every document."""
     joined = join_sets(docs, like)
-    rows = joined.documents
-    copies = rows.where(F.col("size") > 0).groupBy("set").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lowest")
-    )
-    both = joined.links.unionByName(joined.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = both.join(copies, F.col("b") == F.col("set")).groupBy("a").agg(F.sum("copies").alias("others"))
-    classes = joined.classes
-    known = (
-        copies.join(classes, copies["set"] == classes["node"], "left")
-        .join(partners, copies["set"] == partners["a"], "left")
-        .select(
-            copies["set"].alias("of"), F.coalesce("component", copies["set"]).alias("class"), "lowest",
-            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-        )
+    rows, sets = joined.documents, joined.sets
+    ids = sets.groupBy("class").agg(F.min("lowest").alias("component_id"))
+    named = sets.join(ids, "class").select(
+        F.col("set").alias("of"), "component_id", (F.col("copies") - 1 + F.col("partners")).alias("n_links")
     )
-    ids = known.groupBy("class").agg(F.min("lowest").alias("component_id"))
-    named = known.join(ids, "class").select("of", "component_id", "n_links")
     return rows.join(named, rows["set"] == named["of"], "left").select(
         rows["doc_id"], rows["size"].alias("n_shingles"),
         F.coalesce("component_id", rows["doc_id"]).alias("component_id"),
@@ -362,9 +385,8 @@ def one_of_each(docs: DataFrame, like: Likeness) -> DataFrame:
     """
     joined = join_sets(docs, like)
     rows = joined.documents.where(F.col("size") > 0)
-    members = rows.join(joined.classes, rows["set"] == joined.classes["node"], "left").select(
-        F.coalesce("component", "set").alias("class"),
-        F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("row"),
+    members = rows.join(joined.sets.select("set", "class"), "set").select(
+        "class", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("row"),
     ).groupBy("class", "row").agg(F.count(F.lit(1)).alias("copies"))
     first = members.groupBy("class").agg(F.min("row").alias("first"))
     judged = cut_lineage(
