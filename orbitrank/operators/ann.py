@@ -155,7 +155,7 @@ def expand_corpus(
     if target_size < base_rows:
         raise ValueError("target_size must be at least the base size")
     if noise_std <= 0:
-        raise ValueError("noise_std must be positive")
+        raise ValueError("noise needs a spread above zero")
     base = store.select("position", l2_normalize(F.col("embedding")).alias("embedding"))
     ids = store.sparkSession.range(base_rows, target_size).withColumnRenamed("id", "new_position")
     copies = ids.withColumn("position", F.pmod(F.col("new_position") - base_rows, F.lit(base_rows))).join(

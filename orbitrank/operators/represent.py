@@ -102,7 +102,7 @@ def fit_pca(rows: DataFrame, components: int, vector: str = "vector") -> Project
         raise ValueError("there are no index rows to fit on")
     mean = seen["mean"].toArray()
     if not 1 <= components <= min(seen["n"], len(mean)):
-        raise ValueError(f"components must be between 1 and {min(seen['n'], len(mean))}")
+        raise ValueError(f"{min(seen['n'], len(mean))} components can be fitted at most, and one at least")
     if len(mean) <= COVARIANCE_FEATURES:
         model = PCA(k=components, inputCol="features", outputCol="projected").fit(features)
         return Projection(mean, model.pc.toArray().T, model.explainedVariance.toArray())

@@ -89,7 +89,7 @@ def agreement(hits: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     """Mean overlap@k of every pair of stores, divided by k."""
     names = sorted(names)
     if len(names) < 2:
-        raise ValueError("agreement needs at least two stores")
+        raise ValueError("one store agrees with nobody: give two or more")
     shared = shared_rankings(hits, names)
     pairs = [
         F.struct(

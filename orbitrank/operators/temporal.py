@@ -146,7 +146,7 @@ def select_dates(days: DataFrame, max_dates: int) -> DataFrame:
     takes the first day.
     """
     if max_dates < 1:
-        raise ValueError("max_dates must be positive")
+        raise ValueError("at least one date is chosen")
     first, last = F.element_at("days", 1), F.element_at("days", -1)
 
     def add(chosen: Column, slot: Column) -> Column:
@@ -170,7 +170,7 @@ def choose_queries(days: DataFrame, count: int) -> DataFrame:
     Places with no more than ``count`` days leave no index and are dropped.
     """
     if count < 1:
-        raise ValueError("count must be positive")
+        raise ValueError("at least one query is held out")
     n = F.size("days")
     slots = F.array(*[F.lit(slot + 0.5) for slot in range(count)])
     positions = F.array_distinct(

@@ -245,12 +245,12 @@ def q_budget_labels(spark, sf_dir):
 @register(
     "unknown_members",
     with_sql(SQL_CANDIDATES)
-    + "SELECT 'm' || CAST(l_orderkey + 14900 AS VARCHAR) AS member FROM lineitem WHERE l_linenumber = 1 EXCEPT ALL SELECT m FROM (SELECT 'm' || CAST(l_orderkey + 14900 AS VARCHAR) AS m FROM lineitem WHERE l_linenumber = 1) WHERE m IN (SELECT member FROM candidates)",
+    + "SELECT 'm' || CAST(l_orderkey + 14900 AS VARCHAR) AS member FROM lineitem EXCEPT ALL SELECT m FROM (SELECT 'm' || CAST(l_orderkey + 14900 AS VARCHAR) AS m FROM lineitem) WHERE m IN (SELECT member FROM candidates)",
 )
 def q_unknown(spark, sf_dir):
     from orbitrank.plans.bindings import read
 
-    used = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(
+    used = read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("m"), (F.col("l_orderkey") + 14900).cast("string")).alias("member")
     )
     return coverage.unknown_members(candidates(spark, sf_dir), used)

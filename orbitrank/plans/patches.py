@@ -399,6 +399,7 @@ def q_geometry(spark, sf_dir):
 
 # ---- raster conformance -----------------------------------------------------
 
+# Metres to a pixel of each band.
 BAND_GSD = {"B01": 60, "B02": 10, "B03": 10, "B04": 10, "B05": 20, "B06": 20, "B07": 20,
             "B08": 10, "B09": 60, "B11": 20, "B12": 20, "B8A": 20}
 _BANDS = ", ".join(f"('{b}', {g})" for b, g in BAND_GSD.items())

@@ -22,6 +22,7 @@ METADATA_SCHEMA = T.StructType([
     T.StructField("contains_seasonal_snow", T.BooleanType()),
     T.StructField("contains_cloud_or_shadow", T.BooleanType()),
 ])
+# The publisher's id format.
 PATCH_PATTERN = r"^S2[AB]_MSIL2A_(\d{8}T\d{6})_N\d{4}_R\d{3}_T(\d{2}[A-Z]{3})_(\d{2})_(\d{2})$"
 
 
