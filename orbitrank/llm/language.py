@@ -36,7 +36,9 @@ SAMPLE_DOCS = 3_000
 MAX_NGRAMS = 1_000_000
 #: One in so many sampled documents calibrates instead of teaching.
 CALIBRATE_EVERY = 8
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
+#: Rows whose texts are measured at once.
+BATCH_ROWS = 512
 #: Rejection asks for this many symbols; shorter texts are never rejected for their entropy.
 REJECT_SYMBOLS = 40
 #: Entropy above the highest of the calibration documents, as a share of it, that rejects.
@@ -236,6 +238,13 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, held
 
 
+def _small(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few texts are held as strings."""
+    for batch in stream:
+        for at in range(0, len(batch), BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def _measure(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     bits = np.zeros((len(texts), len(model.languages)))
     n = np.zeros(len(texts), dtype=np.int64)
@@ -312,7 +321,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel
     shipped = labelled.sparkSession.sparkContext.broadcast(model)
 
     def measured(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in _small(stream):
             bits, n = _measure(shipped.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(bits), pa.list_(pa.float64())), pa.array(n)],
@@ -343,7 +352,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
-        for batch in stream:
+        for batch in _small(stream):
             bits, n = _measure(model, batch.column(1).to_pylist())
             best, share, lowest, rejected = model.decide(bits, n)
             yield pa.RecordBatch.from_arrays(
@@ -369,7 +378,7 @@ def drop_rejected(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     place = docs.columns.index("text")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in _small(stream):
             rejected = shipped.value.decide(*_measure(shipped.value, batch.column(place).to_pylist()))[3]
             yield batch.filter(pa.array(~rejected))
 
