@@ -4,7 +4,7 @@ A hidden state emits a class of words, and the class a word. A word's class is a
 its last three bytes, so the emissions of a state are a table of bounded size, while the
 words within the classes have their counts over the whole training corpus. Each round of
 Baum-Welch adds up expected counts of every training text on the executors; the sums
-have one row per class. Before the rounds the states are told apart on a bounded sample.
+have one row per class. The first round starts from states that differ at random.
 A text's likelihood is exact: the scaled forward recursion over all its classes, times
 the probability of each word in its class.
 
@@ -14,8 +14,9 @@ beyond the most frequent ones, whose counts are shipped, get their counts by a j
 Defined results: null text is empty and has one token, the end; repeated rows are scored
 each; words that training has not seen share a tenth of a count; without any training
 text all words are unseen. Columns other than doc_id and text are not read, whatever
-their names. For training, texts are cut in segments of ``SEGMENT`` tokens, of which
-later ones begin in the states' mean distribution; scoring is over whole texts.
+their names. Training and scoring are over whole texts. Texts of over ``WHOLE`` tokens
+are trained on in pieces of ``SEGMENT``, between which both recursions are carried on by
+the pieces' products of transitions, so that the counts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -34,9 +35,14 @@ from orbitrank.session import cut_lineage
 STATES = 8
 #: Word classes; one more symbol is the end of a text.
 CLASSES = 2_048
-SEGMENT, ROUNDS = 256, 4
-#: Segments sampled to tell the states apart, and rounds on them.
-SAMPLE_SEGMENTS, SAMPLE_ROUNDS = 4_096, 12
+#: Rounds of Baum-Welch, each over all training texts.
+ROUNDS = 16
+#: Tokens of the longest text that is trained on in one piece, and of a longer one's pieces.
+WHOLE, SEGMENT = 16_384, 256
+#: Tokens whose recursions are held at once, unless one text has more.
+HELD_TOKENS = 1 << 19
+#: Steps after which probabilities are scaled; each multiplies them by 1e-13 or more.
+RESCALE = 16
 #: Most frequent words whose counts are shipped to the tasks: two megabytes.
 SHIPPED_WORDS = 1 << 17
 #: Distinct words that a task gathers before it sums them up.
@@ -110,74 +116,145 @@ def log_likelihoods(model: States, symbols: np.ndarray, begins: np.ndarray, leng
     return out
 
 
-def expected_counts(model: States, segments: list[np.ndarray], firsts: np.ndarray) -> np.ndarray:
-    """Expected emissions, moves and starts of all segments, as ``States.of_counts`` takes them."""
+def expected_counts(
+    model: States, segments: list[np.ndarray], firsts: np.ndarray,
+    carried: np.ndarray | None = None, afters: np.ndarray | None = None,
+) -> np.ndarray:
+    """Expected emissions, moves and starts of all segments, as ``States.of_counts`` takes them.
+
+    ``carried`` is the states' distribution at the token before a segment, from which a
+    move is counted, and ``afters`` the backward value at its last token. Without them a
+    segment that is not a text's first begins in the mean distribution, and none goes on.
+    """
     states = len(model.start)
     lengths = np.array([len(x) for x in segments])
     order, active = _by_length(lengths)
-    symbols = np.concatenate(segments).astype(np.int64)
-    begins = (np.cumsum(lengths) - lengths)[order]
     firsts = firsts[order]
-    alphas, scaled = [], []
-    alpha = np.where(firsts[:, None], model.start, model.mean())
+    # Step by step, one row a state: what one step needs lies together.
+    starts = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+    begins = (np.cumsum(lengths) - lengths)[order]
+    joined = np.concatenate(segments)
+    symbols = np.empty(len(joined), dtype=np.int64)
+    for step, n in enumerate(active):
+        symbols[starts[step]:starts[step + 1]] = joined[begins[:n] + step]
+    emit, onward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    last = np.ones((states, len(order))) if afters is None else np.ascontiguousarray(afters[order].T)
+    come = None if carried is None else np.ascontiguousarray(carried[order].T)
+    before = model.mean()[:, None] if come is None else onward @ come
+    alpha = np.where(firsts, model.start[:, None], before)
+    alphas, seen = [], []
     for step, n in enumerate(active):
-        seen = model.emit[symbols[begins[:n] + step]]
-        alpha = (alpha[:n] if step == 0 else alpha[:n] @ model.move) * seen
-        scale = alpha.sum(axis=1, keepdims=True)
-        alpha = alpha / scale
+        if step:
+            alpha = onward @ alpha[:, :n]
+        own = emit.take(symbols[starts[step]:starts[step + 1]], axis=1, mode="clip")
+        alpha *= own
+        if step % RESCALE == 0:
+            scale = 1 / alpha.sum(axis=0)
+            alpha *= scale
+            own *= scale
         alphas.append(alpha)
-        scaled.append(seen / scale)
-    counts = np.zeros((CLASSES + 1 + states + 1, states))
-    emissions = np.zeros((len(symbols), states))
+        seen.append(own)
     moves = np.zeros((states, states))
-    beta = np.ones((0, states))
+    shares = np.empty((states, len(symbols)))
+    ahead = last[:, :0]
     for step in range(len(active) - 1, -1, -1):
-        n = active[step]
-        here = np.ones((n, states))
-        if step + 1 < len(active):
-            ahead = scaled[step + 1] * beta
-            moves += alphas[step][:len(ahead)].T @ ahead
-            here[:len(ahead)] = ahead @ model.move.T
-        beta = here
-        emissions[begins[:n] + step] = alphas[step] * beta
+        alpha, m = alphas.pop(), ahead.shape[1]
+        beta = model.move @ ahead
+        if m:
+            moves += alpha[:, :m] @ ahead.T
+        if m < active[step]:  # texts that end here: all their paths together weigh one
+            own = last[:, m:active[step]]
+            beta = np.concatenate([beta, own / (alpha[:, m:] * own).sum(axis=0)], axis=1)
+        np.multiply(alpha, beta, out=shares[:, starts[step]:starts[step + 1]])
+        ahead = seen.pop()
+        ahead *= beta
+    if come is not None and len(active):
+        moves += come[:, ~firsts] @ ahead[:, ~firsts].T
+    counts = np.zeros((CLASSES + 1 + states + 1, states))
     for state in range(states):
-        counts[:CLASSES + 1, state] = np.bincount(symbols, emissions[:, state], CLASSES + 1)
+        counts[:CLASSES + 1, state] = np.bincount(symbols, shares[state], CLASSES + 1)
     counts[CLASSES + 1:CLASSES + 1 + states] = moves * model.move
-    counts[-1] = emissions[begins[firsts]].sum(axis=0)
+    counts[-1] = shares[:, :len(order)][:, firsts].sum(axis=1)
     return counts
 
 
+def _borders(model: States, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``carried`` and ``afters`` of the pieces of one text, all but the last of one length."""
+    n, states = len(pieces), len(model.start)
+    grid = np.zeros((len(pieces[0]), n), dtype=np.int64)
+    for column, piece in enumerate(pieces):
+        grid[:len(piece), column] = piece
+    # Products of transition and emission over each piece; no move leads to the first token.
+    across = np.tile(np.eye(states)[:, :, None], n)
+    emit, onward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    for step in range(len(grid)):
+        m = n if step < len(pieces[-1]) else n - 1
+        moved = onward @ across[:, :, :m]
+        if step == 0:
+            moved[:, :, 0] = np.eye(states)
+        moved *= np.take(emit, grid[step, :m], axis=1)
+        if step % RESCALE == 0:
+            moved /= moved.sum(axis=(0, 1))
+        across[:, :, :m] = moved
+    across = np.moveaxis(across, 2, 0)
+    carried, afters = np.zeros((n, states)), np.ones((n, states))
+    alpha = model.start
+    for i in range(n - 1):
+        alpha = alpha @ across[i]
+        alpha = carried[i + 1] = alpha / alpha.sum()
+    beta = np.ones(states)
+    for i in range(n - 1, 0, -1):
+        beta = across[i] @ beta
+        beta = afters[i - 1] = beta / (carried[i] @ beta)
+    return carried, afters
+
+
+def text_counts(model: States, texts: list[np.ndarray]) -> np.ndarray:
+    """``expected_counts`` of whole texts of any length, a bounded number of tokens at once."""
+    states = len(model.start)
+    total = np.zeros((CLASSES + 2 + states, states))
+    texts = sorted(texts, key=len)
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
+    parts = np.cumsum(lengths) // HELD_TOKENS
+    for part in np.unique(parts[lengths <= WHOLE]):
+        own = texts[np.searchsorted(parts, part):np.searchsorted(parts, part, side="right")]
+        own = [x for x in own if len(x) <= WHOLE]
+        total += expected_counts(model, own, np.ones(len(own), dtype=bool))
+    for text in texts[np.searchsorted(lengths, WHOLE, side="right"):]:
+        pieces = [text[at:at + SEGMENT] for at in range(0, len(text), SEGMENT)]
+        carried, afters = _borders(model, pieces)
+        firsts = np.arange(len(pieces)) == 0
+        most = max(1, HELD_TOKENS // SEGMENT)
+        for at in range(0, len(pieces), most):
+            some = slice(at, at + most)
+            total += expected_counts(model, pieces[some], firsts[some], carried[some], afters[some])
+    return total
+
+
 def _segments(docs: DataFrame) -> DataFrame:
-    """first and symbols (16-bit, binary) of every segment of every text."""
+    """symbols (16-bit, binary) of every text, whole and with its end."""
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for start, stop, _, before, tails in hashed_words(batch.column(0)):
                 classes = _classes(tails)
-                firsts, made = [], []
-                for row in range(stop - start):
-                    own = np.append(classes[before[row]:before[row + 1]], np.uint16(CLASSES))
-                    for at in range(0, len(own), SEGMENT):
-                        firsts.append(at == 0)
-                        made.append(own[at:at + SEGMENT].astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(firsts, pa.bool_()), pa.array(made, pa.binary())], names=["first", "symbols"]
-                )
+                made = [
+                    np.append(classes[before[row]:before[row + 1]], np.uint16(CLASSES)).astype("<u2").tobytes()
+                    for row in range(stop - start)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["symbols"])
 
-    return docs.select("text").mapInArrow(batches, "first boolean, symbols binary")
+    return docs.select("text").mapInArrow(batches, "symbols binary")
 
 
-def _round(segments: DataFrame, model: States) -> States:
-    """One round of Baum-Welch over all segments."""
+def _round(texts: DataFrame, model: States) -> States:
+    """One round of Baum-Welch over all texts."""
     states = len(model.start)
     columns = [f"c{i}" for i in range(states)]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES + 2 + states, states))
         for batch in stream:
-            for at in range(0, len(batch), 1_024):
-                part = batch.slice(at, 1_024)
-                held = [np.frombuffer(x, dtype="<u2") for x in part.column(1).to_pylist()]
-                total += expected_counts(model, held, np.array(part.column(0)))
+            total += text_counts(model, [np.frombuffer(x, dtype="<u2") for x in batch.column(0).to_pylist()])
         whole = np.rint(total * _PARTS).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(whole), dtype=np.int32)), *[pa.array(whole[:, i]) for i in range(states)]],
@@ -185,30 +262,20 @@ def _round(segments: DataFrame, model: States) -> States:
         )
 
     schema = "place int, " + ", ".join(f"{c} bigint" for c in columns)
-    summed = segments.mapInArrow(batches, schema).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns])
+    summed = texts.select("symbols").mapInArrow(batches, schema).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns])
     counts = np.zeros((CLASSES + 2 + states, states))
     for row in summed.collect():  # one row per symbol and state
         counts[row["place"]] = row[1:]
     return States.of_counts(counts / _PARTS)
 
 
-def train(segments: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> States:
-    """Fit the states: first on a bounded sample of segments, then on all of them."""
-    n = segments.count()
+def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> States:
+    """Fit the states: every round is over all of ``texts``."""
     model = States.drawn(states)
-    if not n:
+    if texts.isEmpty():
         return model
-    span = 1 << 20
-    share = int(span * min(1.0, SAMPLE_SEGMENTS / n))
-    sample = segments.where(F.pmod(F.xxhash64("symbols"), F.lit(span)) < share).limit(2 * SAMPLE_SEGMENTS)
-    rows = sorted(sample.collect())
-    if rows:
-        held = [np.frombuffer(r["symbols"], dtype="<u2") for r in rows]
-        firsts = np.array([r["first"] for r in rows])
-        for _ in range(SAMPLE_ROUNDS):
-            model = States.of_counts(expected_counts(model, held, firsts))
     for _ in range(rounds):
-        model = _round(segments, model)
+        model = _round(texts, model)
     return model
 
 

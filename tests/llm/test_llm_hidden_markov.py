@@ -95,3 +95,30 @@ def test_rare_words_are_joined(spark, sf_dir, monkeypatch):
         assert r["n_known"] == whole[r["doc_id"]]["n_known"]
         assert abs(r["base_score"] - whole[r["doc_id"]]["base_score"]) < 1e-6
         assert abs(r["score"] - whole[r["doc_id"]]["score"]) < 1e-6
+
+
+def test_cut_texts_give_the_counts_of_whole_ones(monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, hm.CLASSES + 1, n).astype(np.uint16) for n in (1, 40, 41, 64, 700)]
+    model = hm.States.drawn(3, seed=2)
+    whole = hm.expected_counts(model, texts, np.ones(len(texts), dtype=bool))
+    monkeypatch.setattr(hm, "WHOLE", 40)
+    monkeypatch.setattr(hm, "SEGMENT", 8)
+    monkeypatch.setattr(hm, "HELD_TOKENS", 100)
+    cut = hm.text_counts(model, texts)
+    assert np.allclose(cut, whole)
+    assert abs(cut[hm.CLASSES + 1:-1].sum() - sum(len(x) - 1 for x in texts)) < 1e-6
+
+
+def test_every_round_is_over_all_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([("one and the same boilerplate " * 60,)] * 30 + [("quite another text",)], "text string")
+    texts, seen = hm._segments(docs), []
+    of_counts = hm.States.of_counts
+    monkeypatch.setattr(hm.States, "of_counts", staticmethod(lambda counts: seen.append(counts) or of_counts(counts)))
+    hm.train(texts)
+    tokens = 30 * (5 * 60 + 1) + 4
+    assert len(seen) == hm.ROUNDS
+    for counts in seen:
+        assert abs(counts[:hm.CLASSES + 1].sum() - tokens) < 1
+        assert abs(counts[hm.CLASSES + 1:-1].sum() - (tokens - 31)) < 1
+        assert abs(counts[-1].sum() - 31) < 0.1
