@@ -9,7 +9,9 @@ language has seen falls back to the shorter one times the context's left-over ma
 
 The language with the lowest cross-entropy per symbol is chosen. ``score`` is that
 language's share of a soft maximum whose temperature is calibrated on sampled documents
-that the models have not seen; so is the cross-entropy above which a text is rejected.
+that the models have not seen. So is, for each language, the cross-entropy above which a
+text is rejected: a high quantile over the documents that the language is chosen for, and
+a margin that widens for short texts, as the error of a mean does.
 
 Defined results: null text, empty text and text without a letter are ``und`` with score
 0 and are rejected; ties go to the language that is first by code point; documents with a
@@ -41,8 +43,13 @@ PIECE_CHARS = 1 << 18
 BATCH_ROWS = 512
 #: Rejection asks for this many symbols; shorter texts are never rejected for their entropy.
 REJECT_SYMBOLS = 40
-#: Entropy above the highest of the calibration documents, as a share of it, that rejects.
+#: Quantile of a language's calibration entropies that rejection starts from. A few
+#: mislabelled or noisy documents do not move it.
+REJECT_QUANTILE = 0.9
+#: Entropy above that quantile, as a share of it, that rejects a long text.
 REJECT_MARGIN = 0.6
+#: A text of a third of so many symbols has twice the margin of a long one.
+MARGIN_SYMBOLS = 400
 _SPACE, _OTHER = 0, 27
 _SYMBOLS = 256
 
@@ -117,7 +124,7 @@ class LanguageModel:
     left_over: tuple[tuple[np.ndarray, np.ndarray], ...]
     uniform: float
     temperature: float = 1.0
-    reject_above: float = float("inf")
+    reject_above: tuple[float, ...] = ()
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
         """log2 P(symbol | three before it), a row for every n-gram, a column per language."""
@@ -156,7 +163,9 @@ class LanguageModel:
         best = np.where(n > 0, per.argmin(axis=1), -1)
         lowest = per.min(axis=1)
         share = 1 / np.exp2((lowest[:, None] - per) * self.temperature).sum(axis=1)
-        rejected = (n == 0) | ((n >= REJECT_SYMBOLS) & (lowest > self.reject_above))
+        level = np.array(self.reject_above or [float("inf")] * len(self.languages))[best]
+        above = level * (1 + REJECT_MARGIN * np.sqrt(1 + MARGIN_SYMBOLS / np.maximum(n, 1)))
+        rejected = (n == 0) | ((n >= REJECT_SYMBOLS) & (lowest > above))
         return best, np.where(n > 0, share, 0.0), np.where(n > 0, lowest, 0.0), rejected
 
 
@@ -256,7 +265,10 @@ def _measure(model: LanguageModel, texts: list[str | None]) -> tuple[np.ndarray,
 
 
 def _calibrated(model: LanguageModel, bits: np.ndarray, n: np.ndarray, labels: list[str]):
-    """``model`` with the temperature of least log loss and the entropy that rejects."""
+    """``model`` with the temperature of least log loss and the entropies that reject.
+
+    A language that is chosen for no calibration document takes that of all documents.
+    """
     numbers = {x: i for i, x in enumerate(model.languages)}
     truth = np.array([numbers.get(x, -1) for x in labels], dtype=np.int64)
     use = (truth >= 0) & (n > 0)
@@ -268,9 +280,13 @@ def _calibrated(model: LanguageModel, bits: np.ndarray, n: np.ndarray, labels: l
     for temperature in (0.5, 1, 2, 4, 8, 16, 32):
         share = 1 / np.exp2((own[:, None] - per) * temperature).sum(axis=1)
         losses[temperature] = -np.log(np.maximum(share, 1e-12)).mean()
-    lowest = per.min(axis=1)[n >= REJECT_SYMBOLS]
-    above = lowest.max() * (1 + REJECT_MARGIN) if len(lowest) else float("inf")
-    return replace(model, temperature=float(min(losses, key=losses.get)), reject_above=float(above))
+    long = n >= REJECT_SYMBOLS
+    lowest, chosen = per.min(axis=1)[long], per.argmin(axis=1)[long]
+    above = []
+    for number in range(len(model.languages)):
+        own = lowest[chosen == number] if (chosen == number).any() else lowest
+        above.append(float(np.quantile(own, REJECT_QUANTILE, method="lower")) if len(own) else float("inf"))
+    return replace(model, temperature=float(min(losses, key=losses.get)), reject_above=tuple(above))
 
 
 def _count_grams(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,3 +92,40 @@ def test_foreign_noise_is_rejected(spark, sf_dir):
     noise = "".join(draw.choice(list("qxzjkwvçñßыжщюя中文 "), 2_000))
     bits, n = language._measure(model, [noise])
     assert model.decide(bits, n)[3].tolist() == [True]
+
+
+#: Sentences of languages that no document is labelled with.
+UNTAUGHT = [
+    "La lingua italiana è parlata da molte persone in tutto il mondo e ha una lunga storia letteraria.",
+    "Suomen kieli on monille ihmisille vaikea oppia, mutta sen kirjallisuus on rikasta ja kaunista.",
+]
+
+
+def _judged(model, texts):
+    return model.decide(*language._measure(model, texts))[3].tolist()
+
+
+def test_untaught_languages_are_rejected_and_short_clean_texts_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.learn(docs)
+    assert _judged(model, UNTAUGHT) == [True, True]
+    texts = [r["text"] for r in docs.where("length(text) > 400").select("text").limit(200).collect()]
+    for length in (60, 100, 200, 400):
+        assert not any(_judged(model, [t[:length] for t in texts]))
+
+
+def test_noisy_labelled_rows_do_not_lift_the_threshold(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and lang is not null")
+    rows = docs.orderBy("doc_id").select("lang", "text").collect()
+    langs, texts = [r["lang"] for r in rows], [r["text"] for r in rows]
+    counted = {}
+    for lang in set(langs):
+        own = [t for x, t in list(zip(langs, texts, strict=True))[::2] if x == lang]
+        counted[lang] = np.unique(language._text_grams(own)[0], return_counts=True)
+    model = language._assemble(counted)
+    draw = np.random.default_rng(4)
+    noisy = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 4_000))]
+    measured = language._measure(model, [*texts[1::2], *noisy])
+    model = language._calibrated(model, *measured, [*langs[1::2], "en"])
+    assert _judged(model, [*noisy, *UNTAUGHT]) == [True, True, True]
+    assert not any(_judged(model, texts[1::2]))
