@@ -253,12 +253,9 @@ class _Page:
         best = max(candidates, key=self._discounted, default=self.root)
         top = self._discounted(best)
         kept = [best]
-        if best.parent is not None and best.tag not in _ARTICLE:
-            titled = {id(x.parent) for x in self.elements if x.tag == "h1"}
+        if best.parent is not None:
             for element in self.elements:
                 if element.parent is best.parent and element is not best and element.chars:
-                    if best.near and not (element.tag == "h1" or id(element) in titled):
-                        continue  # beside what is named the article only its title
                     few_links = element.linked <= PARAGRAPH_LINKS * element.chars
                     if few_links and (
                         element.tag in ("p", "pre", "blockquote", *_HEADINGS)

@@ -52,3 +52,19 @@ def test_all_pages_of_the_table(spark, sf_dir):
         lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in parts)
         assert r["text"] == "\n".join(x for x in lines if x)
         assert r["n_chars"] == len(r["text"])
+
+
+SIBLINGS = [
+    ("<article><p class='lead'>The lead, in short.</p><div class='article-body'><p>The body, of it all, is here.</p>"
+     "<p>It goes on.</p></div></article>", "The lead, in short.\nThe body, of it all, is here.\nIt goes on."),
+    ("<div><section class='content'><p>Part one, of two, is here.</p></section><section class='content'>"
+     "<p>Part two, the rest.</p></section></div><div class='comments'><p>I, for one, think so.</p></div>",
+     "Part one, of two, is here.\nPart two, the rest."),
+    ("<main><article><p>Part one, of two, is here.</p></article><article><p>Part two, the rest.</p></article></main>",
+     "Part one, of two, is here.\nPart two, the rest."),
+]
+
+
+@pytest.mark.parametrize("page, text", SIBLINGS)
+def test_siblings_of_named_containers_are_kept(page, text):
+    assert main_text(page) == text
