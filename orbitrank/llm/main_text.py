@@ -6,7 +6,10 @@ third, a quarter and a fifth. An element's score is discounted by the share of i
 that lies in links. The element with the best score is the article; siblings that score
 a fifth of it, and paragraphs between them with few links, are kept with it. What is
 menu, header, footer, sidebar, notice, advert, form, script, style or reader comment, by
-its tag, role, class or id, gives no points and no text.
+its tag, role, class or id, gives no points and no text. A class or id alone does not
+remove what holds the strongest container, most of the page's points and a sign of an
+article, nor all of a page's paragraphs. A list that is mostly links is left out unless a
+heading below h1 leads it, as one does a list of sources.
 
 Defined results: null, empty and text-free pages have an empty text; unclosed, crossed
 and cut-off tags are taken as a browser would, and a tag that the page's end cuts off is
@@ -86,17 +89,17 @@ NAMED_POINTS = 25.0
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "away", "points", "chars", "linked", "first", "last", "near")
+    __slots__ = ("tag", "parent", "away", "points", "chars", "linked", "first", "last", "near", "named")
 
-    def __init__(self, tag: str, parent: _Element | None, away: bool, near: bool, at: int) -> None:
-        self.tag, self.parent, self.away, self.near = tag, parent, away, near
+    def __init__(self, tag: str, parent: _Element | None, away: bool, near: bool, named: set[str], at: int) -> None:
+        self.tag, self.parent, self.away, self.near, self.named = tag, parent, away, near, named
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.first, self.last = at, -1  # range of the blocks inside
 
 
-def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, bool]:
-    """Whether an element is surely not the article, and whether it may well be."""
-    away, near = tag in _DROPPED, tag in _ARTICLE
+def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, bool, set[str]]:
+    """Whether an element is surely not the article, whether it may well be, and names against it."""
+    away, near, named = tag in _DROPPED, False, set()
     if tag == "header":  # the header of an article holds its title
         at = parent
         while at is not None and at.tag not in _ARTICLE:
@@ -114,17 +117,19 @@ def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, bool]:
             elif tag not in ("html", "body"):
                 for part in value.split():
                     words = {x.lower() for x in _WORDS.findall(part)}
-                    near = near or bool(words & _NEAR)
-                    if not (words & _STATES or words & _PIECES and words & _SUBJECTS):
-                        away = away or bool(words & (_REMARKS if tag in _ARTICLE else _AWAY))
-    return away, near
+                    against = words & (_REMARKS if tag in _ARTICLE else _AWAY)
+                    if against and not (words & _STATES or words & _PIECES and words & _SUBJECTS):
+                        named |= against
+                    else:
+                        near = near or bool(words & _NEAR)
+    return away, near or tag in _ARTICLE and not named, named
 
 
 class _Page:
     """The elements and text blocks of one page, in page order."""
 
     def __init__(self, source: str) -> None:
-        self.root = _Element("", None, False, False, 0)
+        self.root = _Element("", None, False, False, set(), 0)
         self.elements = [self.root]
         self.blocks: list[tuple[_Element, str, int]] = []
         self._at, self._text, self._link_text = self.root, [], 0
@@ -176,8 +181,8 @@ class _Page:
         if tag in _VOID:
             return
         parent = self._at
-        away, near = (True, False) if parent.away else _marks(tag, attributes, parent)
-        self._at = _Element(tag, parent, away, near, len(self.blocks))
+        away, near, named = (True, False, set()) if parent.away else _marks(tag, attributes, parent)
+        self._at = _Element(tag, parent, away, near, named, len(self.blocks))
         self.elements.append(self._at)
 
     def _end(self, tag: str) -> None:
@@ -220,14 +225,14 @@ class _Page:
     def score(self) -> None:
         """Points of the blocks to the elements around them, characters to all around."""
         for element in self.elements:
-            if element.near:
-                element.points += NAMED_POINTS
+            element.points = NAMED_POINTS if element.near else 0.0
+            element.chars = element.linked = 0
         for element, text, linked in self.blocks:
             element.chars += len(text)
             element.linked += linked
             if element.tag in _HEADINGS:
                 continue
-            points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+            points = self._block_points(text)
             at = element.parent if element.tag in ("p", "pre", "td", "li", "dd", "dt") and element.parent else element
             for share in _SHARES:
                 at.points += points * share
@@ -239,6 +244,49 @@ class _Page:
             element.parent.chars += element.chars
             element.parent.linked += element.linked
 
+    @staticmethod
+    def _block_points(text: str) -> float:
+        return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+
+    def _best(self) -> _Element:
+        skipped = ("p", "li", "td", "tr", "dd", "dt", *_HEADINGS)
+        candidates = [x for x in self.elements if x.chars and not x.away and x.tag not in skipped]
+        return max(candidates, key=self._discounted, default=self.root)
+
+    def _spared(self) -> set[int]:
+        """Elements that a name is against, but which hold the article."""
+        points = [0.0 if e.tag in _HEADINGS else self._block_points(t) for e, t, _ in self.blocks]
+        spared, at = set(), self._best()
+        while at is not None:
+            if at.named and sum(points[at.first:at.last]) > 0.5 * sum(points):
+                remark = at.named & _REMARKS
+                inside = (x for x in self.elements if x.chars and at.first <= x.first and x.last <= at.last)
+                if at.near or any(
+                    x.tag == "h1" or x.near and (x.tag in _ARTICLE or not remark) for x in inside
+                ):
+                    spared.add(id(at))
+            at = at.parent
+        return spared
+
+    def _drop_named(self) -> None:
+        """Take away what names are against, unless it holds the article."""
+        spared = self._spared()
+        gone: set[int] = set()
+        for element in self.elements:  # parents come first
+            if id(element.parent) in gone or element.named and id(element) not in spared:
+                gone.add(id(element))
+        keep = [id(x[0]) not in gone for x in self.blocks]
+        if not any(keep) and any(x[0].tag == "p" for x in self.blocks):
+            return
+        before = [0]
+        for kept in keep:
+            before.append(before[-1] + kept)
+        self.blocks = [x for x, kept in zip(self.blocks, keep, strict=True) if kept]
+        for element in self.elements:
+            element.first, element.last = before[element.first], before[element.last]
+            element.away = element.away or id(element) in gone
+        self.score()
+
     @staticmethod
     def _discounted(element: _Element) -> float:
         return element.points * (1 - element.linked / element.chars) if element.chars else 0.0
@@ -248,9 +296,9 @@ class _Page:
         if not self.blocks:
             return []
         self.score()
-        skipped = ("p", "li", "td", "tr", "dd", "dt", *_HEADINGS)
-        candidates = [x for x in self.elements if x.chars and not x.away and x.tag not in skipped]
-        best = max(candidates, key=self._discounted, default=self.root)
+        if any(x.named for x in self.elements):
+            self._drop_named()
+        best = self._best()
         top = self._discounted(best)
         kept = [best]
         if best.parent is not None:
@@ -269,14 +317,15 @@ class _Page:
             if not self._in_link_list(self.blocks[i][0], best)
         ]
 
-    @staticmethod
-    def _in_link_list(element: _Element, top: _Element) -> bool:
+    def _in_link_list(self, element: _Element, top: _Element) -> bool:
+        found = False
         while element is not None and element is not top:
             if element.tag in ("ul", "ol", "dl", "div", "section", "table") and element.chars:
                 if element.linked > 0.5 * element.chars:
-                    return True
+                    led = self.blocks[max(element.first - 1, top.first):element.first + 1]
+                    found = not any(x[0].tag in _HEADINGS and x[0].tag != "h1" for x in led)
             element = element.parent
-        return False
+        return found
 
 
 def main_text(source: str | None) -> str:

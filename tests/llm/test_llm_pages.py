@@ -68,3 +68,29 @@ SIBLINGS = [
 @pytest.mark.parametrize("page, text", SIBLINGS)
 def test_siblings_of_named_containers_are_kept(page, text):
     assert main_text(page) == text
+
+
+WRAPPED = "<h1>T</h1><p>The text, of it all, is here.</p><p>It goes on.</p>"
+LINES = "T\nThe text, of it all, is here.\nIt goes on."
+NAMES = ["layout sidebar-right", "post comments-open", "content share-enabled", "post tag-popular category-social"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_wrapper_is_not_removed_for_its_name(name):
+    assert main_text(f"<div class='{name}'><article>{WRAPPED}</article></div>") == LINES
+    assert main_text(
+        f"<div class='{name}'><div class='content'>{WRAPPED}</div><div class='comments'><p>I, for one.</p></div></div>"
+    ) == LINES
+    assert main_text(f"<div class='{name}'><p>Alone, and plain.</p></div>") == "Alone, and plain."
+
+
+def test_long_remarks_are_still_removed():
+    remarks = "<p>I, for one, and he, for two, think so, too.</p>" * 9
+    for inner in (remarks, f"<div class='body'>{remarks}</div>", f"<article class='comment'>{remarks}</article>"):
+        assert main_text(f"<div>{WRAPPED}</div><div class='comments'>{inner}</div>") == LINES
+
+
+def test_a_list_of_sources_stays():
+    links = "<ul><li><a href=x>Source one</a></li><li><a href=y>Source two</a></li></ul>"
+    assert main_text(f"<article>{WRAPPED}<h2>Sources</h2>{links}</article>") == f"{LINES}\nSources\nSource one\nSource two"
+    assert main_text(f"<article>{links}{WRAPPED}</article>") == LINES
