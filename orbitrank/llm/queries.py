@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitrank.llm import byte_pairs, chat, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts, top_k
+from orbitrank.llm import (
+    byte_pairs, chat, fill_middle, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts, top_k,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +94,8 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return top_k.top_k(docs, docs["doc_id"] % 20 == 0)
+
+
+@_query("op12_fill_in_middle", fill_middle.FILL_SQL)
+def op12(spark, sf_dir):
+    return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
