@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitrank.llm import (
-    byte_pairs, chat, fill_middle, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts, top_k,
+    byte_pairs, chat, fill_middle, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts, simhash,
+    top_k,
 )
 
 QUERIES: dict = {}
@@ -99,3 +100,8 @@ def op6(spark, sf_dir):
 @_query("op12_fill_in_middle", fill_middle.FILL_SQL)
 def op12(spark, sf_dir):
     return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_simhash")
+def op11(spark, sf_dir):
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
