@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitrank.llm import (
-    byte_pairs, chat, fill_middle, fingerprints, hidden_markov, jaccard, language, main_text, mixing, piece_counts, simhash,
-    top_k,
+    alignment, byte_pairs, chat, fill_middle, fingerprints, hidden_markov, jaccard, language, main_text, mixing,
+    piece_counts, simhash, top_k,
 )
 
 QUERIES: dict = {}
@@ -105,3 +105,9 @@ def op12(spark, sf_dir):
 @_query("op11_simhash")
 def op11(spark, sf_dir):
     return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_tokenizer_alignment")
+def op13(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_corpus(_table(spark, sf_dir, "documents"), *paths)
