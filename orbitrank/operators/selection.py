@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbitrank.functions.geo import add_lonlat, haversine_m
 from orbitrank.functions.hashing import hashed_order
+from orbitrank.operators import claims
 from orbitrank.operators.checks import Rule, violations
 from orbitrank.operators.frames import beside, stack
 from orbitrank.operators.nearest import guard_band, nearest_distance
@@ -195,28 +194,16 @@ def allocate_cells(
 ) -> DataFrame:
     """Cells a partition owns, in hashed order: (spatial_group, cell_order, n).
 
-    Rare labels claim cells first, one claim depending on those before it; that walk is
-    over one row per cell, which the Earth's surface bounds. The other cells follow in
-    hashed order as long as cells or patches are short, which running sums decide.
+    Rare labels claim cells first. The other cells follow in hashed order as long as cells
+    or patches are short, which running sums decide; the Earth's surface bounds the cells.
     """
-    cells = unique.groupBy("spatial_group").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "cell_order", hashed_order(policy.seed, F.col("spatial_group"))
-    )
+    cells = claims.cell_gains(unique).withColumn("cell_order", hashed_order(policy.seed, F.col("spatial_group")))
     if is_index:
-        return cells
-    held = unique.select("spatial_group", F.explode("labels").alias("label")).groupBy("spatial_group").agg(*[
-        F.count_if(F.col("label") == name).alias(f"l{i}") for i, name in enumerate(labels)
-    ])
-    minimum, names = policy.minimum_label_count, list(labels)
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("cell_order")
-        counts = ordered[[f"l{i}" for i in range(len(names))]].fillna(0).to_numpy()
-        return pd.DataFrame({"claimed": ordered["spatial_group"].to_numpy()[_claims(counts, names, minimum)]})
-
-    claimed = cells.join(held, "spatial_group", "left").withColumn("scope", F.lit("all")).groupBy("scope").applyInPandas(
-        claim, "claimed string"
-    )
+        return cells.drop("gains")
+    cells = cut_lineage(cells)
+    ordered = claims.rare_first(labels, claims.label_totals(unique))
+    owners = claims.claim_cells(cells, "cell_order", ordered, policy.minimum_label_count)
+    claimed = unique.sparkSession.createDataFrame([(name,) for name in owners], "claimed string")
     marked = cells.join(claimed, F.col("spatial_group") == F.col("claimed"), "left").withColumn(
         "open", F.col("claimed").isNull()
     )
@@ -238,72 +225,6 @@ def allocate_cells(
     return owned
 
 
-def _claims(counts: np.ndarray, names: list[str], minimum: int) -> list[int]:
-    """Rows that rare labels claim. counts: a row per cell in hashed order, a column per label.
-
-    The label with the fewest patches goes first. Each claim is the cell that brings it
-    most of what it still lacks, the earlier of two alike.
-    """
-    claimed: list[int] = []
-    have = np.zeros(len(names))
-    for column in sorted(range(len(names)), key=lambda i: (counts[:, i].sum(), names[i])):
-        while (lack := minimum - have[column]) > 0:
-            brings = np.minimum(counts[:, column], lack)
-            brings[claimed] = 0
-            best = int(brings.argmax()) if len(brings) else -1
-            if best < 0 or brings[best] == 0:
-                raise ValueError(f"too few patches of label {names[column]} in cells that are still free")
-            claimed.append(best)
-            have += counts[best]
-    return claimed
-
-
-def _label_top_up(
-    taken: DataFrame, pool: DataFrame, labels: Sequence[str], minimum: int
-) -> DataFrame:
-    """Patches added so every label reaches ``minimum``, rare labels first.
-
-    Earlier labels add at most ``minimum`` rows each, so a label can need only its
-    first ``minimum * (labels + 1)`` unused rows in hashed order. That bound makes
-    the sequential step small and keeps it exact.
-    """
-    counts = taken.select(F.explode("labels").alias("label")).groupBy("label").agg(
-        F.count(F.lit(1)).alias("have")
-    )
-    totals = pool.select(F.explode("labels").alias("label")).groupBy("label").agg(
-        F.count(F.lit(1)).alias("total")
-    )
-    unused = pool.join(taken.select("patch_id"), "patch_id", "left_anti")
-    exploded = unused.withColumn("label", F.explode("labels"))
-    ranked = hashed_rank(exploded, ["label"], "patch_order", rank="nth", size="__size")
-    first = ranked.filter(F.col("nth") <= minimum * (len(labels) + 1)).select(
-        "label", "patch_id", "patch_order", "labels"
-    )
-    wanted = first.sparkSession.createDataFrame([(name,) for name in labels], "label string")
-    table = (
-        wanted.join(totals, "label", "left")
-        .join(counts, "label", "left")
-        .join(first, "label", "left")
-        .fillna(0, ["total", "have"])
-    )
-
-    def top_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        have = pdf.groupby("label")["have"].first().to_dict()
-        total = pdf.groupby("label")["total"].first().to_dict()
-        added = pdf.iloc[:0]
-        for label in sorted(have, key=lambda name: (total[name], name)):
-            gained = added["labels"].map(lambda names: label in list(names)).sum() if len(added) else 0
-            short = max(0, minimum - int(have[label]) - int(gained))
-            rows = pdf[(pdf["label"] == label) & pdf["patch_id"].notna()].sort_values("patch_order")
-            fresh = rows[~rows["patch_id"].isin(added["patch_id"])].head(short)
-            if len(fresh) < short:
-                raise ValueError(f"label {label} has too few patches in the chosen cells")
-            added = pd.concat([added, fresh])
-        return added[["patch_id"]]
-
-    return table.withColumn("scope", F.lit("all")).groupBy("scope").applyInPandas(top_up, "patch_id string")
-
-
 def fill_partition(
     unique: DataFrame, cells: DataFrame, labels: Sequence[str], size: int, policy: Policy
 ) -> DataFrame:
@@ -315,8 +236,13 @@ def fill_partition(
         hashed_rank(pool, ["spatial_group"], "patch_order", rank="offset", size="__size").drop("__size")
     )
     first = pool.filter("offset = 1")
-    added = _label_top_up(first, pool, labels, policy.minimum_label_count)
-    taken = cut_lineage(first.select("patch_id").unionByName(added))
+    ordered = claims.rare_first(labels, claims.label_totals(unique))
+    added = claims.top_up(
+        pool, F.col("offset") > 1, "patch_id", "patch_order", ordered, claims.label_totals(first),
+        policy.minimum_label_count,
+    )
+    extra = pool.sparkSession.createDataFrame([(name,) for name in added], "patch_id string")
+    taken = cut_lineage(first.select("patch_id").unionByName(extra))
     n_taken = taken.count()
     if n_taken > size:
         raise ValueError(f"cells and labels need {n_taken} patches, {size} are allowed")
@@ -339,10 +265,7 @@ class Selection:
 
 def select_partitions(candidates: DataFrame, policy: Policy) -> Selection:
     """Draw the partitions in order, each clear of the cells and distance of earlier ones."""
-    labels = [
-        row[0]
-        for row in candidates.select(F.explode("labels").alias("label")).distinct().orderBy("label").collect()
-    ]
+    labels = claims.label_domain(candidates)
     selected: DataFrame | None = None
     feasible: DataFrame | None = None
     for name in policy.order:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitrank.functions import geo
-from orbitrank.operators import checks, metadata, selection
+from orbitrank.operators import checks, claims, metadata, selection
 from orbitrank.operators.frames import stack
 from orbitrank.plans.bindings import (
     SQL_FOOTPRINTS, SQL_PATCHES, SQL_RAW_PATCHES, footprints, patches, raw_patches, written,
@@ -279,21 +279,110 @@ def _selected(spark, sf_dir):
     )
 
 
-@register("cell_allocation")
+def _sql_eligible(name: str, used: tuple[str, ...]) -> str:
+    """A partition's candidates: in its split and window, clear of earlier ones' cells and distance."""
+    spec = POLICY.partitions[name]
+    rows = f"""SELECT * FROM placed WHERE split = '{spec.official_split}' AND day BETWEEN DATE '{spec.start}' AND DATE '{spec.end}'"""
+    if name == "final":
+        rows += f" AND patch_id NOT IN ('{POLICY.exclude_from_final[0]}')"
+    clear = "".join(
+        f""" AND spatial_group NOT IN (SELECT spatial_group FROM chosen_{x})
+  AND patch_id NOT IN (SELECT t.patch_id FROM timely_{name} t, chosen_{x} c WHERE
+    {sql_haversine("t.longitude", "t.latitude", "c.longitude", "c.latitude")} < {POLICY.minimum_center_distance_m})"""
+        for x in used
+    )
+    return f"timely_{name} AS ({rows}),\neligible_{name} AS (SELECT * FROM timely_{name} WHERE true{clear})"
+
+
+def _sql_cells(name: str) -> str:
+    """The cells that a partition owns, one claim of the rarest unserved label a step."""
+    size, least, minimum = POLICY.partitions[name].size, POLICY.minimum_query_cells, POLICY.minimum_label_count
+    served = f"coalesce(list_position([x < {minimum} for x in have], true), 0)"
+    first = "count(*) OVER ahead >= 0" if name == "index" else f"""mine
+  OR (SELECT count(*) FROM marked_{name} WHERE mine) + count(*) FILTER (NOT mine) OVER ahead < {least}
+  OR (SELECT coalesce(sum(n), 0) FROM marked_{name} WHERE mine) + coalesce(sum(n) FILTER (NOT mine) OVER ahead, 0) < {size}"""
+    return f"""unique_{name} AS (SELECT *, sha256('42:' || patch_id) AS h FROM eligible_{name}
+  QUALIFY row_number() OVER (PARTITION BY {_GRID} ORDER BY h) = 1),
+rare_{name} AS (SELECT list(label ORDER BY total, label) AS names FROM (
+  SELECT label, count(l) AS total FROM (SELECT DISTINCT unnest(labels) AS label FROM placed) d
+  LEFT JOIN (SELECT unnest(labels) AS l FROM unique_{name}) u ON l = label GROUP BY label)),
+cells_{name} AS (SELECT spatial_group, sha256('42:' || spatial_group) AS o, n,
+  [len([y for y in held if y = x]) for x in names] AS gains
+  FROM (SELECT spatial_group, count(*) AS n, flatten(list(labels)) AS held FROM unique_{name} GROUP BY 1), rare_{name}),
+claims_{name} AS (
+  SELECT 0 AS step, CAST([] AS VARCHAR[]) AS claimed, [CAST(0 AS BIGINT) for x in names] AS have FROM rare_{name}
+  UNION ALL
+  SELECT step + 1, list_append(claimed, won), [have[k] + more[k] for k in range(1, len(have) + 1)]
+  FROM (SELECT step, claimed, have, arg_min(spatial_group, place) AS won, arg_min(gains, place) AS more
+    FROM (SELECT *, printf('%09d', 999999999 - least({minimum} - have[i], gains[i])) || o AS place
+    FROM (SELECT s.*, c.spatial_group, c.o, c.gains, {served} AS i FROM claims_{name} s, cells_{name} c
+      WHERE NOT list_contains(s.claimed, c.spatial_group)) WHERE i > 0 AND gains[i] > 0)
+    GROUP BY step, claimed, have)),
+marked_{name} AS (SELECT c.*, list_contains(claimed, spatial_group) AS mine
+  FROM cells_{name} c, (SELECT arg_max(claimed, step) AS claimed FROM claims_{name})),
+owned_{name} AS (SELECT spatial_group, o, n FROM marked_{name}
+  WINDOW ahead AS (ORDER BY mine, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY {first})"""
+
+
+def _sql_chosen(name: str) -> str:
+    """First row of each owned cell, rows added for labels one a step, the rest in turns."""
+    size, minimum = POLICY.partitions[name].size, POLICY.minimum_label_count
+    served = f"coalesce(list_position([x < {minimum} for x in have], true), 0)"
+    return f"""pool_{name} AS (SELECT u.*, o, row_number() OVER (PARTITION BY spatial_group ORDER BY h) AS turn
+  FROM unique_{name} u JOIN owned_{name} USING (spatial_group)),
+added_{name} AS (
+  SELECT 0 AS step, CAST([] AS VARCHAR[]) AS added,
+    [len([y for y in held if y = x]) for x in names] AS have, names
+  FROM rare_{name}, (SELECT flatten(list(labels)) AS held FROM pool_{name} WHERE turn = 1)
+  UNION ALL
+  SELECT step + 1, list_append(added, won), [have[k] + CAST(list_contains(more, names[k]) AS BIGINT) for k in range(1, len(have) + 1)], names
+  FROM (SELECT step, added, have, names, arg_min(patch_id, h) AS won, arg_min(labels, h) AS more
+    FROM (SELECT s.*, p.patch_id, p.labels, p.h, {served} AS i FROM added_{name} s, pool_{name} p
+      WHERE p.turn > 1 AND NOT list_contains(s.added, p.patch_id)) WHERE i > 0 AND list_contains(labels, names[i])
+    GROUP BY step, added, have, names)),
+filled_{name} AS (SELECT p.*, turn = 1 OR list_contains(a.added, patch_id) AS taken
+  FROM pool_{name} p, (SELECT arg_max(added, step) AS added FROM added_{name}) a),
+chosen_{name} AS (SELECT patch_id, spatial_group, longitude, latitude FROM filled_{name} QUALIFY taken
+  OR row_number() OVER (PARTITION BY taken ORDER BY turn, o) <= {size} - (SELECT count(*) FROM filled_{name} WHERE taken))"""
+
+
+def _sql_partitions() -> str:
+    ctes = [SQL_PLACED]
+    for at, name in enumerate(POLICY.order):
+        ctes += [_sql_eligible(name, tuple(POLICY.order[:at])), _sql_cells(name), _sql_chosen(name)]
+    return with_sql(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ALLOCATION_SQL = with_sql(SQL_PLACED, _sql_eligible("final", ()), _sql_cells("final")).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("cell_allocation", _ALLOCATION_SQL + "SELECT spatial_group, o AS cell_order, n FROM owned_final")
 def q_allocation(spark, sf_dir):
     """Cells the final partition owns."""
     unique = selection.grid_dedupe(selection.window_filter(placed(spark, sf_dir), "final", POLICY), 42)
-    labels = sorted(r[0] for r in placed(spark, sf_dir).select(F.explode("labels")).distinct().collect())
+    labels = claims.label_domain(placed(spark, sf_dir))
     return selection.allocate_cells(unique, labels, POLICY.partitions["final"].size, POLICY, False)
 
 
-@register("select_partitions")
+@register(
+    "select_partitions",
+    _sql_partitions() + " UNION ALL ".join(
+        f"SELECT '{name}' AS partition, patch_id, spatial_group FROM chosen_{name}" for name in POLICY.order
+    ),
+)
 def q_select(spark, sf_dir):
     chosen = selection.select_partitions(placed(spark, sf_dir), POLICY)
     return chosen.rows.select("partition", "patch_id", "spatial_group")
 
 
-@register("feasibility")
+@register(
+    "feasibility",
+    _sql_partitions() + " UNION ALL ".join(
+        f"""SELECT '{name}' AS partition, (SELECT count(*) FROM timely_{name}) AS after_temporal_filter,
+  count(*) AS after_spatial_filter, count(DISTINCT spatial_group) AS available_cells FROM eligible_{name}"""
+        for name in POLICY.order
+    ),
+)
 def q_feasibility(spark, sf_dir):
     return selection.select_partitions(placed(spark, sf_dir), POLICY).feasibility
 
