@@ -56,7 +56,7 @@ def test_cells(spark, seed, minimum):
 
 @pytest.mark.parametrize("seed", [5, 6])
 def test_rows(spark, seed):
-    rows = _rows(seed, n=120)
+    rows = _rows(seed)
     frame = spark.createDataFrame(rows, SCHEMA)
     labels = claims.rare_first(claims.label_domain(frame), claims.label_totals(frame))
     have = Counter({"a": 9, "b": 2})
