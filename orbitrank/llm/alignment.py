@@ -10,8 +10,7 @@
    beyond are joined by key. What is common enough to crowd a task of that join is
    therefore never in it, and what is shipped is bounded however large the corpus.
 
-Neither tokenizer's tokens reach over a single space between visible characters, so a
-text is encoded and aligned in such chunks, and a worker keeps those it has met.
+Texts are encoded whole by the tokenizers' libraries.
 
 Defined results: null and empty texts, and texts that either side's tokens do not spell
 byte by byte after one space, have no tokens: counts of zero and an empty ``groups``
@@ -22,10 +21,8 @@ Columns other than doc_id and text are left out, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import os
-import re
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,151 +34,141 @@ from orbitrank.session import cut_lineage, scratch_path
 
 #: Id pairs whose counts are shipped, the commonest.
 SHIPPED_PAIRS = 1 << 20
-#: Chunks that a worker keeps, and how long they may be; beyond, it begins anew.
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 48
 #: Characters of text that are aligned together.
 SLICE_CHARS = 1 << 20
 #: Classes of counts to each doubling, from which the shipped pairs are chosen.
 CLASSES = 16
 _SPACE = "▁"
-# A chunk begins with a space between two characters that are neither spaces nor marks of one.
-_CHUNK = re.compile(rf"(?<=[^ {_SPACE}])(?= [!-~\w])")
-_WORD = re.compile(rf"[!-~\w](?:.*[^{_SPACE}])?", re.DOTALL)
-
-
-@dataclass(frozen=True)
-class Aligned:
-    """Both lists of ids, their groups (index after each group's last id) and the linked pairs."""
-
-    a: list[int]
-    b: list[int]
-    cuts: list[tuple[int, int]]
-    links: list[tuple[int, int]]
-
-    def spelled(self) -> str:
-        """The groups as text: ids by commas, sides by bars, groups by semicolons."""
-        out, a_from, b_from = [], 0, 0
-        for a_to, b_to in self.cuts:
-            out.append(f"{','.join(map(str, self.a[a_from:a_to]))}|{','.join(map(str, self.b[b_from:b_to]))}")
-            a_from, b_from = a_to, b_to
-        return ";".join(out)
-
-
-def _ends(tokens: list[bytes]) -> dict[int, int]:
-    """Index of the token that ends at each offset; of tokens without bytes the last."""
-    at, found = 0, {}
-    for index, token in enumerate(tokens):
-        at += len(token)
-        found[at] = index
-    return found
-
-
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Aligned:
-    """Align two lists of ids whose tokens spell the same bytes."""
-    a_ends, b_ends = _ends(a_bytes), _ends(b_bytes)
-    common = sorted(a_ends.keys() & b_ends.keys())
-    cuts, links, a_from, b_from = [], [], 0, 0
-    for end in common:
-        a_to, b_to = a_ends[end] + 1, b_ends[end] + 1
-        if a_to == a_from + 1 or b_to == b_from + 1:
-            links += [(x, y) for x in a[a_from:a_to] for y in b[b_from:b_to]]
-        else:
-            # No end inside is common: the side that ends first goes on against the same other.
-            i, j, a_at, b_at = a_from, b_from, len(a_bytes[a_from]), len(b_bytes[b_from])
-            links.append((a[i], b[j]))
-            while i + 1 < a_to or j + 1 < b_to:
-                if a_at < b_at:
-                    i += 1
-                    a_at += len(a_bytes[i])
-                else:
-                    j += 1
-                    b_at += len(b_bytes[j])
-                links.append((a[i], b[j]))
-        cuts.append((a_to, b_to))
-        a_from, b_from = a_to, b_to
-    return Aligned(a, b, cuts, links)
+#: Splits a text into the units that merges never leave (fixed value).
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _check_merges(merges: list, ranks: dict[bytes, int], symbols: dict[str, int]) -> None:
+    """Raise unless the ids of merged entries rise as their merges do."""
+    last = -1
+    for merge in merges:
+        joined = "".join(merge) if isinstance(merge, list) else merge.replace(" ", "")
+        made = ranks[bytes(symbols[c] for c in joined)]
+        if made <= last:
+            raise ValueError("ids must rise with the merges that make them")
+        last = made
+
+
+def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """Indexes of both sides' tokens that end at the same offsets, in order."""
+    a_index = dict(zip(a_ends, range(len(a_ends)), strict=True))
+    b_index = dict(zip(b_ends, range(len(b_ends)), strict=True))
+    common = sorted(a_index.keys() & b_index.keys())
+    return list(map(a_index.__getitem__, common)), list(map(b_index.__getitem__, common))
+
+
+def linked_tokens(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the two tokens of each link, in order of their bytes.
+
+    Each stretch between two ends, of either side, lies in one token of each side, and two
+    tokens that overlap share one stretch: in every slice the stretches are its links.
+    """
+    stretches = np.concatenate([a_ends, b_ends])
+    stretches.sort(kind="stable")  # two sorted runs
+    stretches = stretches[np.diff(stretches, prepend=-1) > 0]
+    return np.searchsorted(a_ends, stretches), np.searchsorted(b_ends, stretches)
 
 
 class Tokenizers:
-    """A byte-level tokenizer (a) and a piece model (b), read once in each worker."""
+    """A byte-level tokenizer (a) and a piece model (b), read once in each worker.
+
+    The byte-level one's entries are its merges' ranks, so ``tiktoken`` gives the same ids.
+    """
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self._a = Tokenizer.from_file(a_path)
-        self._a.no_truncation()
-        self._a.no_padding()
-        self._a.encode_special_tokens = True
-        self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        if any(_SPACE in self._b.id_to_piece(i).lstrip(_SPACE) for i in range(len(self._b))):
-            raise ValueError("the model has pieces that reach over a space")
+        with open(a_path, encoding="utf-8") as file:
+            described = json.load(file)
         symbols = byte_symbols()
-        self._a_bytes = {
-            i: bytes(symbols[c] for c in token) for token, i in self._a.get_vocab(with_added_tokens=False).items()
-            if all(c in symbols for c in token)
+        added = {x["content"] for x in described["added_tokens"]}
+        ranks = {
+            bytes(symbols[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in added
         }
+        _check_merges(described["model"]["merges"], ranks, symbols)
+        self._a = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self._a_bytes = [b""] * (1 + max(ranks.values()))
+        for token, i in ranks.items():
+            self._a_bytes[i] = token
         self._b_bytes = [self._piece(i) for i in range(len(self._b))]
-        self._kept: dict[str, tuple | None] = {}
-        self._words: set[str] = set()  # kept ones that are a chunk by themselves
+        self._a_size = np.array([len(x) for x in self._a_bytes])
+        self._b_size = np.array([len(x) for x in self._b_bytes])
+        # How an id is written inside a group and at the end of its side.
+        self._a_text, self._b_text = (
+            np.array([f"{i}{mark}" for mark in marks for i in range(len(side))], dtype=object)
+            for marks, side in ((",|", self._a_bytes), (",;", self._b_bytes))
+        )
 
     def _piece(self, number: int) -> bytes:
         piece = self._b.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self._b.is_byte(number) else piece.replace(_SPACE, " ").encode()
 
-    def encode(self, chunks: list[str]) -> list[Aligned | None]:
-        """Both tokenizers' aligned tokens of texts that begin with a space; none if they spell another."""
-        made = []
-        for chunk, a, b in zip(
-            chunks, self._a.encode_batch_fast(chunks, add_special_tokens=False),
-            self._b.encode([x[1:] for x in chunks], num_threads=1), strict=True,
-        ):
-            a_bytes, b_bytes = [self._a_bytes.get(i, b"") for i in a.ids], [self._b_bytes[i] for i in b]
-            # The model has no tokens for a text without characters, a lone space.
-            same = b"".join(a_bytes) == b"".join(b_bytes) == chunk.encode("utf-8", "replace")
-            made.append(align(a.ids, b, a_bytes, b_bytes) if same else None)
-        return made
-
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a space and ``text``."""
-        words = text.split(" ")
-        new = set(words) - self._words
-        if all(map(_WORD.fullmatch, new)):
-            self._words.update(x for x in new if len(x) <= KEPT_LENGTH)
-            return words
-        return [x[1:] for x in _CHUNK.split(" " + text)]
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Both sides' ids of every text; none where they do not spell a space and the text."""
+        out, none = [], np.zeros(0, dtype=np.int64)
+        for text, b in zip(texts, self._b.encode(texts, num_threads=1), strict=True):
+            whole = f" {text}".encode("utf-8", "replace")
+            if text and b"".join(map(self._b_bytes.__getitem__, b)) == whole:
+                # The byte-level side spells every text.
+                a = self._a.encode_to_numpy(whole.decode(), disallowed_special=()).astype(np.int64)
+                out.append((a, np.array(b, dtype=np.int64)))
+            else:
+                out.append((none, none))
+        return out
 
     def totals(self, texts: list[str]) -> list[tuple]:
-        """For each text n_a, n_b, groups, links, digest, different pairs and their times."""
-        rows = [self.chunks(text) if text else [] for text in texts]
-        new = set().union(*rows) - self._kept.keys() if rows else set()
-        if len(self._kept) + len(new) > KEPT_CHUNKS:
-            self._kept.clear()
-            self._words.clear()
-            new = set().union(*rows)
-        wanted = list(new)
-        for chunk, made in zip(wanted, self.encode([" " + x for x in wanted]), strict=True):
-            if made is None:
-                self._kept[chunk] = None
+        """For each text n_a, n_b, groups, links, digest, different pairs and their times.
+
+        Each text is aligned by itself; what follows from it is made for all at once.
+        """
+        made = self.encode(texts)
+        a, b = (np.concatenate([x[side] for x in made]) for side in (0, 1))
+        a_row, b_row = (np.cumsum([0, *(len(x[side]) for x in made)]) for side in (0, 1))
+        a_ends, b_ends = np.cumsum(self._a_size[a]), np.cumsum(self._b_size[b])
+        a_to, b_to = [], []
+        for row in range(len(texts)):
+            # A text's own offsets are small numbers, and so are its dictionaries.
+            start = a_ends[a_row[row] - 1] if a_row[row] else 0
+            found = common_ends(
+                (a_ends[a_row[row]:a_row[row + 1]] - start).tolist(), (b_ends[b_row[row]:b_row[row + 1]] - start).tolist()
+            )
+            a_to.append(np.array(found[0], dtype=np.int64) + (a_row[row] + 1))
+            b_to.append(np.array(found[1], dtype=np.int64) + (b_row[row] + 1))
+        groups = np.cumsum([0, *map(len, a_to)])
+        a_to, b_to = np.concatenate(a_to), np.concatenate(b_to)
+        a_from, b_from = (np.concatenate([[0], x[:-1]]) for x in (a_to, b_to))
+        a_many, b_many = a_to - a_from, b_to - b_from
+        a_link, b_link = linked_tokens(a_ends, b_ends)
+        # A group's ids stand after all ids of both sides in groups before, those of a first.
+        text = np.empty(len(a) + len(b), dtype=object)
+        last = np.zeros(len(a), dtype=np.int64)
+        last[a_to - 1] = len(self._a_bytes)
+        text[np.arange(len(a)) + np.repeat(b_from, a_many)] = self._a_text[a + last]
+        last = np.zeros(len(b), dtype=np.int64)
+        last[b_to - 1] = len(self._b_bytes)
+        text[np.arange(len(b)) + np.repeat(a_to, b_many)] = self._b_text[b + last]
+        links = a[a_link] << 32 | b[b_link]
+        link_row = np.searchsorted(a_link, a_row)
+        out = []
+        for row in range(len(texts)):
+            if a_row[row] == a_row[row + 1]:
+                out.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 continue
-            pairs = np.array([x << 32 | y for x, y in made.links], dtype=np.int64).tobytes()
-            self._kept[chunk] = (len(made.a), len(made.b), len(made.cuts), pairs, made.spelled())
-        out = [self._total([self._kept[x] for x in row]) for row in rows]
-        for chunk in wanted:
-            if len(chunk) > KEPT_LENGTH:
-                del self._kept[chunk]
+            spelled = "".join(text[a_row[row] + b_row[row]:a_row[row + 1] + b_row[row + 1]].tolist())
+            own = links[link_row[row]:link_row[row + 1]]
+            out.append((
+                int(a_row[row + 1] - a_row[row]), int(b_row[row + 1] - b_row[row]), int(groups[row + 1] - groups[row]),
+                len(own), hashlib.sha256(spelled[:-1].encode()).hexdigest(), *np.unique(own, return_counts=True),
+            ))
         return out
 
-    @staticmethod
-    def _total(found: list[tuple | None]) -> tuple:
-        if not found or None in found:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b, groups, pairs, spelled = zip(*found, strict=True)
-        links = np.frombuffer(b"".join(pairs), dtype=np.int64)
-        digest = hashlib.sha256(";".join(spelled).encode()).hexdigest()
-        return sum(a), sum(b), sum(groups), len(links), digest, *np.unique(links, return_counts=True)
-
 
 _TOKENIZERS: dict[tuple[str, str], Tokenizers] = {}
 

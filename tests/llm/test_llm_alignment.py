@@ -92,11 +92,11 @@ def _texts():
     return made + [" ", "  ", "\n", "a", "▁", "a ▁b", "a▁ b", "\x00", "é", " a", "a ", "." * 500, "ab" * 2_000]
 
 
-def test_chunks_encode_as_whole_texts(libraries):
+def test_slices_of_texts_as_each_alone(libraries):
     both = alignment.Tokenizers(A, B)
     texts = _texts()
-    texts += [x for text in texts for x in text.split(" ")[::7]]  # kept chunks met in other places
-    both.totals(texts[::-1])
+    for text, got in zip(texts[:50], both.totals(texts), strict=False):
+        assert got[:5] == both.totals([text])[0][:5]
     for text, got in zip(texts, both.totals(texts), strict=True):
         counts, links = _plain(text, libraries)
         assert got[:5] == counts, text
@@ -114,11 +114,16 @@ def test_random_code_points(libraries):
         assert got[:5] == _plain(text, libraries)[0], repr(text)
 
 
-def test_kept_chunks_are_given_up(libraries, monkeypatch):
-    monkeypatch.setattr(alignment, "KEPT_CHUNKS", 20)
+def test_every_code_point(libraries):
+    """The byte-level side against its library, around each code point of five planes."""
     both = alignment.Tokenizers(A, B)
-    for text in _texts()[:100]:
-        assert both.totals([text])[0][:5] == _plain(text, libraries)[0]
+    for low in range(0, 0x50000, 0x8000):
+        texts = [f"a{c}1{c}{c}b {c}!{c} " for c in map(chr, range(low, low + 0x8000)) if not "\ud800" <= c <= "\udfff"]
+        if not texts:
+            continue
+        expected = libraries[0].encode_batch_fast([f" {x}" for x in texts], add_special_tokens=False)
+        for text, x in zip(texts, expected, strict=True):
+            assert both._a.encode_to_numpy(f" {text}", disallowed_special=()).tolist() == x.ids, repr(text)
 
 
 @pytest.fixture(scope="module")
