@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,11 +76,13 @@ _PIECES = frozenset("header body title text content".split())
 _SUBJECTS = frozenset("article post entry story".split())
 _NEAR = frozenset("article body content entry main page post story text".split())
 
+# A value is in quotes or runs to the next white space; a quote anywhere else is a character.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|$)"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|$)", re.S,
+    rf"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*{_VALUE}?)*+)(>|$)", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_READ = frozenset("class id role hidden aria-hidden".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Levels that get points from a block, with their shares.
 _SHARES = (1.0, 1 / 2, 1 / 3, 1 / 4, 1 / 5)
@@ -97,18 +101,17 @@ class _Element:
         self.first, self.last = at, -1  # range of the blocks inside
 
 
-def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, bool, set[str]]:
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, set[str]]:
     """Whether an element is surely not the article, whether it may well be, and names against it."""
     away, near, named = tag in _DROPPED, False, set()
     if tag == "header":  # the header of an article holds its title
-        at = parent
-        while at is not None and at.tag not in _ARTICLE:
-            at = at.parent
-        away = at is None
+        away = not in_article
     if attributes and not away:
         for name, *values in _ATTRIBUTE.findall(attributes):
-            value = "".join(values)
             name = name.lower()
+            if name not in _READ:
+                continue
+            value = "".join(values)
             if name == "role":
                 away = away or value.strip().lower() in _ROLES
                 near = near or value.strip().lower() in ("main", "article")
@@ -133,6 +136,7 @@ class _Page:
         self.elements = [self.root]
         self.blocks: list[tuple[_Element, str, int]] = []
         self._at, self._text, self._link_text = self.root, [], 0
+        self._opened: Counter = Counter()  # open elements by tag
         self._links = 0
         self._read(source)
         self._end_block()
@@ -162,6 +166,7 @@ class _Page:
             at = self._at
             at.last = len(self.blocks)
             self._at = at.parent
+            self._opened[at.tag] -= 1
             if at is element:
                 return
 
@@ -169,7 +174,7 @@ class _Page:
         self._end_block()
         if tag in _CLOSES_P and self._at.tag == "p":
             self._close(self._at)
-        elif tag in _SIBLING_ENDS:
+        elif tag in _SIBLING_ENDS and any(self._opened[x] for x in _SIBLING_ENDS[tag][0]):
             ends, within = _SIBLING_ENDS[tag]
             at, last = self._at, None
             while at is not None and at.tag not in within:
@@ -181,15 +186,17 @@ class _Page:
         if tag in _VOID:
             return
         parent = self._at
-        away, near, named = (True, False, set()) if parent.away else _marks(tag, attributes, parent)
+        in_article = any(self._opened[x] for x in _ARTICLE)
+        away, near, named = (True, False, set()) if parent.away else _marks(tag, attributes, in_article)
         self._at = _Element(tag, parent, away, near, named, len(self.blocks))
         self.elements.append(self._at)
+        self._opened[tag] += 1
 
     def _end(self, tag: str) -> None:
-        at = self._at
-        while at is not None and at.tag != tag:
-            at = at.parent
-        if at is not None:
+        if self._opened[tag]:
+            at = self._at
+            while at.tag != tag:
+                at = at.parent
             self._close(at)
         elif tag == "p":
             self._end_block()
@@ -201,12 +208,10 @@ class _Page:
                 continue
             self._say(source[place:found.start()])
             place = found.end()
-            tag = (found[2] or found[6] or "").lower()
-            if not tag:
-                continue
-            ending = bool(found[1] or found[5])
-            if found[2] and not found[4] or (found[6] and place == len(source) and source[-1] != ">"):
-                continue  # cut off by the page's end
+            tag = (found[2] or "").lower()
+            if not tag or not found[4]:
+                continue  # no tag, or one that the page's end cuts off
+            ending = bool(found[1])
             if tag in _RAW:
                 if not ending:
                     close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, place)
@@ -219,7 +224,7 @@ class _Page:
             elif ending:
                 self._end(tag)
             else:
-                self._open(tag, found[3] or found[7] or "")
+                self._open(tag, found[3])
         self._say(source[place:])
 
     def score(self) -> None:
@@ -255,10 +260,11 @@ class _Page:
 
     def _spared(self) -> set[int]:
         """Elements that a name is against, but which hold the article."""
-        points = [0.0 if e.tag in _HEADINGS else self._block_points(t) for e, t, _ in self.blocks]
+        points = (0.0 if e.tag in _HEADINGS else self._block_points(t) for e, t, _ in self.blocks)
+        so_far = [0.0, *accumulate(points)]
         spared, at = set(), self._best()
         while at is not None:
-            if at.named and sum(points[at.first:at.last]) > 0.5 * sum(points):
+            if at.named and so_far[at.last] - so_far[at.first] > 0.5 * so_far[-1]:
                 remark = at.named & _REMARKS
                 inside = (x for x in self.elements if x.chars and at.first <= x.first and x.last <= at.last)
                 if at.near or any(
@@ -312,20 +318,21 @@ class _Page:
                         kept.append(element)
         chosen = sorted({i for x in kept for i in range(x.first, x.last)})
         # Lists and the like that are mostly links are menus, wherever they stand.
-        return [
-            self.blocks[i][1] for i in chosen
-            if not self._in_link_list(self.blocks[i][0], best)
-        ]
-
-    def _in_link_list(self, element: _Element, top: _Element) -> bool:
-        found = False
-        while element is not None and element is not top:
-            if element.tag in ("ul", "ol", "dl", "div", "section", "table") and element.chars:
-                if element.linked > 0.5 * element.chars:
-                    led = self.blocks[max(element.first - 1, top.first):element.first + 1]
-                    found = not any(x[0].tag in _HEADINGS and x[0].tag != "h1" for x in led)
-            element = element.parent
-        return found
+        menus = self._link_lists(best)
+        return [self.blocks[i][1] for i in chosen if id(self.blocks[i][0]) not in menus]
+
+    def _link_lists(self, top: _Element) -> set[int]:
+        """Elements in a container that is mostly links; below ``top`` only those inside it count."""
+        judged: dict[int, bool] = {}  # by the outermost such container
+        for element in self.elements:  # parents come first
+            if element is top:
+                continue
+            if id(element.parent) in judged:
+                judged[id(element)] = judged[id(element.parent)]
+            elif element.tag in ("ul", "ol", "dl", "div", "section", "table") and element.linked > 0.5 * element.chars:
+                led = self.blocks[max(element.first - 1, top.first):element.first + 1]
+                judged[id(element)] = not any(x[0].tag in _HEADINGS and x[0].tag != "h1" for x in led)
+        return {x for x, menu in judged.items() if menu}
 
 
 def main_text(source: str | None) -> str:

@@ -94,3 +94,111 @@ def test_a_list_of_sources_stays():
     links = "<ul><li><a href=x>Source one</a></li><li><a href=y>Source two</a></li></ul>"
     assert main_text(f"<article>{WRAPPED}<h2>Sources</h2>{links}</article>") == f"{LINES}\nSources\nSource one\nSource two"
     assert main_text(f"<article>{links}{WRAPPED}</article>") == LINES
+
+
+ATTRIBUTES = [
+    "style=\"overflow:hidden\"", "title=\"The hidden valley\"", "data-hidden=\"false\"", "data-href=\"/hidden/path\"",
+    "onclick=\"hidden()\"", "alt=don't", "data-x='class=\"ad\"'", "data-class=ad", "data-role=navigation",
+    "title = \"a > b\"", "x=\"'\" y='\"'", "aria-hidden=false", "a=b\"c", "/", "a b c=d/e", "= x",
+]
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+@pytest.mark.parametrize("attribute", ATTRIBUTES)
+def test_attributes_that_hide_nothing(tag, attribute):
+    assert main_text(f"<{tag} {attribute}>{WRAPPED}</{tag}>") == LINES
+    assert main_text(f"<{tag}>{WRAPPED}<p {attribute}>It's the end.</p></{tag}>") == f"{LINES}\nIt's the end."
+
+
+@pytest.mark.parametrize("attribute", [
+    "hidden", "HIDDEN=''", "hidden=hidden", "a='x' hidden", "aria-hidden=\"true\"", "role = navigation", "x=y'z role='menu'",
+])
+def test_attributes_that_hide(attribute):
+    assert main_text(f"<article>{WRAPPED}<div {attribute}><p>Away, with this.</p></div></article>") == LINES
+
+
+@pytest.mark.parametrize("unit", [
+    "<div><p>x, y</p>", "<div><p>x</p></section>", "<div><li>x", "<header><p>x</p>", "<div class='layout ad'><p>x, y</p>",
+    "<ul><li><a href=x>x</a>",
+])
+def test_deep_pages_take_linear_time(unit):
+    import time
+
+    def seconds(levels):
+        started = time.perf_counter()
+        main_text(unit * levels)
+        return time.perf_counter() - started
+
+    seconds(500)
+    assert seconds(8_000) < 2.0  # a quadratic way takes ten
+
+
+def _tree(draw, depth=0):
+    """A random element: tag and children, which are elements or (text, characters in links)."""
+    if depth == 4 or draw.random() < 0.35:
+        words = draw.choices(["plain", "word,", "long" * 9, "x,"], k=draw.randint(1, 40))
+        linked = draw.choice([0, 0, 0, 1]) * draw.randint(0, len(words))
+        text = " ".join(words)
+        link = " ".join(words[:linked])
+        return ("p", (text, link))
+    return ("div", [_tree(draw, depth + 1) for _ in range(draw.randint(1, 5))])
+
+
+def _html(node):
+    tag, inner = node
+    if tag == "p":
+        text, link = inner
+        return f"<p><a href=x>{link}</a>{text[len(link):]}</p>" if link else f"<p>{text}</p>"
+    return f"<div>{''.join(map(_html, inner))}</div>"
+
+
+def _plain_article(tree):
+    """Lines of the best container and of its siblings, from the rules alone."""
+    nodes = []  # tag, parent, children or text, in page order
+
+    def walk(node, parent):
+        me = len(nodes)
+        nodes.append((node[0], parent, node[1] if node[0] == "p" else None))
+        for child in node[1] if node[0] == "div" else []:
+            walk(child, me)
+
+    nodes.append(("", None, None))
+    walk(tree, 0)
+
+    def up(i):
+        while i is not None:
+            yield i
+            i = nodes[i][1]
+
+    leaves = [i for i, n in enumerate(nodes) if n[0] == "p"]
+    points, chars, linked = ([0.0] * len(nodes) for _ in range(3))
+    for i in leaves:
+        text, link = nodes[i][2]
+        for at in up(i):
+            chars[at] += len(text)
+            linked[at] += len(link)
+        own = 1 + text.count(",") + min(len(text) / 100, 3.0)
+        for at, share in zip(up(nodes[i][1]), (1, 1 / 2, 1 / 3, 1 / 4, 1 / 5), strict=False):
+            points[at] += own * share
+    score = [p * (1 - k / c) if c else 0.0 for p, k, c in zip(points, linked, chars, strict=True)]
+    best = max((i for i, n in enumerate(nodes) if n[0] != "p" and chars[i]), key=lambda i: (score[i], -i))
+    kept = {best} | {
+        i for i, n in enumerate(nodes) if n[1] == nodes[best][1] and i != best and best
+        and linked[i] <= 0.25 * chars[i] and (n[0] == "p" or score[i] >= 0.2 * score[best])
+    }
+    lines = []
+    for i in leaves:
+        path = list(up(i))
+        inside = path[:path.index(best)] if best in path else path
+        menu = [x for x in inside if nodes[x][0] == "div" and linked[x] > 0.5 * chars[x]]
+        if kept & set(path) and not menu:
+            lines.append(nodes[i][2][0])
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_scores_against_the_rules_alone(seed):
+    import random
+
+    tree = ("div", [_tree(random.Random(seed), 1) for _ in range(4)])
+    assert main_text(_html(tree)) == _plain_article(tree)
