@@ -40,8 +40,8 @@ from orbitrank.llm.arrays import hashed_words, mix64
 from orbitrank.llm.components import connected
 from orbitrank.session import cut_lineage
 
-#: Sets in a tile.
-TILE_SETS = 1_024
+#: Shingles aimed at in a tile, and shingles that a set counts for beside its own.
+TILE_SHINGLES, SET_SHINGLES = 1 << 20, 1 << 10
 #: Bits of a signature.
 SIGNATURE_BITS = 2_048
 #: One shared key more is asked for with so many shingles that may be missing.
@@ -230,16 +230,17 @@ def meeting(
 
 
 def _tiles(families: DataFrame) -> DataFrame:
-    """``families`` with a tile for each set: a run of sizes of about ``TILE_SETS`` sets.
+    """``families`` with a tile for each set: a run of sizes of about ``TILE_SHINGLES`` shingles.
 
-    Counted by size, so that no family is sorted as a whole; a size of more sets than
-    that is dealt out by the sets' names.
+    Counted by size, so that no family is sorted as a whole; a size of more shingles than
+    that is dealt out by the sets' names. As each set counts for some shingles more, a tile
+    is bounded in sets as well.
     """
-    sizes = families.groupBy("family", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = families.groupBy("family", "size").agg((F.count(F.lit(1)) * (F.col("size") + SET_SHINGLES)).alias("n"))
     before = Window.partitionBy("family").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     runs = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    parts = F.ceil(F.col("n") / TILE_SETS)
-    tile = F.floor(F.col("ahead") / TILE_SETS) + F.pmod(F.xxhash64("set"), parts)
+    parts = F.ceil(F.col("n") / TILE_SHINGLES)
+    tile = F.floor(F.col("ahead") / TILE_SHINGLES) + F.pmod(F.xxhash64("set"), parts)
     return families.join(runs, ["family", "size"]).withColumn("tile", tile.cast("long")).drop("n", "ahead")
 
 
@@ -391,21 +392,20 @@ def one_of_each(docs: DataFrame, like: Likeness) -> DataFrame:
     first = members.groupBy("class").agg(F.min("row").alias("first"))
     judged = cut_lineage(
         members.join(first, "class").where((F.col("row") != F.col("first")) | (F.col("copies") > 1)).select(
-            F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"),
-            (F.col("row") == F.col("first")).alias("__stays"),
+            F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"),
+            (F.col("row") == F.col("first")).alias("stays"),
         )
     )
-    counts = {r[0]: r[1] for r in judged.groupBy("__stays").count().collect()}
+    counts = {r[0]: r[1] for r in judged.groupBy("stays").count().collect()}
 
     def named(stays: bool | None) -> DataFrame:
-        found = judged if stays is None else judged.where(F.col("__stays") == stays)
+        found = judged if stays is None else judged.where(F.col("stays") == stays)
         return F.broadcast(found) if sum(counts.values()) <= SHIPPED_GIVERS else found
 
-    hashed = docs.withColumn("__text", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
-    out = hashed.join(named(None), same, "left_anti")
+    # A row is one column here, so that its own names cannot clash with working ones.
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    out = packed.join(named(None), same, "left_anti")
     if counts.get(True):  # equal rows of one id, of which one stays
-        out = out.unionByName(
-            hashed.join(named(True), same, "left_semi").dropDuplicates(["doc_id", "__text"])
-        )
-    return out.drop("__text")
+        out = out.unionByName(packed.join(named(True), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return out.select("row.*")

@@ -204,15 +204,16 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: ``docs`` with every row as often as the mix takes it."""
     mix = plan_mix(docs)
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn(
-        "__key", shuffle_key(F.col("doc_id"), F.col("text"))
+    # A row is one column here, so that its own names cannot clash with working ones.
+    sized = docs.select(
+        F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"),
+        shuffle_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
-    marked = mix.mark(sized, F.col("source"), F.col("__key"), F.col("__size"), "__outcome")
-    return (
-        marked.where(F.col("__outcome.repeats") > 0)
-        .withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__outcome.repeats"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = mix.mark(sized, F.col("source"), F.col("key"), F.col("size"), "outcome")
+    repeated = marked.where(F.col("outcome.repeats") > 0).select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("outcome.repeats"))).alias("turn")
     )
+    return repeated.select("row.*")
 
 
 REPORT_SQL = r"""

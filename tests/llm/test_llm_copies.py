@@ -121,10 +121,11 @@ def copies():
     return texts
 
 
-@pytest.mark.parametrize("words, per_cent, tile", [(3, 90, 1_024), (3, 90, 2), (5, 80, 3), (1, 50, 4), (2, 100, 5)])
+@pytest.mark.parametrize("words, per_cent, tile", [(3, 90, 1 << 20), (3, 90, 150), (5, 80, 200), (1, 50, 300), (2, 100, 400)])
 def test_join_equals_all_pairs(spark, copies, monkeypatch, words, per_cent, tile):
-    monkeypatch.setattr(jaccard, "TILE_SETS", tile)
-    if tile == 2:
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(jaccard, "SET_SHINGLES", min(50, tile))
+    if tile == 150:
         monkeypatch.setattr(jaccard, "SHIPPED_GIVERS", 0)
     frame = spark.createDataFrame(list(copies.items()), TEXTS)
     assert _linked(frame, jaccard.Likeness(words, per_cent)) == _brute(copies, words, per_cent)
@@ -177,3 +178,12 @@ def test_search_equals_scoring_all(spark, monkeypatch):
         best = sorted((-s, i) for i, s in scores.items() if s > 0)[:7]
         assert [i for i, _ in got[query]] == [i for _, i in best]
         assert np.allclose([s for _, s in got[query]], [-s for s, _ in best], atol=2e-9)
+
+
+def test_tiles_are_bounded_in_shingles_and_sets(spark):
+    rows = [(1, 15_000 + i % 3, i) for i in range(600)] + [(1, 2, 1_000 + i) for i in range(5_000)] + [(2, 9, 9_000)]
+    frame = spark.createDataFrame(rows, "family bigint, size bigint, set bigint")
+    tiles = jaccard._tiles(frame).groupBy("family", "tile").agg({"size": "sum", "set": "count"}).collect()
+    assert sum(r["count(set)"] for r in tiles) == len(rows)
+    assert max(r["sum(size)"] for r in tiles) <= 3 * jaccard.TILE_SHINGLES
+    assert max(r["count(set)"] for r in tiles) <= 3 * jaccard.TILE_SHINGLES // jaccard.SET_SHINGLES

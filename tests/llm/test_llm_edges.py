@@ -193,3 +193,16 @@ def test_pipeline_stages(spark, messy, nothing, tmp_path):
             if step != corpus_pipeline.STAGES[-1][0]:
                 assert docs.columns == table.columns
         assert (docs.count() > 0) == (name == "messy")
+
+
+def test_working_names_are_free(spark):
+    """Columns called like working ones come out as they went in."""
+    names = ("row", "outcome", "turn", "size", "key", "hash", "id", "stays", "text_hash", "__text", "__key", "__size",
+             "__turn", "__mix", "__OUTCOME", "class", "first", "set")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{x}` string" for x in names)
+    rows = [(i, f"the cat sat on the mat {i % 5}", "en", "ab"[i % 2], 1, *(f"{x}{i}" for x in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for frame in (jaccard.one_of_each(docs, LIKE), mixing.mix_documents(docs)):
+        assert frame.columns == docs.columns
+        got = {tuple(r) for r in frame.collect()}
+        assert got and got <= set(rows)
