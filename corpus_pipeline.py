@@ -12,19 +12,28 @@ from orbitrank.session import scratch_path, ship_package
 NEAR_COPIES = jaccard.Likeness(words=5, per_cent=80)
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: Rows that a Python worker gets at once: texts are long, and the buffers behind a batch stay.
+ARROW_ROWS = 500
+
 #: No SQL: character models, and merges that depend on each other, are beyond it.
 ORACLE_SQL = None
 
 
+def _ready(spark: SparkSession) -> None:
+    """Send the package to the workers and keep the session's batches small."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; the rejected ones go."""
-    ship_package(spark)
+    _ready(spark)
     return language.drop_rejected(docs, language.learn(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship_package(spark)
+    _ready(spark)
     return jaccard.one_of_each(docs, NEAR_COPIES)
 
 
@@ -35,7 +44,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the tokens and of what they decode to."""
-    ship_package(spark)
+    _ready(spark)
     return byte_pairs.digests(byte_pairs.encode_decode(docs, TOKENIZER))
 
 
