@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,25 +177,92 @@ def _descend(
         pairs = _prune(pairs, level, within_chord)
         if level % 3 == 0:
             pairs = cut_lineage(pairs)
-    shift = _LAST_LEVEL - leaf
-    def at_leaf(points: DataFrame, side: str, *carried) -> DataFrame:
-        return points.select(
-            "group",
-            *[F.shiftright(c, shift).alias(f"{side}{c}") for c in ("ix", "iy", "iz")],
-            *carried,
-        )
+    return _in_leaves(left, right, pairs, leaf)
 
-    lefts = at_leaf(left, "l", "left_id", "longitude", "latitude")
-    rights = at_leaf(
-        right, "r", F.col("longitude").alias("__lon"), F.col("latitude").alias("__lat")
-    )
-    compared = lefts.join(pairs, ["group", "lix", "liy", "liz"]).join(
-        rights, ["group", "rix", "riy", "riz"]
+
+def _in_lists(rows: DataFrame, carried: str = "") -> DataFrame:
+    """left_id, metres to the nearest point of the row's list (NULL without one), and what is carried.
+
+    rows: left_id, longitude, latitude, lons, lats and the carried columns.
+    """
+    names = ["left_id", "metres", *[part.split()[0] for part in carried.split(", ") if part]]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lon, lat = (np.radians(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
+            many = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
+            out = np.full(len(batch), np.nan)
+            for low, high in _runs(many):
+                part = batch.slice(low, high - low)
+                other_lon, other_lat = (
+                    np.radians(pc.list_flatten(part.column(i)).to_numpy(zero_copy_only=False)) for i in (3, 4)
+                )
+                at = np.repeat(np.arange(low, high), many[low:high])
+                h = np.sin((other_lat - lat[at]) / 2) ** 2 + (
+                    np.cos(lat[at]) * np.cos(other_lat) * np.sin((other_lon - lon[at]) / 2) ** 2
+                )
+                if len(at):
+                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    closest = np.minimum.reduceat(h, starts)
+                    out[at[starts]] = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(closest, 0, 1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out, pa.float64(), mask=np.isnan(out)), *batch.columns[5:]], names=names
+            )
+
+    return rows.mapInArrow(measure, ", ".join(x for x in ("left_id string, metres double", carried) if x))
+
+
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows whose lists have at most ``_PAIRS_PER_BLOCK`` points together, or one row."""
+    total, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        before = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + _PAIRS_PER_BLOCK, side="right")))
+        yield low, high
+        low = high
+
+
+def _in_leaves(left: DataFrame, right: DataFrame, pairs: DataFrame, leaf: int) -> DataFrame:
+    """The last step of the descent: points against the lists of their leaf cubes.
+
+    A leaf cube of the right side is one row with the lists of its points. A left point
+    first meets its own cube; what it finds there bounds which of the other cubes, by the
+    gap between point and box, it has to meet at all. So a left point crosses a shuffle
+    once, and once more for each cube that can still hold something nearer.
+    """
+    shift = _LAST_LEVEL - leaf
+    cube = ("ix", "iy", "iz")
+    lists = right.groupBy("group", *[F.shiftright(c, shift).alias(f"r{c}") for c in cube]).agg(
+        F.collect_list(F.struct("longitude", "latitude")).alias("points")
+    ).select("group", *[f"r{c}" for c in cube], F.col("points.longitude").alias("lons"), F.col("points.latitude").alias("lats"))
+    lists = cut_lineage(lists)
+    lefts = left.select(
+        "left_id", "longitude", "latitude", "group", *[F.shiftright(c, shift).alias(f"l{c}") for c in cube]
     )
-    distance = haversine_m(
-        F.col("longitude"), F.col("latitude"), F.col("__lon"), F.col("__lat")
+    home = lists.withColumnsRenamed({f"r{c}": f"l{c}" for c in cube})
+    carried = "longitude double, latitude double, group string, lix bigint, liy bigint, liz bigint"
+    names = ["group", *[f"l{c}" for c in cube]]
+    own = cut_lineage(_in_lists(
+        lefts.join(home, names, "left").select(
+            "left_id", "longitude", "latitude", "lons", "lats", F.col("longitude").alias("lon"),
+            F.col("latitude").alias("lat"), *names,
+        ),
+        carried,
+    ))
+    lon, lat = F.radians("longitude"), F.radians("latitude")
+    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    gap, side = F.lit(0.0), 2.0 / 2**leaf
+    for c, axis in axes.items():
+        low = F.col(f"ri{c}") * side - 1
+        gap = gap + F.pow(F.greatest(low - axis, F.lit(0.0), axis - (low + side)), 2)
+    chord = 2 * F.sin(F.col("metres") / (2 * EARTH_RADIUS_M))
+    near = F.col("metres").isNull() | (F.sqrt(gap) <= chord * (1 + 1e-9) + 1e-12)
+    elsewhere = ~((F.col("lix") == F.col("rix")) & (F.col("liy") == F.col("riy")) & (F.col("liz") == F.col("riz")))
+    others = own.join(pairs.where(elsewhere), names).where(near).join(lists, ["group", *[f"r{c}" for c in cube]])
+    found = _in_lists(others.select("left_id", "longitude", "latitude", "lons", "lats"))
+    return own.select("left_id", "metres").unionByName(found).groupBy("left_id").agg(
+        F.min("metres").alias("nearest_m")
     )
-    return compared.groupBy("left_id").agg(F.min(distance).alias("nearest_m"))
 
 
 def nearest_distance(
