@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbitrank.operators.frames import null_safe_join
 
-VALUE_BUCKETS = 256
+#: Rows aimed at in a bucket, the most buckets of a group, and how finely its values are sketched.
+ROWS_PER_BUCKET, GRID, ACCURACY = 65_536, 1_024, 20_000
 
 
 def bucketed_rank(
@@ -66,17 +66,34 @@ def hashed_rank(
     return bucketed_rank(bucketed, groups, "__bucket", [hash_col, *ties], rank, size).drop("__bucket")
 
 
-def _value_buckets(values: DataFrame, value: str, seen: DataFrame) -> DataFrame:
-    """Add ``__bucket``, a roughly even split of the values of ``seen``.
+def _splits(values: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Per group ``__splits``: the sorted values at which its buckets begin.
 
-    The split points are read once and become literals, so a recomputed task
-    sees the same buckets. They decide balance only, never a result.
+    The sketch behind the percentiles merges, so no group is gathered. A group has a
+    bucket for every ``ROWS_PER_BUCKET`` of its rows, up to ``GRID``.
     """
-    share = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    found = sorted(set(seen.approxQuantile(value, share, 0.002)))
-    splits = [float("-inf"), *found, float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol=value, outputCol="__bucket")
-    return bucketizer.transform(values)
+    grid = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], ACCURACY)
+    sketched = values.groupBy(*groups).agg(grid.alias("__grid"), F.count(F.lit(1)).alias("__n"))
+    buckets = F.least(F.ceil(F.col("__n") / ROWS_PER_BUCKET), F.lit(GRID))
+    inner = F.when(buckets > 1, F.sequence(F.lit(1), buckets - 1)).otherwise(F.array().cast("array<bigint>"))
+    at = F.transform(inner, lambda i: F.get("__grid", (F.floor(i * GRID / buckets) - 1).cast("int")))
+    return sketched.select(*groups, F.array_distinct(at).alias("__splits"))
+
+
+def _value_buckets(values: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Add ``__bucket``, a roughly even split of each group's values, in their order.
+
+    Where the splits lie decides balance only, never a result.
+    """
+    # How many splits do not exceed the value, found by halving.
+    steps = [GRID >> i for i in range(GRID.bit_length())]
+
+    def onward(at: Column, step: Column) -> Column:
+        return F.when(F.get("__splits", at + step - 1) <= F.col(value), at + step).otherwise(at)
+
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), onward)
+    joined = null_safe_join(values, _splits(values, groups, value), groups)
+    return joined.withColumn("__bucket", found).drop("__splits")
 
 
 def running_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -86,7 +103,7 @@ def running_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
     of all rows costs one row.
     """
     distinct = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    bucketed = _value_buckets(distinct, value, df)
+    bucketed = _value_buckets(distinct, groups, value)
     sums = bucketed.groupBy(*groups, "__bucket").agg(F.sum("n").alias("__n"))
     over_group = Window.partitionBy(*groups)
     earlier = over_group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +174,7 @@ def value_rank(
     if counts is None:
         counts = running_counts(df, groups, value)
     counts = counts.select(*groups, value, F.col("below").alias("__below"), "total")
-    ranges = _value_buckets(df, position, df).withColumnRenamed("__bucket", "__range")
+    ranges = _value_buckets(df, groups, position).withColumnRenamed("__bucket", "__range")
     tied = bucketed_rank(
         ranges, [*groups, value], "__range", [position], rank="__tie", size="__ties"
     )

@@ -17,6 +17,38 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, position bigint, value double"), rows
 
 
+@pytest.fixture(params=[(65_536, 1_024), (7, 64), (1, 1_024), (50, 4)], autouse=True)
+def buckets(request, monkeypatch):
+    """Results are the same from one bucket for a group to one for every row."""
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", request.param[0])
+    monkeypatch.setattr(ranking, "GRID", request.param[1])
+    return request.param
+
+
+def test_buckets_are_even_and_in_order(skewed, buckets):
+    df, rows = skewed
+    distinct = df.select("g", "value").distinct()
+    got = ranking._value_buckets(distinct, ["g"], "value").groupBy("g", "__bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).collect()
+    for group in {r[0] for r in rows}:
+        own = sorted((r for r in got if r["g"] == group), key=lambda r: r["__bucket"])
+        n = len({v for g, _, v in rows if g == group})
+        assert sum(r["n"] for r in own) == n
+        assert all(a["high"] < b["low"] for a, b in zip(own, own[1:], strict=False))
+        wanted = min(-(-n // buckets[0]), buckets[1])
+        assert len(own) <= wanted and max(r["n"] for r in own) <= 2 * n / wanted + 2
+
+
+def test_no_job_runs_before_the_result(spark, skewed):
+    df, _ = skewed
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "")
+    ranking.value_rank(df, ["g"], "value", "position")
+    assert not seen.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_hashed_rank_is_row_number(spark, skewed):
     df, rows = skewed
     hashed = df.withColumn("h", F.sha2(F.col("position").cast("string"), 256))
