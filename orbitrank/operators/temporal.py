@@ -204,6 +204,18 @@ def day_gap(chosen: DataFrame) -> DataFrame:
     )
 
 
+def gap_to_marked(number: Column, marked: Column, place: str = "place_id") -> Column:
+    """Days from a day to its place's nearest marked one, itself included; NULL without any.
+
+    The nearest earlier one is a running maximum over the place's days, the nearest later
+    one a running minimum backwards.
+    """
+    day = F.when(marked, number)
+    earlier = Window.partitionBy(place).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(place).orderBy(number.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.least(number - F.max(day).over(earlier), F.min(day).over(later) - number)
+
+
 def guarded_split(
     observations: DataFrame, anchor: str, query_count: int, min_day_gap: int
 ) -> DataFrame:
@@ -227,22 +239,17 @@ def guarded_split(
         "n": F.count(F.lit(1)).over(place),
     })
     query = (F.col("nth") <= query_count) & (F.col("n") >= 2)
-    queried = ordered.withColumn("query_days", F.collect_list(F.when(query, F.col("number"))).over(place))
-    to_query = F.coalesce(nearest_gap(F.col("number"), F.col("query_days")), F.lit(-1))
-    placed = queried.withColumn("to_query", to_query).withColumn(
-        "split",
-        F.when(query, "query")
-        .when((F.col("n") >= 2) & (F.col("to_query") >= min_day_gap), "index")
-        .otherwise("excluded"),
+    queried = ordered.withColumn("query", query)
+    to_query = gap_to_marked(F.col("number"), F.col("query"))
+    split = (
+        F.when(F.col("query"), "query")
+        .when((F.col("n") >= 2) & (F.col("to_query") >= min_day_gap), "index").otherwise("excluded")
     )
-    index = F.when(F.col("split") == "index", F.col("number"))
-    sided = placed.withColumn("index_days", F.collect_list(index).over(place))
-    gap = F.when(
-        F.col("split") == "query", nearest_gap(F.col("number"), F.col("index_days"))
-    ).when(F.col("to_query") >= 0, F.col("to_query"))
-    return sided.select(
-        "place_id", "acquisition_day", "split", gap.alias("gap_days"),
-        (F.size("index_days") > 0).alias("usable"),
+    placed = queried.withColumn("to_query", to_query).withColumn("split", split)
+    is_index = F.col("split") == "index"
+    gap = F.when(F.col("query"), gap_to_marked(F.col("number"), is_index)).otherwise(F.col("to_query"))
+    return placed.select(
+        "place_id", "acquisition_day", "split", gap.alias("gap_days"), F.max(is_index).over(place).alias("usable")
     )
 
 

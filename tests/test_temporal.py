@@ -123,3 +123,26 @@ def test_place_rules(spark):
         ("duplicate_place_id", "ok"), ("unsafe_place_id", "a/b"), ("unsafe_place_id", ""),
         ("longitude_out_of_range", "far"), ("latitude_out_of_range", "high")}
     assert [r["rule"] for r in temporal.place_violations(places.limit(0)).collect()] == ["no_places"]
+
+
+def test_guard_needs_no_lists_and_matches_all_gaps(spark):
+    import random
+
+    draw = random.Random(3)
+    start = dt.date(2024, 1, 1)
+    rows = {(f"p{i}", start + dt.timedelta(days=draw.randrange(900))) for i in range(6) for _ in range(draw.choice([1, 2, 9, 60]))}
+    frame = spark.createDataFrame([(p, str(d)) for p, d in rows], "place_id string, acquisition_day string")
+    found = temporal.guarded_split(frame, "2025-01-01", 3, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    got = {(r["place_id"], r["acquisition_day"]): r for r in found.collect()}
+    assert set(got) == rows
+    for place in {p for p, _ in rows}:
+        days = {d: got[place, d] for p, d in rows if p == place}
+        queries = [d for d, r in days.items() if r["split"] == "query"]
+        index = [d for d, r in days.items() if r["split"] == "index"]
+        for day, r in days.items():
+            others = index if r["split"] == "query" else queries
+            assert r["gap_days"] == min((abs((day - x).days) for x in others), default=None)
+            assert r["usable"] == bool(index)
+            assert (r["split"] == "index") == (bool(queries) and day not in queries and r["gap_days"] >= 20)
