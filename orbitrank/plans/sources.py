@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrank.functions import hashing, pixels, vectors
@@ -18,7 +18,7 @@ from orbitrank.plans.bindings import (
 from orbitrank.plans.registry import Registry, rounded
 from orbitrank.plans.retrieval import _MEANS
 from orbitrank.session import scratch_path
-from orbitrank.sources import catalogue, manifests, reports
+from orbitrank.sources import catalogue, lines, manifests, reports, trees
 from orbitrank.sources import stores as store_source
 
 REGISTRY = Registry()
@@ -69,22 +69,38 @@ def q_manifest_write(spark, sf_dir):
     return manifests.read_manifest(spark, path)[0].select("item_id", "split", "label", "sha256")
 
 
-@register(
-    "manifest_read",
-    with_sql(SQL_MANIFEST) + """SELECT 'unreadable_line' AS rule, count(*) AS lines FROM documents WHERE doc_id % 10 = 3
-UNION ALL SELECT 'missing_field', count(*) FROM documents WHERE doc_id % 10 = 4 UNION ALL SELECT 'ok', count(*) FROM documents WHERE doc_id % 10 NOT IN (3, 4)""",
-)
-def q_manifest_read(spark, sf_dir):
-    """A JSON-lines manifest with truncated lines and lines lacking the split."""
+DAMAGED_FILES = 3
+
+
+def _damaged(spark, sf_dir) -> str:
+    """A JSON-lines manifest in files by range of ids, with truncated lines and lines lacking the split."""
     path = scratch_path(spark, "manifest-damaged")
     number = F.substring("item_id", -5, 1).cast("int")
     rows = _with_metadata(manifest(spark, sf_dir)).withColumn("split", F.when(number != 4, F.col("split")))
     line = F.to_json(F.struct("*"))
-    rows.select(F.when(number == 3, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    text = F.when(number == 3, F.substring(line, 1, 20)).otherwise(line)
+    rows.repartitionByRange(DAMAGED_FILES, "item_id").sortWithinPartitions("item_id").select(text.alias("value")).write.text(path)
+    return path
+
+
+@register(
+    "manifest_read",
+    with_sql(SQL_MANIFEST) + """, n AS (SELECT doc_id % 10 AS digit, row_number() OVER (ORDER BY item_id) AS position FROM manifest)
+SELECT CASE digit WHEN 3 THEN 'unreadable_line' ELSE 'missing_field' END AS rule, position FROM n WHERE digit IN (3, 4)
+UNION ALL SELECT 'ok', count(*) FROM n WHERE digit NOT IN (3, 4)""",
+)
+def q_manifest_read(spark, sf_dir):
+    """Every bad line by its place in all files, and how many rows are good."""
+    path = _damaged(spark, sf_dir)
     good, broken = manifests.read_manifest(spark, path)
+    sizes = lines.numbered_lines(spark, path).groupBy(F.substring_index("file", "/", -1).alias("name")).agg(
+        F.max("line").alias("n"))
+    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    begun = sizes.select("name", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    placed = broken.select("rule", F.substring_index("key", ":", 1).alias("name"), F.substring_index("key", ":", -1).cast("bigint").alias("line"))
     return stack(
-        broken.groupBy("rule").agg(F.count(F.lit(1)).alias("lines")),
-        good.agg(F.count(F.lit(1)).alias("lines")).withColumn("rule", F.lit("ok")),
+        placed.join(begun, "name").select("rule", (F.col("ahead") + F.col("line")).alias("position")),
+        good.agg(F.count(F.lit(1)).alias("position")).withColumn("rule", F.lit("ok")),
     )
 
 
@@ -171,6 +187,38 @@ def q_tree(spark, sf_dir):
     return manifests.tree_digest(files(spark, sf_dir), "/images")
 
 
+_SKIPPED = "de"
+SQL_MERKLE = with_sql(SQL_MANIFEST, f"""kept AS (SELECT sha256(item_id) AS h, item_id AS path, octet_length(encode(text)) AS size, sha256
+  FROM entries WHERE NOT list_contains(string_split(item_id, '/'), '{_SKIPPED}')),
+l3 AS (SELECT h[1:3] AS prefix, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes,
+  sha256(string_agg(concat_ws('|', h, path, CAST(size AS VARCHAR), sha256), chr(10) ORDER BY h)) AS digest FROM kept GROUP BY 1)""", *[
+    f"""l{i} AS (SELECT prefix[1:{i}] AS prefix, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes,
+  sha256(string_agg(prefix || '|' || digest, chr(10) ORDER BY prefix)) AS digest FROM l{i + 1} GROUP BY 1)""" for i in (2, 1)
+], """l0 AS (SELECT '' AS prefix, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes,
+  sha256(string_agg(prefix || '|' || digest, chr(10) ORDER BY prefix)) AS digest FROM l1)""")
+
+
+def _entries(spark, sf_dir):
+    return trees.tree_entries(files(spark, sf_dir), "/images", [_SKIPPED])
+
+
+@register("merkle_digest", SQL_MERKLE + "SELECT files, bytes, digest FROM l0")
+def q_merkle(spark, sf_dir):
+    """One digest of the whole tree, a folder left out."""
+    return trees.merkle_digest(_entries(spark, sf_dir))
+
+
+@register(
+    "merkle_differences",
+    SQL_MERKLE + "SELECT DISTINCT h[1:3] AS prefix FROM kept WHERE size % 7 = 0",
+)
+def q_merkle_differences(spark, sf_dir):
+    """Leaves that differ once some files are cut short by a byte or missing."""
+    entries = _entries(spark, sf_dir)
+    changed = entries.where("size % 14 <> 0").withColumn("size", F.when(F.col("size") % 7 == 0, F.col("size") - 1).otherwise(F.col("size")))
+    return trees.merkle_differences(trees.merkle_nodes(entries), trees.merkle_nodes(changed))
+
+
 @register("run_metadata", with_sql(SQL_MANIFEST) + """SELECT count(*) AS items, count(*) FILTER (split = 'index') AS index_items,
   count(*) FILTER (split = 'query') AS query_items, 'abc' AS manifest_sha256 FROM manifest""")
 def q_run_metadata(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from orbitrank.functions.hashing import content_sha256
 from orbitrank.operators.checks import Rule, enforce, manifest_violations, violations
 from orbitrank.operators.splits import hash_split
+from orbitrank.sources.lines import numbered_lines
 
 # File suffixes taken as images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff")
@@ -72,27 +73,40 @@ def build_manifest(
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Typed manifest rows, and the lines that could not be read.
 
-    Blank lines are skipped by the reader; a broken line becomes a violation with
-    its text instead of failing the scan.
+    Blank lines are skipped. A broken line becomes a violation whose key is its file's
+    name and its number, instead of failing the scan.
     """
     schema = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    rows = lines.withColumn("row", parsed).select(
+        F.concat_ws(":", F.substring_index("file", "/", -1), "line").alias("__key"),
+        (F.col("row").isNull() | F.col(f"row.{_CORRUPT}").isNotNull()).alias("__broken"), "row.*",
+    ).drop(_CORRUPT)
     required = F.col("item_id").isNull() | F.col("path").isNull() | F.col("split").isNull()
-    good = F.col(_CORRUPT).isNull() & ~required
     broken = violations(
-        rows.withColumn("__key", F.coalesce(F.col(_CORRUPT), F.col("item_id"), F.lit("?"))),
-        "__key",
+        rows, "__key",
         [
-            Rule("unreadable_line", F.col(_CORRUPT).isNotNull()),
-            Rule("missing_field", F.col(_CORRUPT).isNull() & required),
+            Rule("unreadable_line", F.col("__broken")),
+            Rule("missing_field", ~F.col("__broken") & required),
         ],
     )
-    typed = rows.filter(good).drop(_CORRUPT).withColumn(
+    typed = rows.filter(~F.col("__broken") & ~required).drop("__key", "__broken").withColumn(
         "source", F.coalesce("source", F.lit("local"))
     )
     return typed.withColumn("sha256", F.col("metadata")["sha256"]), broken
 
 
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a manifest that is whole: every line readable, at least one, all rules kept."""
+    rows, broken = read_manifest(spark, path)
+    enforce(broken)
+    if rows.isEmpty():
+        raise ValueError(f"manifest is empty: {path}")
+    enforce(manifest_violations(rows))
+    return rows
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     """JSON lines ordered by id with sorted keys; the commit protocol makes it atomic."""
     ordered = manifest.select(*sorted(manifest.columns)).orderBy("item_id")

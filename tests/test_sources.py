@@ -54,7 +54,85 @@ def test_manifest_round_trip_and_bad_lines(spark, tmp_path, folder):
     assert good.select("item_id", "label", "split", "sha256").exceptAll(built.select("item_id", "label", "split", "sha256")).count() == 0
     (tmp_path / "bad.json").write_text('{"item_id": "a", "path": "a", "split": "index"}\n\n{"item_id": \n{"item_id": "b"}\n')
     good, broken = manifests.read_manifest(spark, str(tmp_path / "bad.json"))
-    assert good.count() == 1 and sorted(r["rule"] for r in broken.collect()) == ["missing_field", "unreadable_line"]
+    assert good.count() == 1
+    assert sorted(map(tuple, broken.collect())) == [("missing_field", "bad.json:4"), ("unreadable_line", "bad.json:3")]
+    with pytest.raises(ValueError, match="bad.json:[34]"):
+        manifests.load_manifest(spark, str(tmp_path / "bad.json"))
+
+
+def test_loading_refuses_what_is_not_whole(spark, tmp_path):
+    def load(name, text):
+        (tmp_path / name).write_text(text)
+        return manifests.load_manifest(spark, str(tmp_path / name))
+
+    row = '{"item_id": "%s", "path": "%s", "split": "%s", "label": "x", "metadata": {"sha256": "%s"}}\n'
+    assert load("good.json", row % ("a", "a", "index", "h") + row % ("b", "b", "query", "k")).count() == 2
+    for name, text, message in (
+        ("empty.json", "\n  \n", "manifest is empty"), ("nothing.json", "", "manifest is empty"),
+        ("twice.json", row % ("a", "a", "index", "h") * 2, "duplicate_item_id: a"),
+        ("split.json", row % ("a", "a", "held", "h"), "unknown_split: a"),
+        ("leak.json", row % ("a", "a", "index", "h") + row % ("b", "b", "query", "h"), "content_in_two_splits: h"),
+        ("text.json", row % ("a", "a", "index", "h") + "plain text\n", "unreadable_line: text.json:2"),
+        ("lists.json", row % ("a", "a", "index", "h") + "7\n", "json:2"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            load(name, text)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from orbitrank.sources.lines import numbered_lines
+
+    rng = __import__("random").Random(1)
+    texts = {}
+    for name, n in (("a.txt", 1), ("b.txt", 3_000), ("c.txt", 0), ("d.txt", 700)):
+        texts[name] = ["x" * rng.choice([0, 1, 5, 400]) + str(i) * rng.randint(0, 1) for i in range(n)]
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in texts[name]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = numbered_lines(spark, str(tmp_path))
+        assert lines.select("value").rdd.getNumPartitions() > 0
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {(r["file"].rsplit("/", 1)[1], r["line"]): r["value"] for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, i): x for name, own in texts.items() for i, x in enumerate(own, 1)}
+
+
+def test_merkle_trees(spark):
+    import hashlib
+
+    from orbitrank.sources import trees
+
+    files = [(f"/t/{i % 5}/f{i}", f"content {i % 11}".encode()) for i in range(300)] + [
+        ("/t/.git/x", b"1"), ("/t/a/.git/y", b"2"), ("/t/empty", b"")
+    ]
+    schema = "path string, content binary"
+    entries = trees.tree_entries(spark.createDataFrame(files, schema).repartition(7), "/t", [".git"])
+    assert entries.count() == 301
+    root = trees.merkle_digest(entries, 2).first()
+    turned = trees.tree_entries(spark.createDataFrame(files[::-1], schema), "/t/", [".git"])
+    assert trees.merkle_digest(turned, 2).first() == root and root["files"] == 301
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaves = {}
+    for path, content in files[:300] + files[-1:]:
+        inside = path[3:]
+        line = f"{sha(inside)}|{inside}|{len(content)}|{hashlib.sha256(content).hexdigest()}"
+        leaves.setdefault(sha(inside)[:2], []).append(line)
+    level = {k: sha("\n".join(sorted(v))) for k, v in leaves.items()}
+    for digits in (1, 0):
+        above = {}
+        for prefix in sorted(level):
+            above.setdefault(prefix[:digits], []).append(f"{prefix}|{level[prefix]}")
+        level = {k: sha("\n".join(sorted(v))) for k, v in above.items()}
+    assert level[""] == root["digest"]
+    renamed = [(p.replace("f17", "g17"), c) for p, c in files]
+    other = trees.tree_entries(spark.createDataFrame(renamed, schema), "/t", [".git"])
+    changed = trees.merkle_differences(trees.merkle_nodes(entries, 2), trees.merkle_nodes(other, 2))
+    moved = {sha(x[3:])[:2] for (x, _), (y, _) in zip(files, renamed) if x != y} | {
+        sha(y[3:])[:2] for (x, _), (y, _) in zip(files, renamed) if x != y}
+    assert {r[0] for r in changed.collect()} == moved
+    assert trees.merkle_digest(entries.limit(0)).count() == 0
 
 
 def test_file_verification(spark, folder):
