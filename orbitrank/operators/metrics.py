@@ -107,6 +107,10 @@ def score_queries(hits: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataF
 
 
 def evaluate_queries(store: DataFrame, k: int) -> DataFrame:
+    """Scores of every query; raises where the store cannot be evaluated at ``k``."""
+    refused = evaluation_violations(store, k).limit(1).collect()
+    if refused:
+        raise ValueError(refused[0]["rule"])
     return score_queries(ranked_hits(store, k))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from orbitrank.operators.frames import stack
 
 MINIMUM_DATES = 2
 UNKNOWN_DAY = "unknown"
+#: Degrees of a tile on level 0, which holds any box, and the level of the finest tiles.
+WIDEST_TILE, FINEST_LEVEL = 512, 20
 
 
 def place_violations(places: DataFrame) -> DataFrame:
@@ -47,28 +51,53 @@ def window_violations(windows: DataFrame) -> DataFrame:
     ).select(F.concat(F.lit("window_"), F.col("defect")).alias("rule"), "key")
 
 
+def _levels(df: DataFrame, prefix: str) -> DataFrame:
+    """Add ``own``: the finest level whose tiles are no smaller than the row's box."""
+    extent = F.greatest(F.col(f"{prefix}east") - F.col(f"{prefix}west"), F.col(f"{prefix}north") - F.col(f"{prefix}south"))
+    fitting = F.floor(F.log2(WIDEST_TILE / F.greatest(extent, F.lit(WIDEST_TILE / 2.0**FINEST_LEVEL))))
+    return df.withColumn(f"{prefix}own", F.greatest(fitting, F.lit(0)).cast("int"))
+
+
+def _own_levels(df: DataFrame, column: str) -> list[int]:
+    return sorted(row[0] for row in df.select(column).distinct().collect() if row[0] is not None)  # at most all levels
+
+
+def _tiles(df: DataFrame, prefix: str, others: Sequence[int]) -> DataFrame:
+    """A row for each tile that a box touches on its own level and on the coarser ones of ``others``."""
+    own = F.col(f"{prefix}own")
+    coarser = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda level: level < own)
+    placed = df.withColumn("level", F.explode(F.concat(F.array(own), coarser)))
+    side = F.lit(float(WIDEST_TILE)) / F.pow(F.lit(2.0), F.col("level"))
+    for axis, low, high in (("tile_x", "west", "east"), ("tile_y", "south", "north")):
+        ends = (F.floor(F.col(f"{prefix}{end}") / side) for end in (low, high))
+        placed = placed.withColumn(axis, F.explode(F.sequence(*ends)))
+    return placed
+
+
 def items_in_windows(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Catalogue items whose box overlaps a place's window.
 
-    Both sides are keyed by the one-degree tiles they touch and meet by equi-join;
-    the exact four-way test follows, counted at the first shared tile only.
+    Tiles are halved level by level. A box belongs to the finest level whose tiles are no
+    smaller than it, where it touches four tiles at most; wide boxes stay on coarse levels.
+    Two boxes meet on the coarser of their two levels: each is keyed by its own level and
+    by the coarser ones that the other side has boxes on. Both sides meet by equi-join; the
+    exact four-way test follows, counted at the first shared tile only.
     """
-    def tiles(df: DataFrame, prefix: str) -> DataFrame:
-        lon = F.sequence(F.floor(f"{prefix}west"), F.floor(f"{prefix}east"))
-        lat = F.sequence(F.floor(f"{prefix}south"), F.floor(f"{prefix}north"))
-        return df.withColumn("tile_x", F.explode(lon)).withColumn("tile_y", F.explode(lat))
-
-    left = tiles(windows, "")
-    right = tiles(items.withColumnsRenamed({c: f"i_{c}" for c in ("west", "south", "east", "north")}), "i_")
+    left = _levels(windows, "")
+    right = _levels(items.withColumnsRenamed({c: f"i_{c}" for c in ("west", "south", "east", "north")}), "i_")
+    left_levels, right_levels = _own_levels(left, "own"), _own_levels(right, "i_own")
     overlap = (
         (F.col("west") <= F.col("i_east")) & (F.col("east") >= F.col("i_west"))
         & (F.col("south") <= F.col("i_north")) & (F.col("north") >= F.col("i_south"))
     )
+    side = F.lit(float(WIDEST_TILE)) / F.pow(F.lit(2.0), F.col("level"))
     first = (
-        (F.col("tile_x") == F.floor(F.greatest("west", "i_west")))
-        & (F.col("tile_y") == F.floor(F.greatest("south", "i_south")))
+        (F.col("level") == F.least("own", "i_own"))
+        & (F.col("tile_x") == F.floor(F.greatest("west", "i_west") / side))
+        & (F.col("tile_y") == F.floor(F.greatest("south", "i_south") / side))
     )
-    return left.join(right, ["tile_x", "tile_y"]).filter(overlap & first).drop("tile_x", "tile_y")
+    met = _tiles(left, "", right_levels).join(_tiles(right, "i_", left_levels), ["level", "tile_x", "tile_y"])
+    return met.filter(overlap & first).drop("level", "tile_x", "tile_y", "own", "i_own")
 
 
 def acquisition_day(timestamp: Column) -> Column:

@@ -146,3 +146,33 @@ def test_guard_needs_no_lists_and_matches_all_gaps(spark):
             assert r["gap_days"] == min((abs((day - x).days) for x in others), default=None)
             assert r["usable"] == bool(index)
             assert (r["split"] == "index") == (bool(queries) and day not in queries and r["gap_days"] >= 20)
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    import random
+
+    draw = random.Random(9)
+
+    def boxes(n, prefix):
+        made = []
+        for i in range(n):
+            w, h = (draw.choice([0.0, 1e-5, 0.01, 0.25, 1.0, 7.3, 64.0, 300.0]) * draw.choice([1, draw.random()]) for _ in "wh")
+            h = min(h, 170.0)
+            x, y = draw.uniform(-180, 180 - min(w, 300)), draw.uniform(-85, 85 - h)
+            if i % 5 == 0:
+                x, y = round(x), round(y)  # on the borders of tiles
+            made.append((f"{prefix}{i}", float(x), float(y), float(x + w), float(y + h)))
+        return made + [(f"{prefix}hot{i}", 10.0, 50.0, 10.01, 50.01) for i in range(20)]
+
+    left, right = boxes(150, "w"), boxes(200, "i")
+    windows = spark.createDataFrame(left, "place_id string, west double, south double, east double, north double")
+    items = spark.createDataFrame(right, "item_id string, west double, south double, east double, north double")
+    got = [(r["place_id"], r["item_id"]) for r in temporal.items_in_windows(windows, items).collect()]
+    expected = {
+        (a[0], b[0]) for a in left for b in right if a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2]
+    }
+    assert len(got) == len(set(got)) and set(got) == expected
+    tiles = temporal._tiles(temporal._levels(windows, ""), "", range(21)).groupBy("place_id", "level").count()
+    assert tiles.agg({"count": "max"}).first()[0] <= 4
+    none = items.limit(0)
+    assert temporal.items_in_windows(windows, none).count() == temporal.items_in_windows(windows.limit(0), items).count() == 0
