@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbitrank.functions.vectors import jaccard
-from orbitrank.operators.frames import beside
+from orbitrank.operators.checks import Rule, enforce, violations
+from orbitrank.operators.frames import beside, stack
 from orbitrank.operators.topk import exact_topk
 
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -28,6 +29,36 @@ def relevance_violations(store: DataFrame, relevance: DataFrame) -> DataFrame:
     return bound.select(rule.alias("rule"), F.col("item_id").alias("key")).filter("rule IS NOT NULL")
 
 
+def multilabel_violations(
+    store: DataFrame, relevance: DataFrame, k: int,
+    store_manifest: str | None = None, relevance_manifest: str | None = None,
+) -> DataFrame:
+    """Why a store cannot be scored at ``k`` with these judgments: rule and key, none if it can.
+
+    Beside ids and splits: judgments left in the store's own labels, hashes of different
+    manifests, a side without items, and a k outside 1 to the number of index items.
+    """
+    def facts(*rules: Rule) -> DataFrame:
+        sizes = relevance.agg(
+            F.count_if(F.col("partition") == "index").alias("index_items"),
+            F.count_if(F.col("partition") == "development").alias("queries"),
+        ).withColumn("all", F.lit("all"))
+        return violations(sizes, "all", list(rules))
+
+    found = [
+        relevance_violations(store, relevance),
+        facts(
+            Rule("different_manifests", F.lit(store_manifest != relevance_manifest)),
+            Rule("no_index_items", F.col("index_items") == 0),
+            Rule("no_development_queries", F.col("queries") == 0),
+            Rule("k_out_of_range", F.lit(k < 1) | (F.col("index_items") < k)),
+        ),
+    ]
+    if "label" in store.columns:
+        found.append(violations(store, "item_id", [Rule("label_in_store", F.col("label").isNotNull())]))
+    return stack(*found)
+
+
 def _label_key(labels) -> F.Column:
     """Canonical text of a label set, so equal sets meet by one string key."""
     return F.to_json(F.array_sort(F.array_distinct(labels)))
@@ -109,6 +140,8 @@ def evaluate_development(
     """
     if threshold not in THRESHOLDS:
         raise ValueError("threshold must be one of 0.3, 0.5, 0.7")
+    # The store's own labels are judged by another evaluation and are not looked at here.
+    enforce(multilabel_violations(store.select("item_id", "split"), relevance, k))
     bound = bind(store, relevance)
     index = bound.filter(F.col("partition") == "index")
     queries = bound.filter((F.col("partition") == "development") & (F.size("labels") > 0)).select(

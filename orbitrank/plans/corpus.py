@@ -116,6 +116,29 @@ def q_relevance_bind(spark, sf_dir):
     return multilabel.relevance_violations(store(spark, sf_dir), damaged)
 
 
+@register(
+    "multilabel_violations",
+    with_sql(SQL_STORE, SQL_RELEVANCE) + """, judged AS (SELECT item_id, CASE WHEN CAST(item_id AS BIGINT) % 23 = 1 THEN 'index' ELSE "partition" END AS part
+  FROM relevance WHERE CAST(item_id AS BIGINT) % 29 <> 3 AND "partition" <> 'development'),
+sizes AS (SELECT count(*) FILTER (part = 'index') AS n, count(*) FILTER (part = 'development') AS q FROM judged)
+SELECT CASE WHEN j.item_id IS NULL THEN 'missing_relevance' WHEN s.item_id IS NULL THEN 'missing_embedding' ELSE 'split_disagrees_with_partition' END AS rule,
+  coalesce(s.item_id, j.item_id) AS key FROM (SELECT * FROM store WHERE position % 31 <> 5) s FULL JOIN judged j USING (item_id)
+  WHERE s.item_id IS NULL OR j.item_id IS NULL OR s.split <> CASE WHEN part = 'index' THEN 'index' ELSE 'query' END
+UNION ALL SELECT 'label_in_store', item_id FROM store WHERE label IS NOT NULL AND position % 31 <> 5
+UNION ALL SELECT 'no_development_queries', 'all' FROM sizes WHERE q = 0
+UNION ALL SELECT 'k_out_of_range', 'all' FROM sizes WHERE n < 1000000000
+UNION ALL SELECT 'different_manifests', 'all'""",
+)
+def q_multilabel_violations(spark, sf_dir):
+    """A store and judgments with a fault in every rule that rows can break."""
+    number = F.col("item_id").cast("bigint")
+    judged = relevance(spark, sf_dir).filter((number % 29 != 3) & (F.col("partition") != "development")).withColumn(
+        "partition", F.when(number % 23 == 1, "index").otherwise(F.col("partition"))
+    )
+    held = store(spark, sf_dir).filter("position % 31 <> 5")
+    return multilabel.multilabel_violations(held, judged, 1_000_000_000, "abc", "abd")
+
+
 # ---- spatial split ----------------------------------------------------------
 
 _QPC, _IPC, _SEP = 20, 50, 5_000.0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbitrank.functions import vectors
 from orbitrank.operators import metrics, topk
+from orbitrank.operators.frames import stack
 from orbitrank.operators.splits import hash_split
 from orbitrank.plans.bindings import (
     K, SQL_SCORED, SQL_STORE, base_items, read, sql_hits, store, with_sql,
@@ -97,3 +98,27 @@ UNION ALL SELECT 'all', NULL, {_MEANS} FROM scored""",
 )
 def q_eval_per_class(spark, sf_dir):
     return rounded(metrics.summarize(metrics.evaluate_queries(store(spark, sf_dir), K)))
+
+
+@register(
+    "evaluation_violations",
+    with_sql(SQL_STORE) + """, cases AS (
+  SELECT 'one side' AS case_name, 0 AS index_items, count(*) FILTER (split = 'query') AS query_items, 1 AS k FROM store
+  UNION ALL SELECT 'other side', count(*) FILTER (split = 'index'), 0, 1 FROM store
+  UNION ALL SELECT 'large k', count(*) FILTER (split = 'index'), count(*) FILTER (split = 'query'), count(*) FILTER (split = 'index') + 1 FROM store
+  UNION ALL SELECT 'largest k', count(*) FILTER (split = 'index'), count(*) FILTER (split = 'query'), count(*) FILTER (split = 'index') FROM store)
+SELECT case_name, 'evaluation requires index items' AS rule, index_items, query_items FROM cases WHERE index_items = 0
+UNION ALL SELECT case_name, 'evaluation requires query items', index_items, query_items FROM cases WHERE query_items = 0
+UNION ALL SELECT case_name, 'k cannot exceed the number of index items', index_items, query_items FROM cases WHERE index_items < k""",
+)
+def q_evaluation_violations(spark, sf_dir):
+    """The store without either side, and at the largest k and one more."""
+    rows = store(spark, sf_dir)
+    n = rows.filter("split = 'index'").count()
+    cases = {
+        "one side": (rows.filter("split = 'query'"), 1), "other side": (rows.filter("split = 'index'"), 1),
+        "large k": (rows, n + 1), "largest k": (rows, n),
+    }
+    return stack(*[
+        metrics.evaluation_violations(df, k).withColumn("case_name", F.lit(name)) for name, (df, k) in cases.items()
+    ])

@@ -132,3 +132,30 @@ def test_agreement_divides_by_k_and_census_orders(spark):
         ("a, b", 1, False), ("b", 1, True)]
     with pytest.raises(ValueError):
         slices.agreement(hits, ["a"], 4)
+
+
+def test_evaluation_is_refused(spark):
+    store = make(spark, [(0, "a", [1.0, 0.0], "x", "index"), (1, "b", [1.0, 0.0], "x", "query")])
+    with pytest.raises(ValueError, match="k cannot exceed"):
+        metrics.evaluate_queries(store, 2)
+    with pytest.raises(ValueError, match="requires index items"):
+        metrics.evaluate_queries(store.filter("split = 'query'"), 1)
+    with pytest.raises(ValueError, match="requires query items"):
+        metrics.evaluate_queries(store.filter("split = 'index'"), 1)
+
+
+def test_multilabel_evaluation_is_refused(spark):
+    store, relevance = multi(spark)
+    rules = lambda *args: sorted({r["rule"] for r in multilabel.multilabel_violations(*args).collect()})
+    plain = store.drop("label")
+    assert rules(plain, relevance, 3, "h", "h") == []
+    assert rules(store.withColumn("label", F.lit("x")), relevance, 3) == ["label_in_store"]
+    assert rules(plain, relevance, 3, "h", "g") == ["different_manifests"]
+    assert rules(plain, relevance, 0) == rules(plain, relevance, 4) == ["k_out_of_range"]
+    assert rules(plain, relevance.filter("partition = 'index'"), 1) == ["missing_relevance", "no_development_queries"]
+    swapped = relevance.withColumn("partition", F.when(F.col("item_id") == "q", "index").otherwise(F.col("partition")))
+    assert "split_disagrees_with_partition" in rules(plain, swapped, 1)
+    with pytest.raises(ValueError, match="k_out_of_range"):
+        multilabel.evaluate_development(store, relevance, 4, 0.5)
+    with pytest.raises(ValueError, match="missing_relevance"):
+        multilabel.evaluate_development(store, relevance.filter("item_id <> 'f'"), 1, 0.5)
