@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbitrank.functions.geo import bbox_defect, place_bbox
-from orbitrank.operators.checks import Rule, duplicates, violations
+from orbitrank.operators.checks import Rule, duplicates, enforce, violations
 from orbitrank.operators.frames import stack
 
 MINIMUM_DATES = 2
@@ -35,6 +35,18 @@ def place_violations(places: DataFrame) -> DataFrame:
     return stack(rows, duplicates(places, "place_id", "duplicate_place_id"), none)
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """place_id, longitude, latitude and note of a places file: a JSON list of objects.
+
+    Raises if an entry is not usable, if ids repeat and if there is none.
+    """
+    schema = "place_id string, longitude double, latitude double, note string"
+    places = spark.read.schema(schema).option("multiLine", True).json(path)
+    places = places.withColumn("note", F.coalesce("note", F.lit("")))
+    enforce(place_violations(places))
+    return places
+
+
 def with_windows(places: DataFrame, size_m: float) -> DataFrame:
     """Add the search window of every place."""
     if not size_m > 0:
@@ -136,6 +148,40 @@ def place_survey(places: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
+#: What a survey tells of an observation beside its day, where the items have it.
+OBSERVED = ("item_id", "datetime", "cloud", "grid_code", "relative_orbit", "sun_elevation")
+
+
+def survey_report(places: DataFrame, observations: DataFrame) -> DataFrame:
+    """``place_survey`` with each place's facts and its observations, a struct for each day, in order.
+
+    A list has at most one entry for each calendar day of one place.
+    """
+    told = [c for c in OBSERVED if c in observations.columns]
+    listed = observations.groupBy("place_id").agg(
+        F.array_sort(F.collect_list(F.struct("acquisition_day", *told))).alias("observations")
+    )
+    entry = dict(observations.select("acquisition_day", *told).dtypes)
+    kind = "array<struct<" + ",".join(f"{name}:{entry[name]}" for name in ("acquisition_day", *told)) + ">>"
+    facts = places.select("place_id", *[c for c in ("longitude", "latitude", "note") if c in places.columns])
+    return (
+        facts.join(place_survey(places, observations), "place_id").join(listed, "place_id", "left")
+        .withColumn("observations", F.coalesce("observations", F.array().cast(kind)))
+    )
+
+
+def observe_places(places: DataFrame, items: DataFrame, size_m: float) -> DataFrame:
+    """From places to their days: the least cloudy item of each day in each place's window.
+
+    items: item_id, datetime, cloud and the box (west, south, east, north). Raises if a
+    window leaves the globe.
+    """
+    windows = with_windows(places, size_m)
+    enforce(window_violations(windows))
+    found = items_in_windows(windows.select("place_id", "west", "south", "east", "north"), items)
+    return day_dedupe(found.drop("west", "south", "east", "north", *[f"i_{c}" for c in ("west", "south", "east", "north")]))
+
+
 def upper_median(values: Column) -> Column:
     """Element at position n // 2 of the sorted values, not the interpolated median."""
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
@@ -363,3 +409,23 @@ def temporal_corpus(
         "item_id", "source_item_id"
     ).withColumn("item_id", F.concat_ws("/", "place_id", F.date_format("acquisition_day", "yyyy-MM-dd")))
     return corpus, failures
+
+
+def corpus_report(observations: DataFrame, max_dates: int, corpus: DataFrame) -> DataFrame:
+    """What each place of a corpus had, was chosen and has written, with its query days.
+
+    ``corpus`` are the written records (place_id, acquisition_day, split): a plan's, or what
+    came of it. Places of which nothing was planned are among the plan's failures.
+    """
+    days = select_dates(place_days(observations), max_dates).filter(F.size("days") >= MINIMUM_DATES)
+    known = observations.filter(F.col("acquisition_day") != UNKNOWN_DAY)
+    available = known.groupBy("place_id").agg(F.count_distinct("acquisition_day").alias("available_days"))
+    written = corpus.groupBy("place_id").agg(
+        F.count_distinct("acquisition_day").alias("written"),
+        F.array_sort(F.collect_set(F.when(F.col("split") == "query", F.col("acquisition_day")))).alias("queries"),
+    )
+    day = lambda place: F.date_from_unix_date(F.element_at("days", place))
+    return days.join(available, "place_id").join(written, "place_id").select(
+        "place_id", "available_days", F.size("days").cast("bigint").alias("selected_days"), "written", "queries",
+        day(1).alias("first_day"), day(-1).alias("last_day"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orbitrank.operators import temporal
 from orbitrank.plans.bindings import SQL_ACQUISITIONS, SQL_PLACES, acquisitions, places, read, written, with_sql
 from orbitrank.plans.registry import Registry, rounded
+from orbitrank.session import scratch_path
 
 REGISTRY = Registry()
 QUERIES, ORACLES, register = REGISTRY.queries, REGISTRY.oracles, REGISTRY.add
@@ -266,3 +267,73 @@ def q_failures(spark, sf_dir):
         ~F.col("place_id").isin("nation_1", "nation_2") | (F.col("acquisition_day") == F.col("first"))
     ).drop("first")
     return temporal.temporal_corpus(cut, MAX_DATES, QUERY_DATES)[1]
+
+
+# ---- from a places file to days ---------------------------------------------
+
+
+def places_file(spark, sf_dir) -> str:
+    """The places as a configuration file, kept clear of the antimeridian."""
+    path = scratch_path(spark, "places-file")
+    listed = places(spark, sf_dir).select(
+        "place_id", F.least(F.greatest("longitude", F.lit(-179.0)), F.lit(179.0)).alias("longitude"), "latitude",
+        F.when(F.col("key") % 2 == 0, F.concat(F.lit("note "), F.col("key").cast("string"))).alias("note"),
+    )
+    # A configuration: one list, as long as there are places.
+    listed.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    return path
+
+
+SQL_FILED = SQL_PLACES + """,
+filed AS (SELECT place_id, least(greatest(longitude, -179.0), 179.0) AS longitude, latitude,
+  CASE WHEN key % 2 = 0 THEN 'note ' || key ELSE '' END AS note FROM places)"""
+
+
+@register("places_file", with_sql(SQL_FILED) + "SELECT place_id, longitude, latitude, note FROM filed")
+def q_places_file(spark, sf_dir):
+    return temporal.read_places(spark, places_file(spark, sf_dir))
+
+
+@register(
+    "place_pipeline",
+    with_sql(SQL_FILED) + """, w AS (SELECT place_id, 20000.0 / 2 / 111320.0 AS half, longitude AS x, latitude AS y FROM filed),
+i AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, DATE '2024-01-01' + CAST(c_custkey % 40 AS INTEGER) AS day,
+  CASE WHEN c_custkey % 17 <> 0 THEN CAST(c_custkey * 37 % 100 AS DOUBLE) END AS cloud,
+  CAST((c_custkey * 7919 % 3600) / 10.0 - 180.0 AS DOUBLE) AS x, CAST((c_custkey * 4729 % 1400) / 10.0 - 70.0 AS DOUBLE) AS y FROM customer),
+met AS (SELECT place_id, item_id, cloud, strftime(day, '%Y-%m-%d') AS day FROM w
+  JOIN i ON w.x - half / cos(radians(w.y)) <= i.x + 4 AND w.x + half / cos(radians(w.y)) >= i.x - 4 AND w.y - half <= i.y + 3 AND w.y + half >= i.y - 3),
+best AS (SELECT *, count(*) OVER (PARTITION BY place_id, day) AS n FROM met
+  QUALIFY row_number() OVER (PARTITION BY place_id, day ORDER BY coalesce(cloud, 1e300), item_id) = 1)
+SELECT f.place_id, note, CAST(coalesce(sum(n), 0) AS BIGINT) AS items_returned, count(day) AS distinct_days, count(day) >= 2 AS usable,
+  coalesce(string_agg(day || ':' || item_id || ':' || coalesce(CAST(CAST(cloud AS BIGINT) AS VARCHAR), '-'), ';' ORDER BY day), '') AS observations
+FROM filed f LEFT JOIN best USING (place_id) GROUP BY f.place_id, note""",
+)
+def q_place_pipeline(spark, sf_dir):
+    """From a places file over windows and catalogue items to each place's list of days."""
+    key = F.col("c_custkey")
+    dated = read(spark, sf_dir, "customer").select(
+        key.cast("string").alias("item_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (key % 40).cast("int")).cast("timestamp").alias("datetime"),
+        F.when(key % 17 != 0, (key * 37 % 100).cast("double")).alias("cloud"),
+    )
+    listed = temporal.read_places(spark, places_file(spark, sf_dir))
+    observed = temporal.observe_places(listed, item_boxes(spark, sf_dir).join(dated, "item_id"), 20_000.0)
+    told = F.transform("observations", lambda o: F.concat_ws(
+        ":", o["acquisition_day"], o["item_id"], F.coalesce(o["cloud"].cast("bigint").cast("string"), F.lit("-"))))
+    return temporal.survey_report(listed, observed).select(
+        "place_id", "note", "items_returned", "distinct_days", "usable", F.array_join(told, ";").alias("observations")
+    )
+
+
+@register(
+    "corpus_report",
+    with_sql(SQL_CHOSEN) + """, q AS (SELECT place_id, string_agg(strftime(day, '%Y-%m-%d'), ',' ORDER BY day) AS queries FROM roles WHERE split = 'query' GROUP BY 1)
+SELECT r.place_id, any_value(e.n) AS available_days, count(*) AS selected_days, count(*) AS written, any_value(q.queries) AS queries,
+  min(r.day) AS first_day, max(r.day) AS last_day FROM roles r JOIN extent e USING (place_id) JOIN q USING (place_id) GROUP BY r.place_id""",
+)
+def q_corpus_report(spark, sf_dir):
+    seen = observations(spark, sf_dir)
+    corpus, _ = temporal.temporal_corpus(seen, MAX_DATES, QUERY_DATES)
+    report = temporal.corpus_report(seen, MAX_DATES, corpus)
+    days = F.transform("queries", lambda day: F.date_format(day, "yyyy-MM-dd"))
+    return report.withColumn("queries", F.array_join(days, ","))

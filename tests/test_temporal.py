@@ -176,3 +176,40 @@ def test_boxes_of_all_sizes_meet_once(spark):
     assert tiles.agg({"count": "max"}).first()[0] <= 4
     none = items.limit(0)
     assert temporal.items_in_windows(windows, none).count() == temporal.items_in_windows(windows.limit(0), items).count() == 0
+
+
+def test_places_files_are_read_or_refused(spark, tmp_path):
+    import json
+
+    def read(name, value):
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+        return temporal.read_places(spark, str(tmp_path / name))
+
+    good = {"place_id": "a", "longitude": 1.5, "latitude": 2}
+    rows = read("good.json", [good, {**good, "place_id": "b", "note": "n", "more": 1}]).orderBy("place_id").collect()
+    assert [tuple(r) for r in rows] == [("a", 1.5, 2.0, ""), ("b", 1.5, 2.0, "n")]
+    for name, value, message in (
+        ("none.json", [], "no_places"), ("twice.json", [good, good], "duplicate_place_id: a"),
+        ("far.json", [{**good, "latitude": 86}], "latitude_out_of_range: a"),
+        ("bare.json", [{"place_id": "a"}], "out_of_range: a"), ("path.json", [{**good, "place_id": "../a"}], "unsafe_place_id"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            read(name, value)
+
+
+def test_survey_lists_days_in_order(spark):
+    places = spark.createDataFrame([("p", 1.0, 2.0, "n"), ("empty", 3.0, 4.0, "")], "place_id string, longitude double, latitude double, note string")
+    at = lambda day, hour=0: dt.datetime(2024, 6, day, hour)
+    box = (0.9, 1.9, 1.1, 2.1)
+    items = spark.createDataFrame(
+        [("b", at(2), 5.0, *box), ("a", at(2, 9), 1.0, *box), ("c", at(1), None, *box), ("d", None, 0.0, *box), ("far", at(3), 0.0, 9.0, 9.0, 9.5, 9.5)],
+        "item_id string, datetime timestamp, cloud double, west double, south double, east double, north double",
+    )
+    report = temporal.survey_report(places, temporal.observe_places(places, items, 1_000.0))
+    rows = {r["place_id"]: r for r in report.collect()}
+    assert [(o["acquisition_day"], o["item_id"]) for o in rows["p"]["observations"]] == [("2024-06-01", "c"), ("2024-06-02", "a"), ("unknown", "d")]
+    assert (rows["p"]["items_returned"], rows["p"]["usable"], rows["p"]["note"]) == (4, True, "n")
+    assert rows["empty"]["observations"] == [] and not rows["empty"]["usable"]
+    off = places.withColumn("longitude", F.lit(180.0))
+    with pytest.raises(ValueError, match="window_longitude_order"):
+        temporal.observe_places(off, items, 1_000.0)
