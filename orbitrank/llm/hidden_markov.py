@@ -21,6 +21,7 @@ the pieces' products of transitions, so that the counts are those of the whole t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,8 @@ HELD_TOKENS = 1 << 19
 RESCALE = 16
 #: Most frequent words whose counts are shipped to the tasks: two megabytes.
 SHIPPED_WORDS = 1 << 17
+#: Classes of counts to each doubling, from which the shipped words are chosen.
+COUNT_CLASSES = 16
 #: Distinct words that a task gathers before it sums them up.
 GATHERED_WORDS = 2_000_000
 SMOOTHING = 0.1
@@ -118,10 +121,12 @@ def log_likelihoods(model: States, symbols: np.ndarray, begins: np.ndarray, leng
 
 def expected_counts(
     model: States, segments: list[np.ndarray], firsts: np.ndarray,
-    carried: np.ndarray | None = None, afters: np.ndarray | None = None,
+    carried: np.ndarray | None = None, afters: np.ndarray | None = None, times: np.ndarray | None = None,
 ) -> np.ndarray:
     """Expected emissions, moves and starts of all segments, as ``States.of_counts`` takes them.
 
+    ``times`` has how often each segment counts, once without it.
+
     ``carried`` is the states' distribution at the token before a segment, from which a
     move is counted, and ``afters`` the backward value at its last token. Without them a
     segment that is not a text's first begins in the mean distribution, and none goes on.
@@ -130,6 +135,7 @@ def expected_counts(
     lengths = np.array([len(x) for x in segments])
     order, active = _by_length(lengths)
     firsts = firsts[order]
+    times = np.ones(len(order)) if times is None else times[order].astype(np.float64)
     # Step by step, one row a state: what one step needs lies together.
     starts = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
     begins = (np.cumsum(lengths) - lengths)[order]
@@ -162,9 +168,9 @@ def expected_counts(
         beta = model.move @ ahead
         if m:
             moves += alpha[:, :m] @ ahead.T
-        if m < active[step]:  # texts that end here: all their paths together weigh one
+        if m < active[step]:  # texts that end here: all their paths together weigh as often as they count
             own = last[:, m:active[step]]
-            beta = np.concatenate([beta, own / (alpha[:, m:] * own).sum(axis=0)], axis=1)
+            beta = np.concatenate([beta, own * (times[m:active[step]] / (alpha[:, m:] * own).sum(axis=0))], axis=1)
         np.multiply(alpha, beta, out=shares[:, starts[step]:starts[step + 1]])
         ahead = seen.pop()
         ahead *= beta
@@ -209,41 +215,53 @@ def _borders(model: States, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return carried, afters
 
 
-def text_counts(model: States, texts: list[np.ndarray]) -> np.ndarray:
+def text_counts(model: States, texts: list[np.ndarray], times: np.ndarray | None = None) -> np.ndarray:
     """``expected_counts`` of whole texts of any length, a bounded number of tokens at once."""
     states = len(model.start)
     total = np.zeros((CLASSES + 2 + states, states))
-    texts = sorted(texts, key=len)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    times = np.ones(len(texts)) if times is None else np.asarray(times, dtype=np.float64)
+    texts, times = [texts[i] for i in order], times[order]
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     parts = np.cumsum(lengths) // HELD_TOKENS
-    for part in np.unique(parts[lengths <= WHOLE]):
-        own = texts[np.searchsorted(parts, part):np.searchsorted(parts, part, side="right")]
-        own = [x for x in own if len(x) <= WHOLE]
-        total += expected_counts(model, own, np.ones(len(own), dtype=bool))
-    for text in texts[np.searchsorted(lengths, WHOLE, side="right"):]:
+    whole = int(np.searchsorted(lengths, WHOLE, side="right"))
+    for part in np.unique(parts[:whole]):
+        low, high = np.searchsorted(parts[:whole], part), np.searchsorted(parts[:whole], part, side="right")
+        own = texts[low:high]
+        total += expected_counts(model, own, np.ones(len(own), dtype=bool), times=times[low:high])
+    for text, count in zip(texts[whole:], times[whole:], strict=True):
         pieces = [text[at:at + SEGMENT] for at in range(0, len(text), SEGMENT)]
         carried, afters = _borders(model, pieces)
         firsts = np.arange(len(pieces)) == 0
         most = max(1, HELD_TOKENS // SEGMENT)
         for at in range(0, len(pieces), most):
             some = slice(at, at + most)
-            total += expected_counts(model, pieces[some], firsts[some], carried[some], afters[some])
+            total += count * expected_counts(model, pieces[some], firsts[some], carried[some], afters[some])
     return total
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """symbols (16-bit, binary) of every text, whole and with its end."""
+    """symbols (16-bit, binary) of every different text, whole and with its end, and its times.
+
+    Equal texts of a batch are one row before the shuffle, so copies never crowd a task.
+    """
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
+            made: Counter = Counter()
             for start, stop, _, before, tails in hashed_words(batch.column(0)):
                 classes = _classes(tails)
-                made = [
+                made.update(
                     np.append(classes[before[row]:before[row + 1]], np.uint16(CLASSES)).astype("<u2").tobytes()
                     for row in range(stop - start)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["symbols"])
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.int64())], names=["symbols", "times"]
+            )
 
-    return docs.select("text").mapInArrow(batches, "symbols binary")
+    # As many parts as the texts are read in: each round is a task for each of them.
+    parts = max(1, docs.select("text").rdd.getNumPartitions())
+    emitted = docs.select("text").mapInArrow(batches, "symbols binary, times bigint")
+    return emitted.repartition(parts, "symbols").groupBy("symbols").agg(F.sum("times").alias("times"))
 
 
 def _round(texts: DataFrame, model: States) -> States:
@@ -254,7 +272,8 @@ def _round(texts: DataFrame, model: States) -> States:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES + 2 + states, states))
         for batch in stream:
-            total += text_counts(model, [np.frombuffer(x, dtype="<u2") for x in batch.column(0).to_pylist()])
+            texts = [np.frombuffer(x, dtype="<u2") for x in batch.column(0).to_pylist()]
+            total += text_counts(model, texts, batch.column(1).to_numpy())
         whole = np.rint(total * _PARTS).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(whole), dtype=np.int32)), *[pa.array(whole[:, i]) for i in range(states)]],
@@ -262,7 +281,7 @@ def _round(texts: DataFrame, model: States) -> States:
         )
 
     schema = "place int, " + ", ".join(f"{c} bigint" for c in columns)
-    summed = texts.select("symbols").mapInArrow(batches, schema).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns])
+    summed = texts.select("symbols", "times").mapInArrow(batches, schema).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns])
     counts = np.zeros((CLASSES + 2 + states, states))
     for row in summed.collect():  # one row per symbol and state
         counts[row["place"]] = row[1:]
@@ -334,7 +353,15 @@ def _read_counts(vocabulary: DataFrame, n_texts: int) -> Corpus:
     totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for row in per_class:
         totals[row["class"]], kinds[row["class"]] = row["n"], row["v"]
-    top = vocabulary.orderBy(F.col("n").desc(), "word").limit(SHIPPED_WORDS).select("word", "n").toPandas()
+    # The counts above which there are no more words than may be shipped, from a histogram.
+    kind = F.floor(F.log2("n") * COUNT_CLASSES)
+    least, total = float("inf"), 0
+    for number, words in sorted(vocabulary.groupBy(kind).count().collect(), reverse=True):
+        total += words
+        if total > SHIPPED_WORDS:
+            break
+        least = float(number)
+    top = vocabulary.where(kind >= least).select("word", "n").toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     # The end of a text is a token with a count of its own.

@@ -122,3 +122,20 @@ def test_every_round_is_over_all_texts(spark, monkeypatch):
         assert abs(counts[:hm.CLASSES + 1].sum() - tokens) < 1
         assert abs(counts[hm.CLASSES + 1:-1].sum() - (tokens - 31)) < 1
         assert abs(counts[-1].sum() - 31) < 0.1
+
+
+def test_copies_count_as_often_as_they_occur(monkeypatch):
+    draw = np.random.default_rng(6)
+    texts = [np.append(draw.integers(0, hm.CLASSES, n), hm.CLASSES).astype("<u2") for n in (0, 1, 5, 40, 300, 700)]
+    times = np.array([3, 1, 2, 5, 2, 4])
+    model = hm.States.drawn(4)
+    monkeypatch.setattr(hm, "WHOLE", 200)
+    monkeypatch.setattr(hm, "SEGMENT", 64)
+    repeated = [x for x, n in zip(texts, times, strict=True) for _ in range(n)]
+    assert np.allclose(hm.text_counts(model, texts, times), hm.text_counts(model, repeated))
+
+
+def test_segments_are_different_texts(spark):
+    rows = [("a b",), ("a b",), ("A  b",), (None,), ("",), ("c",)] * 40
+    got = hm._segments(spark.createDataFrame(rows, "text string").repartition(5)).collect()
+    assert sorted(r["times"] for r in got) == [40, 80, 120]
