@@ -11,7 +11,8 @@ Windows are found block by block with integer sums, so a text has the same finge
 wherever it stands and however long it is. Defined results: null text is empty; an empty
 text has an empty fingerprint, which is like another empty one (1) and unlike all
 others (0); a text under 32 bytes is one feature, padded; windows of very low entropy
-are no features, so a text of one repeated letter has an empty fingerprint too. Of rows
+are no features, so a text that has no others, as of one repeated letter, is one feature
+as a whole, by its digest, and only like itself. Of rows
 with one id the one with the lower text hash comes first; rows without an id come last.
 Other columns are left out.
 """
@@ -189,6 +190,9 @@ def fingerprints(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
         if 0 < lengths[text] < WINDOW:
             padded = np.frombuffer(texts[text].ljust(WINDOW, b"\0"), dtype=np.uint8)
             own = _feature_hashes(padded[None, :])
+        elif lengths[text] and not len(own):  # nothing but windows of low entropy
+            digest = np.frombuffer(hashlib.sha256(texts[text]).digest(), dtype=np.uint8)
+            own = _feature_hashes(digest[None, :])
         out.append(_filters(own))
     return out
 
