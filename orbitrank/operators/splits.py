@@ -15,6 +15,8 @@ from orbitrank.session import cut_lineage
 
 # The planner limits a ranking window before its shuffle only up to this rank.
 MAP_SIDE_LIMIT = 1_000
+# Labels whose last query hashes are shipped to the tasks; of more, they are joined by label.
+SHIPPED_LABELS = 100_000
 
 
 def query_quota(size: Column, fraction: float) -> Column:
@@ -55,7 +57,10 @@ def hash_split(
     inside = null_safe_join(hashed(keys), ends, ["__label", "__prefix"]).distinct()
     nth = F.row_number().over(over_label.orderBy("__order"))
     last = inside.withColumn("__nth", nth).filter(F.col("__nth") == F.col("__need"))
-    last = last.select(F.col("__label").alias(label), F.col("__order").alias("__last"))
+    last = cut_lineage(last.select(F.col("__label").alias(label), F.col("__order").alias("__last")))
+    # A row for each label: counted, and shipped so that the rows themselves stay where they are.
+    if last.count() <= SHIPPED_LABELS:
+        last = F.broadcast(last)
     query = F.coalesce(hashed_order(seed, F.col(key)) <= F.col("__last"), F.lit(False))
     return (
         null_safe_join(df, last, [label], "left")

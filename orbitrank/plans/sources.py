@@ -489,7 +489,7 @@ items AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS item_id, o_orderk
 
 @register(
     "stac_search",
-    with_sql(SQL_ITEMS) + """SELECT item_id, datetime, CAST(cloud AS VARCHAR) AS cloud FROM items WHERE collection = 'c1' AND datetime BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'
+    with_sql(SQL_ITEMS) + """SELECT item_id, datetime, CAST(cloud AS VARCHAR) AS cloud FROM items WHERE collection = 'c1' AND CAST(datetime AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
   AND w <= 60 AND w + 5 >= -40 AND s <= 50 AND s + 5 >= -30 AND cloud < 30""",
 )
 def q_search(spark, sf_dir):

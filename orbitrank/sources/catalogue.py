@@ -85,15 +85,20 @@ def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def search(items: DataFrame, query: Search) -> DataFrame:
     """Items meeting bounds, dates and cloud; with a limit the first by (datetime, id).
 
-    A missing cloud share never passes a cloud ceiling. Every condition is a plain
-    column comparison, so those on flat columns reach the scan.
+    A missing cloud share never passes a cloud ceiling. An end that is a day takes in the
+    whole day. Every condition is a plain column comparison, so those on flat columns reach
+    the scan.
     """
+    end = F.lit(query.end).cast("timestamp")
+    in_time = F.col("datetime") >= F.lit(query.start).cast("timestamp")
+    if len(query.end) == len("2000-01-01"):
+        in_time &= F.col("datetime") < end + F.expr("INTERVAL 1 DAY")
+    else:
+        in_time &= F.col("datetime") <= end
     west, south, east, north = (F.col("bbox")[i] for i in range(4))
     found = items.filter(
         (F.col("collection") == query.collection)
-        & F.col("datetime").between(
-            F.lit(query.start).cast("timestamp"), F.lit(query.end).cast("timestamp")
-        )
+        & in_time
         & (west <= query.east) & (east >= query.west)
         & (south <= query.north) & (north >= query.south)
     )

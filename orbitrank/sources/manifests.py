@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from orbitrank.functions.hashing import content_sha256
 from orbitrank.operators.checks import Rule, enforce, manifest_violations, violations
 from orbitrank.operators.splits import hash_split
+from orbitrank.session import cut_lineage
 from orbitrank.sources.lines import numbered_lines
 
 # File suffixes taken as images.
@@ -58,8 +59,9 @@ def build_manifest(
     """Scan to manifest: copies share a split, and must share a label.
 
     ``strict`` raises on the first violation; otherwise check ``manifest_violations``.
+    Contents are read and hashed once, into a narrow table that all that follows reads.
     """
-    entries = image_entries(files, root)
+    entries = cut_lineage(image_entries(files, root))
     split = hash_split(entries, "sha256", fraction=fraction, seed=seed)
     manifest = split.select(
         "item_id", F.col("item_id").alias("path"), "split", "label",

@@ -216,6 +216,11 @@ def test_catalogue_refuses_addresses(spark, tmp_path):
     assert catalogue.search(items, wanted).count() == 0  # strict ceiling
     wanted = catalogue.Search("s2", 0, 0, 2, 3, "2023-01-01", "2025-01-01", 5, 6.0)
     assert catalogue.search(items, wanted).count() == 1
+    times = [dt.datetime(2024, 5, 3, h) for h in (0, 10, 23)] + [dt.datetime(2024, 5, 4), dt.datetime(2024, 5, 2, 23)]
+    many = spark.createDataFrame([(*row[:2], f"i{i}", row[3], t, *row[5:]) for i, t in enumerate(times)], catalogue.ITEM_SCHEMA)
+    for end, found in (("2024-05-03", 3), ("2024-05-03 10:00:00", 2), ("2024-05-04", 4)):
+        dated = catalogue.Search("s2", 0, 0, 2, 3, "2024-05-03", end, 5)
+        assert catalogue.search(many, dated).count() == found
     with pytest.raises(ValueError):
         catalogue.Search("s2", 5, 0, 2, 3, "a", "b")
 
