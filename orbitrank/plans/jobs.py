@@ -237,9 +237,8 @@ def q_expand(spark, sf_dir):
     return grown.select("position", F.round(norm, 6).alias("norm"), F.round(F.element_at("embedding", 1), 6).alias("first"))
 
 
-@register("exact_topk_expanded")
-def q_topk_expanded(spark, sf_dir):
-    """Exact search at twenty-five times the corpus, every fifth vector a query."""
+def expanded_sides(spark, sf_dir):
+    """Queries and index of the store at twenty-five times its size, every fifth vector a query."""
     def build():
         rows = store(spark, sf_dir)
         n = rows.count()
@@ -249,7 +248,13 @@ def q_topk_expanded(spark, sf_dir):
     queries = grown.filter("position % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     index = grown.filter("position % 5 <> 0").select(
         "item_id", "position", F.lit(None).cast("string").alias("item_label"), F.col("embedding").alias("vector"))
-    hits = exact_topk(queries, index, K)
+    return queries, index
+
+
+@register("exact_topk_expanded")
+def q_topk_expanded(spark, sf_dir):
+    """Exact search over the expanded corpus."""
+    hits = exact_topk(*expanded_sides(spark, sf_dir), K)
     return rounded(hits.select("query_id", F.col("rank").cast("int").alias("rank"), "item_id", "score"))
 
 
