@@ -104,3 +104,33 @@ def test_expansion_keeps_base_and_ignores_partitioning(spark):
     assert (near > 0.99).all() and (near < 1).all()
     with pytest.raises(ValueError):
         expand_corpus(base, 10, 5, 6, 42, 0.01)
+
+
+def test_scoring_holds_slices_however_large_its_blocks_are():
+    """A first block of unrelated vectors and one of ties: neither is held as a whole table of scores."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(16_384, 8))
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    ids = np.array([str(i) for i in range(len(unit))], dtype=object)
+    running = topk._Running(list(ids[:1_024]), unit[:1_024], 10)
+    tracemalloc.start()
+    running.offer(unit, np.arange(len(unit)), ids, ids, exclude_self=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # 16,384 x 1,024 scores, held twice to find their k-th best, had over 200 MB
+
+
+def test_grid_writes_each_vector_once(spark):
+    """Blocks meet where they were written: what is shuffled before they meet is not repeated."""
+    rng = np.random.default_rng(4)
+    rows = [(str(i), rng.normal(size=4).tolist()) for i in range(200)]
+    queries = spark.createDataFrame(rows, "query_id string, vector array<double>")
+    index = queries.selectExpr("query_id AS item_id", "CAST(query_id AS BIGINT) AS position", "'x' AS item_label", "vector")
+    found = topk.grid_topk(queries, index, 200, 200, 3, chunk_rows=16, part_rows=64)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join Cross" in plan and "Generate" not in plan
+    whole = topk.shipped_topk(queries, index, 3)
+    key = lambda r: (r["query_id"], r["rank"])
+    assert [r["item_id"] for r in sorted(found.collect(), key=key)] == [r["item_id"] for r in sorted(whole.collect(), key=key)]
