@@ -31,10 +31,11 @@ def all_hits(spark, sf_dir) -> DataFrame:
     )
 
 
-def all_scored(spark, sf_dir) -> DataFrame:
+def all_scored(spark, sf_dir, hits: DataFrame | None = None) -> DataFrame:
+    """Scores of every query in each store; ``hits`` may hand in what ``all_hits`` ranked."""
     return written(
         spark, "scored",
-        lambda: metrics.score_queries(all_hits(spark, sf_dir), ["store", "query_id"]),
+        lambda: metrics.score_queries(all_hits(spark, sf_dir) if hits is None else hits, ["store", "query_id"]),
     )
 
 
@@ -166,17 +167,15 @@ SELECT store, quartile, {means}, round(min(distance), 3) AS minimum_m, round(max
 FROM q JOIN edges USING (store) GROUP BY store, quartile"""
 
 
-def _quartiles(spark, sf_dir, attribute):
-    found = slices.distance_quartiles(
-        all_scored(spark, sf_dir), query_places(spark, sf_dir), attribute
-    )
+def _quartiles(scored, places, attribute):
+    found = slices.distance_quartiles(scored, places, attribute)
     metres = ("minimum_m", "maximum_m", "edge_low_m", "edge_high_m")
     return rounded(found).withColumns({c: F.round(c, 3) for c in metres})
 
 
 @register("distance_quartiles", _GEO + _QUARTILE_SQL.format(a="nearest_index_m", means=_MEANS))
 def q_quartiles(spark, sf_dir):
-    return _quartiles(spark, sf_dir, "nearest_index_m")
+    return _quartiles(all_scored(spark, sf_dir), query_places(spark, sf_dir), "nearest_index_m")
 
 
 @register(
@@ -184,7 +183,7 @@ def q_quartiles(spark, sf_dir):
     _GEO + _QUARTILE_SQL.format(a="nearest_same_label_index_m", means=_MEANS),
 )
 def q_quartiles_same(spark, sf_dir):
-    return _quartiles(spark, sf_dir, "nearest_same_label_index_m")
+    return _quartiles(all_scored(spark, sf_dir), query_places(spark, sf_dir), "nearest_same_label_index_m")
 
 
 @register(
@@ -310,7 +309,8 @@ SQL_ANALYZE = " UNION ALL ".join([
 @register("analyze", SQL_ANALYZE)
 def q_analyze(spark, sf_dir):
     """Every slice of the analysis as one tidy table over one ranked hits table."""
-    hits, scored = all_hits(spark, sf_dir), all_scored(spark, sf_dir)
+    hits = all_hits(spark, sf_dir)
+    scored = all_scored(spark, sf_dir, hits)
     places = query_places(spark, sf_dir)
     sections = [
         tidy(metrics.mean_metrics(scored, ["store"]), "aggregate", []),
@@ -321,7 +321,7 @@ def q_analyze(spark, sf_dir):
         tidy(slices.confusion(hits), "retrieved_when_wrong", ["label", "retrieved"]),
         tidy(slices.hard_share(scored, NAMES), "universally_hard", []),
         *[
-            tidy(_quartiles(spark, sf_dir, a), a, ["quartile"])
+            tidy(_quartiles(scored, places, a), a, ["quartile"])
             for a in ("nearest_index_m", "nearest_same_label_index_m")
         ],
     ]
