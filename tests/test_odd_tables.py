@@ -44,3 +44,34 @@ def test_stream_topk_reads_a_table_in_a_folder_of_files(spark, tmp_path):
     assert compare(found, oracle_sql()["stream_topk"], con) is None
 
 
+@pytest.mark.parametrize("name", ["analyze", "report_json"])
+def test_the_analysis_ranks_each_store_once(spark, sf_dir, monkeypatch, name):
+    """Ranking is what an analysis costs: scores, slices and quartiles read one hits table."""
+    from orbitrank.plans import slices
+
+    ranked, placed = [], []
+    ranking, geography = slices.metrics.ranked_hits, slices.slices.query_geography
+    monkeypatch.setattr(slices.metrics, "ranked_hits", lambda *a: ranked.append(a) or ranking(*a))
+    monkeypatch.setattr(slices.slices, "query_geography", lambda *a: placed.append(a) or geography(*a))
+    queries()[name](spark, sf_dir)
+    assert (len(ranked), len(placed)) == (3, 1)
+
+
+def test_streamed_tables_are_cut_into_splits_not_into_one_file_a_batch(spark, tmp_path):
+    """Four tasks that write a batch each would each read a quarter of the table, however large."""
+    from orbitrank.plans import jobs
+
+    table = spark.range(400).repartition(9)
+    table.write.parquet(str(tmp_path / "things.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
+    try:
+        stream = jobs._in_files(spark, str(tmp_path), "things", "id").select("id", F.input_file_name().alias("file"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    path = jobs._run(spark, "things", lambda p, c: jobs.jobs.start_batches(stream, p, c))
+    rows = spark.read.parquet(path)
+    batches = rows.groupBy("batch_id").count().collect()
+    assert sum(r["count"] for r in batches) == 400 and len(batches) == jobs.FILES
+    # A batch is many files: its rows come from one for each split.
+    assert rows.select("batch_id", "file").distinct().count() > jobs.FILES * 4
