@@ -222,8 +222,9 @@ def band_geometry_violations(observed: DataFrame, footprints: DataFrame) -> Data
 
     ``observed`` has (patch_id, band, gsd, bounds, transform, epsg, height, width, dtype).
     """
+    # Footprints are one to a patch: they are hashed, so the headers, one to a band, need no sort.
     joined = observed.join(
-        footprints.select("patch_id", "left", "bottom", "right", "top", F.col("epsg").alias("__epsg")),
+        footprints.select("patch_id", "left", "bottom", "right", "top", F.col("epsg").alias("__epsg")).hint("shuffle_hash"),
         "patch_id", "left",
     )
     shape = (F.lit(1200) / F.col("gsd")).cast("int")

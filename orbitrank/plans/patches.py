@@ -8,7 +8,7 @@ from orbitrank.functions import geo
 from orbitrank.operators import checks, claims, metadata, selection
 from orbitrank.operators.frames import stack
 from orbitrank.plans.bindings import (
-    SQL_FOOTPRINTS, SQL_PATCHES, SQL_RAW_PATCHES, footprints, patches, raw_patches, written,
+    SQL_FOOTPRINTS, SQL_PATCHES, SQL_RAW_PATCHES, footprints, patch_keys, patches, raw_patches, written,
     sql_haversine, sql_utm, with_sql,
 )
 from orbitrank.plans.registry import Registry, rounded
@@ -496,7 +496,7 @@ _BANDS = ", ".join(f"('{b}', {g})" for b, g in BAND_GSD.items())
 
 def band_headers(spark, sf_dir):
     """Observed raster headers, a few of them off."""
-    squares = footprints(patches(spark, sf_dir)).join(patches(spark, sf_dir).select("patch_id", "key"), "patch_id")
+    squares = footprints(patch_keys(spark, sf_dir), "key")
     bands = F.explode(F.create_map(*[x for b, g in BAND_GSD.items() for x in (F.lit(b), F.lit(g))])).alias("band", "gsd")
     rows = squares.select("*", bands)
     off = (F.col("key") % 67 == 0) & (F.col("band") == "B02")
@@ -522,7 +522,7 @@ UNION ALL SELECT 'shape_differs', patch_id || '/' || band FROM b WHERE key % 73
 UNION ALL SELECT 'dtype_differs', patch_id || '/' || band FROM b WHERE key % 79 = 0 AND band = 'B12'""",
 )
 def q_band_geometry(spark, sf_dir):
-    return checks.band_geometry_violations(band_headers(spark, sf_dir), footprints(patches(spark, sf_dir)))
+    return checks.band_geometry_violations(band_headers(spark, sf_dir), footprints(patch_keys(spark, sf_dir)))
 
 
 @register(

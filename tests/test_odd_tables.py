@@ -75,3 +75,9 @@ def test_streamed_tables_are_cut_into_splits_not_into_one_file_a_batch(spark, tm
     assert sum(r["count"] for r in batches) == 400 and len(batches) == jobs.FILES
     # A batch is many files: its rows come from one for each split.
     assert rows.select("batch_id", "file").distinct().count() > jobs.FILES * 4
+
+
+def test_band_geometry_sorts_no_headers(spark, sf_dir):
+    """Twelve headers a patch meet one footprint: the footprints are hashed, the headers stream."""
+    plan = queries()["band_geometry"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
