@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,10 @@ _COSINE_SLACK = 4e-15
 _FIRST_LEVEL = 2
 _LAST_LEVEL = 20
 _LEAF_POINTS = 32
+# Left rows and right points of a list, and pairs of two lists that are measured with others' pairs.
+_PART_ROWS, _BLOCK_POINTS, _PAIRS_OF_FEW = 256, 512, 4_096
+# Leaf cubes of the left side are shipped to the tasks only up to this count.
+SHIPPED_CUBES = 100_000
 
 
 def _unit(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
@@ -146,26 +150,39 @@ def _leaf_level(right: DataFrame, n_right: int) -> int:
     return level
 
 
+def _coarser(cubes: DataFrame, halvings: int, side: str) -> DataFrame:
+    """The cubes that hold the given ones, so many levels up."""
+    axes = [f"{side}{c}" for c in ("ix", "iy", "iz")]
+    return cubes.select("group", *[F.shiftright(c, halvings).alias(c) for c in axes]).distinct()
+
+
 def _descend(
     left: DataFrame, right: DataFrame, n_right: int, within_chord: float | None
 ) -> DataFrame:
-    left, right = _on_sphere(left), _on_sphere(right)
+    """left_id, nearest_m of every left row; NULL without a group, coordinates or a neighbour.
+
+    Points are dealt to their leaf cubes once; every coarser level comes from those.
+    """
+    right = cut_lineage(_on_sphere(right.where(_located())))
     leaf = _leaf_level(right, n_right)
+    left = _on_sphere(left)
+    l_cubes = cut_lineage(_cubes(left.where(_located()), leaf, "l"))
+    r_cubes = cut_lineage(_cubes(right, leaf, "r"))
     level = _FIRST_LEVEL
     # Sixty-four coarse cubes cover the sphere: each left cube names them all and
     # keeps those that hold reference points, an equi-join of a bounded table.
     across = F.sequence(F.lit(0).cast("long"), F.lit(2**level - 1).cast("long"))
-    named = _cubes(left, level, "l")
+    named = _coarser(l_cubes, leaf - level, "l")
     for axis in ("rix", "riy", "riz"):
         named = named.withColumn(axis, F.explode(across))
     pairs = _prune(
-        named.join(_cubes(right, level, "r"), ["group", "rix", "riy", "riz"]), level, within_chord
+        named.join(_coarser(r_cubes, leaf - level, "r"), ["group", "rix", "riy", "riz"]), level, within_chord
     )
     while level < leaf:
         level += 1
-        for side, points in (("l", left), ("r", right)):
+        for side, cubes in (("l", l_cubes), ("r", r_cubes)):
             axes = [f"{side}{c}" for c in ("ix", "iy", "iz")]
-            children = _cubes(points, level, side).select(
+            children = _coarser(cubes, leaf - level, side).select(
                 "group",
                 *axes,
                 *[F.shiftright(c, 1).alias(f"__{c}") for c in axes],
@@ -177,92 +194,114 @@ def _descend(
         pairs = _prune(pairs, level, within_chord)
         if level % 3 == 0:
             pairs = cut_lineage(pairs)
-    return _in_leaves(left, right, pairs, leaf)
+    shift = _LAST_LEVEL - leaf
+    return _in_leaves(_in_parts(left, l_cubes, shift), _candidates(right, r_cubes, pairs, shift))
+
+
+def _located() -> Column:
+    """Rows that can have, or be, a neighbour at all."""
+    placed = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("longitude", "latitude")]
+    return F.col("group").isNotNull() & placed[0] & placed[1]
+
+
+def _in_parts(left: DataFrame, l_cubes: DataFrame, shift: int) -> DataFrame:
+    """Left rows as lists of about ``_PART_ROWS``, each of one leaf cube."""
+    names = ["group", "lix", "liy", "liz"]
+    parts = l_cubes.select(*names, F.ceil(F.col("ln") / _PART_ROWS).alias("parts"))
+    if l_cubes.count() <= SHIPPED_CUBES:
+        parts = F.broadcast(parts)
+    cube = [F.when(_located(), F.shiftright(c, shift)).alias(f"l{c}") for c in ("ix", "iy", "iz")]
+    rows = left.select("left_id", "longitude", "latitude", "group", *cube).join(parts, names, "left")
+    # Rows that lie nowhere are dealt out too.
+    part = F.pmod(F.xxhash64("left_id", "longitude", "latitude"), F.coalesce("parts", F.lit(4_096)))
+    lists = rows.groupBy(*names, part.alias("part")).agg(
+        F.collect_list(F.struct("left_id", "longitude", "latitude")).alias("rows")
+    )
+    # Written, so that a list has one order however often it is met.
+    return cut_lineage(lists.select(
+        *names, "part", F.col("rows.left_id").alias("ids"), F.col("rows.longitude").alias("lon"),
+        F.col("rows.latitude").alias("lat"),
+    ))
 
 
-def _in_lists(rows: DataFrame, carried: str = "") -> DataFrame:
-    """left_id, metres to the nearest point of the row's list (NULL without one), and what is carried.
+def _candidates(right: DataFrame, r_cubes: DataFrame, pairs: DataFrame, shift: int) -> DataFrame:
+    """The right points that each left leaf cube has to meet, in lists of about ``_BLOCK_POINTS``."""
+    names, axes = ["group", "lix", "liy", "liz"], ("ix", "iy", "iz")
+    cube = ["group", *[f"r{c}" for c in axes]]
+    points = right.groupBy("group", *[F.shiftright(c, shift).alias(f"r{c}") for c in axes]).agg(
+        F.collect_list(F.struct("longitude", "latitude")).alias("points")
+    )
+    before = Window.partitionBy(*names).orderBy(*cube[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = pairs.join(r_cubes, cube).withColumn(
+        "block", F.floor(F.coalesce(F.sum("rn").over(before), F.lit(0)) / _BLOCK_POINTS)
+    )
+    blocks = numbered.join(points, cube).groupBy(*names, "block").agg(
+        F.flatten(F.collect_list("points")).alias("points")
+    )
+    return blocks.select(*names, F.col("points.longitude").alias("lons"), F.col("points.latitude").alias("lats"))
+
 
-    rows: left_id, longitude, latitude, lons, lats and the carried columns.
+def _in_leaves(parts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The last step of the descent: each list of left rows against the lists of its cube's candidates.
+
+    Both lists are bounded. A left row crosses shuffles inside its list, and its list is
+    repeated only where a cube's candidates fill several lists.
     """
-    names = ["left_id", "metres", *[part.split()[0] for part in carried.split(", ") if part]]
+    names = ["group", "lix", "liy", "liz"]
+    key = "group string, lix bigint, liy bigint, liz bigint, part bigint, ids array<string>"
+    met = parts.join(blocks, names, "left").select(*names, "part", "ids", "lon", "lat", "lons", "lats")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lon, lat = (np.radians(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
-            many = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
-            out = np.full(len(batch), np.nan)
-            for low, high in _runs(many):
-                part = batch.slice(low, high - low)
-                other_lon, other_lat = (
-                    np.radians(pc.list_flatten(part.column(i)).to_numpy(zero_copy_only=False)) for i in (3, 4)
-                )
-                at = np.repeat(np.arange(low, high), many[low:high])
-                h = np.sin((other_lat - lat[at]) / 2) ** 2 + (
-                    np.cos(lat[at]) * np.cos(other_lat) * np.sin((other_lon - lon[at]) / 2) ** 2
-                )
-                if len(at):
-                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    closest = np.minimum.reduceat(h, starts)
-                    out[at[starts]] = 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(closest, 0, 1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.float64(), mask=np.isnan(out)), *batch.columns[5:]], names=names
-            )
-
-    return rows.mapInArrow(measure, ", ".join(x for x in ("left_id string, metres double", carried) if x))
-
-
-def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Rows whose lists have at most ``_PAIRS_PER_BLOCK`` points together, or one row."""
-    total, low = np.cumsum(sizes), 0
-    while low < len(sizes):
-        before = total[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(total, before + _PAIRS_PER_BLOCK, side="right")))
-        yield low, high
-        low = high
+            many = pc.list_value_length(batch.column(6)).to_numpy(zero_copy_only=False)
+            metres = np.concatenate([np.zeros(0), *_lists_nearest(*[batch.column(i) for i in range(6, 10)])])
+            offsets = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(metres, pa.float64(), mask=np.isnan(metres)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], lists], names=[*names, "part", "ids", "metres"])
+
+    measured = met.mapInArrow(measure, f"{key}, metres array<double>").groupBy(*names, "part").agg(
+        F.first("ids").alias("ids"), F.collect_list("metres").alias("all")
+    )
+    least = F.aggregate(
+        F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)),
+        lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y)),
+    )
+    return measured.select(F.explode(F.arrays_zip("ids", least.alias("metres"))).alias("row")).select(
+        F.col("row.ids").alias("left_id"), F.col("row.metres").alias("nearest_m")
+    )
 
 
-def _in_leaves(left: DataFrame, right: DataFrame, pairs: DataFrame, leaf: int) -> DataFrame:
-    """The last step of the descent: points against the lists of their leaf cubes.
+def _lists_nearest(lon: pa.Array, lat: pa.Array, lons: pa.Array, lats: pa.Array) -> Iterator[np.ndarray]:
+    """Metres from each point of each row's first lists to the nearest of its second ones (NaN without any).
 
-    A leaf cube of the right side is one row with the lists of its points. A left point
-    first meets its own cube; what it finds there bounds which of the other cubes, by the
-    gap between point and box, it has to meet at all. So a left point crosses a shuffle
-    once, and once more for each cube that can still hold something nearer.
+    Rows of many pairs are measured one at a time, rows of few together.
     """
-    shift = _LAST_LEVEL - leaf
-    cube = ("ix", "iy", "iz")
-    lists = right.groupBy("group", *[F.shiftright(c, shift).alias(f"r{c}") for c in cube]).agg(
-        F.collect_list(F.struct("longitude", "latitude")).alias("points")
-    ).select("group", *[f"r{c}" for c in cube], F.col("points.longitude").alias("lons"), F.col("points.latitude").alias("lats"))
-    lists = cut_lineage(lists)
-    lefts = left.select(
-        "left_id", "longitude", "latitude", "group", *[F.shiftright(c, shift).alias(f"l{c}") for c in cube]
-    )
-    home = lists.withColumnsRenamed({f"r{c}": f"l{c}" for c in cube})
-    carried = "longitude double, latitude double, group string, lix bigint, liy bigint, liz bigint"
-    names = ["group", *[f"l{c}" for c in cube]]
-    own = cut_lineage(_in_lists(
-        lefts.join(home, names, "left").select(
-            "left_id", "longitude", "latitude", "lons", "lats", F.col("longitude").alias("lon"),
-            F.col("latitude").alias("lat"), *names,
-        ),
-        carried,
-    ))
-    lon, lat = F.radians("longitude"), F.radians("latitude")
-    axes = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
-    gap, side = F.lit(0.0), 2.0 / 2**leaf
-    for c, axis in axes.items():
-        low = F.col(f"ri{c}") * side - 1
-        gap = gap + F.pow(F.greatest(low - axis, F.lit(0.0), axis - (low + side)), 2)
-    chord = 2 * F.sin(F.col("metres") / (2 * EARTH_RADIUS_M))
-    near = F.col("metres").isNull() | (F.sqrt(gap) <= chord * (1 + 1e-9) + 1e-12)
-    elsewhere = ~((F.col("lix") == F.col("rix")) & (F.col("liy") == F.col("riy")) & (F.col("liz") == F.col("riz")))
-    others = own.join(pairs.where(elsewhere), names).where(near).join(lists, ["group", *[f"r{c}" for c in cube]])
-    found = _in_lists(others.select("left_id", "longitude", "latitude", "lons", "lats"))
-    return own.select("left_id", "metres").unionByName(found).groupBy("left_id").agg(
-        F.min("metres").alias("nearest_m")
-    )
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (lon, lons)]
+    flat = [pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in (lon, lat, lons, lats)]
+    begins = [np.append(0, np.cumsum(n)) for n in sizes]
+    pairs, row = sizes[0] * sizes[1], 0
+    few = np.append(0, np.cumsum(np.where(pairs > _PAIRS_OF_FEW, _PAIRS_PER_BLOCK, pairs)))
+    while row < len(pairs):
+        here = slice(begins[0][row], begins[0][row + 1])
+        if pairs[row] > _PAIRS_OF_FEW:
+            there = slice(begins[1][row], begins[1][row + 1])
+            yield _block_nearest(flat[0][here], flat[1][here], np.column_stack([x[there] for x in flat[2:]]))
+            row += 1
+            continue
+        last = max(row + 1, int(np.searchsorted(few, few[row] + _PAIRS_PER_BLOCK)) - 1)
+        # The pairs of each left point lie together: its row's right points, one after another.
+        n, other = sizes[0][row:last], sizes[1][row:last]
+        each = np.repeat(other, n)
+        at = np.repeat(np.arange(begins[0][row], begins[0][last]), each)
+        begun = np.cumsum(each) - each
+        to = np.arange(len(at)) - np.repeat(begun - np.repeat(begins[1][row:last], n), each)
+        a, b, c, d = (np.radians(flat[i][j]) for i, j in ((0, at), (1, at), (2, to), (3, to)))
+        h = np.sin((d - b) / 2) ** 2 + np.cos(b) * np.cos(d) * np.sin((c - a) / 2) ** 2
+        out = np.full(len(each), np.nan)
+        if len(at):
+            out[each > 0] = np.minimum.reduceat(h, begun[each > 0])
+        yield 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.clip(out, 0, 1)))
+        row = last
 
 
 def nearest_distance(
@@ -290,18 +329,10 @@ def nearest_distance(
             found = found.withColumn("nearest_m", near)
         return found
     chord = None if within_m is None else 2 * math.sin(min(within_m / EARTH_RADIUS_M, math.pi) / 2)
-    spots = lefts.select("group", "longitude", "latitude").distinct().filter(
-        F.col("group").isNotNull()
-    )
-    spots = spots.withColumn("left_id", F.concat_ws("|", "group", "longitude", "latitude"))
-    found = _descend(spots, points, n_points, chord)
+    found = _descend(lefts, points, n_points, chord)
     if within_m is not None:
-        found = found.filter(F.col("nearest_m") <= within_m)
-    return (
-        lefts.withColumn("__spot", F.concat_ws("|", "group", "longitude", "latitude"))
-        .join(found.withColumnRenamed("left_id", "__spot"), "__spot", "left")
-        .select("left_id", "nearest_m")
-    )
+        found = found.withColumn("nearest_m", F.when(F.col("nearest_m") <= within_m, F.col("nearest_m")))
+    return found
 
 
 def guard_band(

@@ -72,6 +72,32 @@ def test_no_cartesian_plan(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_a_descent_deals_each_side_to_its_cubes_once(spark, monkeypatch):
+    """Every coarser level comes from the leaf cubes: no level reads the points again."""
+    dealt, cubes = [], nearest._cubes
+    monkeypatch.setattr(nearest, "_cubes", lambda points, level, side: dealt.append(side) or cubes(points, level, side))
+    rng = np.random.default_rng(10)
+    nearest.nearest_distance(frame(spark, world(rng, 300), "l"), frame(spark, world(rng, 300), "r"), shipped_points=0).collect()
+    assert dealt.count("l") == 1
+
+
+def test_a_descent_by_short_lists_keeps_every_left_row(spark, monkeypatch):
+    """Hot cubes fill several lists on both sides; rows that lie nowhere have no distance, copies have one each."""
+    monkeypatch.setattr(nearest, "_PART_ROWS", 5)
+    monkeypatch.setattr(nearest, "_BLOCK_POINTS", 7)
+    monkeypatch.setattr(nearest, "_PAIRS_OF_FEW", 20)
+    rng = np.random.default_rng(11)
+    left, right = world(rng, 40, hot=120), world(rng, 30, hot=90)
+    left += [left[0]] * 20 + [(math.nan, 1.0, "a")]
+    nowhere = spark.createDataFrame([("none", None, 1.0, "a")], "left_id string, longitude double, latitude double, label string")
+    found = nearest.nearest_distance(frame(spark, left, "l").unionByName(nowhere), frame(spark, right, "r"), shipped_points=0).collect()
+    got, ref = {r[0]: r[1] for r in found}, np.array([(x, y) for x, y, _ in right])
+    assert len(found) == len(got) == len(left) + 1
+    assert got.pop("none") is None and got.pop(f"l{len(left) - 1}") is None
+    for i, (x, y, _) in enumerate(left[:-1]):
+        assert got[f"l{i}"] == pytest.approx(haversine(x, y, ref[:, 0], ref[:, 1]).min(), abs=1e-6)
+
+
 def utm_forward(lon, lat, zone):
     """Snyder's published series, independent of the inverse under test."""
     a, f, k0 = geo.WGS84_A, geo.WGS84_F, geo.UTM_SCALE
