@@ -132,10 +132,10 @@ def archive_member_violations(manifest: DataFrame, source: str) -> DataFrame:
 
 
 def sample_per_group(manifest: DataFrame, n: int = 2) -> DataFrame:
-    """The first ``n`` items of every (label, split) by id; limited map-side."""
+    """The first ``n`` items of every (label, split) by id, items without one last; limited map-side."""
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("label", "split").orderBy("item_id")
+    order = Window.partitionBy("label", "split").orderBy(F.col("item_id").asc_nulls_last())
     return manifest.withColumn("__nth", F.row_number().over(order)).filter(
         F.col("__nth") <= n
     ).drop("__nth")

@@ -48,7 +48,7 @@ def odd_ids(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["manifest_violations", "run_metadata"])
+@pytest.mark.parametrize("name", ["manifest_violations", "run_metadata", "sample_per_group"])
 def test_manifest_queries_take_every_id(spark, odd_ids, name):
     con = connect(str(odd_ids) + "/none")
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd_ids}/documents.parquet/*.parquet'")
