@@ -81,6 +81,19 @@ def test_a_descent_deals_each_side_to_its_cubes_once(spark, monkeypatch):
     assert dealt.count("l") == 1
 
 
+def test_the_tier_summary_by_descent_deals_its_candidates_once(spark, sf_dir, monkeypatch):
+    from oracle_compare import compare, connect
+
+    from __spark_entry__ import oracle_sql, queries
+
+    dealt, cubes = [], nearest._cubes
+    monkeypatch.setattr(nearest, "_cubes", lambda points, level, side: dealt.append(side) or cubes(points, level, side))
+    monkeypatch.setattr(nearest.nearest_distance, "__defaults__", (None, None, 0))
+    found = queries()["distance_tier_summary"](spark, sf_dir)
+    assert dealt.count("l") == 1
+    assert compare(found, oracle_sql()["distance_tier_summary"], connect(sf_dir)) is None
+
+
 def test_a_descent_by_short_lists_keeps_every_left_row(spark, monkeypatch):
     """Hot cubes fill several lists on both sides; rows that lie nowhere have no distance, copies have one each."""
     monkeypatch.setattr(nearest, "_PART_ROWS", 5)
