@@ -191,6 +191,37 @@ def test_search_equals_scoring_all(spark, monkeypatch):
         assert np.allclose([s for _, s in got[query]], [-s for s, _ in best], atol=2e-9)
 
 
+@pytest.mark.parametrize("mostly, pairs", [(0.75, 4_096), (1.0, 5)])
+def test_a_batch_of_queries_is_searched_at_once(monkeypatch, mostly, pairs):
+    monkeypatch.setattr(top_k, "MOSTLY", mostly)
+    monkeypatch.setattr(top_k, "PAIRS", pairs)
+    draw = np.random.default_rng(3)
+    n, kinds = 1_000, 400
+    times = (draw.random((n, kinds)) < np.linspace(0.2, 0.002, kinds)) * draw.integers(1, 4, (n, kinds))
+    times[600:640] = times[600]  # copies: ties that go to the lower id
+    words = np.sort(draw.integers(1, 2**63, kinds).astype(np.uint64))
+    word, place = np.nonzero(times.T)
+    row = {
+        "ids": list(range(n)), "words": words.tobytes(), "heads": np.searchsorted(word, np.arange(kinds + 1)).tobytes(),
+        "places": place.astype(np.uint16).tobytes(), "times": times.T[word, place].astype(np.uint32).tobytes(),
+        "lengths": times.sum(axis=1).tobytes(),
+    }
+    weights = draw.random(kinds)
+    asked = [
+        {"query_id": i, "words": words[own].view(np.int64), "weights": weights[own]}
+        for i in range(0, n, 20) if len(own := np.flatnonzero(times[i]))
+    ]
+    common, mean = words[:32], times.sum() / n
+    block = top_k.Block.of(asked, common)
+    queries, places, scores = top_k.Shard.read(row, block, common, mean).best(0, len(asked), 10)
+    impacts = times * 2.2 / (times + 1.2 * (0.25 + 0.75 * times.sum(axis=1, keepdims=True) / mean))
+    for number, query in enumerate(block.ids):
+        exact = np.round(impacts @ (weights * (times[query] > 0)), 9)
+        best = np.lexsort((np.arange(n), -exact))[:10]
+        assert places[queries == number].tolist() == best.tolist()
+        assert np.allclose(scores[queries == number], exact[best], atol=2e-9)
+
+
 def test_tiles_are_bounded_in_shingles_and_sets(spark):
     rows = [(1, 15_000 + i % 3, i) for i in range(600)] + [(1, 2, 1_000 + i) for i in range(5_000)] + [(2, 9, 9_000)]
     frame = spark.createDataFrame(rows, "family bigint, size bigint, set bigint")
