@@ -41,7 +41,7 @@ ROUNDS = 16
 #: Tokens of the longest text that is trained on in one piece, and of a longer one's pieces.
 WHOLE, SEGMENT = 16_384, 256
 #: Tokens whose recursions are held at once, unless one text has more.
-HELD_TOKENS = 1 << 19
+HELD_TOKENS = 1 << 20
 #: Steps after which probabilities are scaled; each multiplies them by 1e-13 or more.
 RESCALE = 16
 #: Most frequent words whose counts are shipped to the tasks: two megabytes.
@@ -111,9 +111,11 @@ def log_likelihoods(model: States, symbols: np.ndarray, begins: np.ndarray, leng
     for step, n in enumerate(active):
         alpha = alpha[:n] if step == 0 else alpha[:n] @ model.move
         alpha = alpha * model.emit[symbols[begins[:n] + step]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        total[:n] += np.log10(scale)
+        # Scaled now and then, and where texts end.
+        if step % RESCALE == RESCALE - 1 or step + 1 == len(active) or active[step + 1] < n:
+            scale = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+            total[:n] += np.log10(scale)
     out = np.empty(len(order))
     out[order] = total
     return out
@@ -136,51 +138,50 @@ def expected_counts(
     order, active = _by_length(lengths)
     firsts = firsts[order]
     times = np.ones(len(order)) if times is None else times[order].astype(np.float64)
-    # Step by step, one row a state: what one step needs lies together.
+    # Step by step, one row a token: what one step needs lies together.
     starts = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
     begins = (np.cumsum(lengths) - lengths)[order]
     joined = np.concatenate(segments)
     symbols = np.empty(len(joined), dtype=np.int64)
-    for step, n in enumerate(active):
-        symbols[starts[step]:starts[step + 1]] = joined[begins[:n] + step]
-    emit, onward = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    last = np.ones((states, len(order))) if afters is None else np.ascontiguousarray(afters[order].T)
-    come = None if carried is None else np.ascontiguousarray(carried[order].T)
-    before = model.mean()[:, None] if come is None else onward @ come
-    alpha = np.where(firsts, model.start[:, None], before)
-    alphas, seen = [], []
-    for step, n in enumerate(active):
+    edges = starts.tolist()
+    for step, n in enumerate(active.tolist()):
+        symbols[edges[step]:edges[step + 1]] = joined[begins[:n] + step]
+    back = np.ascontiguousarray(model.move.T)
+    last = np.ones((len(order), states)) if afters is None else afters[order]
+    come = None if carried is None else carried[order]
+    before = model.mean() if come is None else come @ model.move
+    alpha = np.where(firsts[:, None], model.start, before)
+    seen = model.emit.take(symbols, axis=0, mode="clip")
+    alphas = np.empty_like(seen)
+    for step, n in enumerate(active.tolist()):
         if step:
-            alpha = onward @ alpha[:, :n]
-        own = emit.take(symbols[starts[step]:starts[step + 1]], axis=1, mode="clip")
-        alpha *= own
+            alpha = alpha[:n] @ model.move
+        own = seen[edges[step]:edges[step + 1]]
+        alpha = np.multiply(alpha, own, out=alphas[edges[step]:edges[step + 1]])
         if step % RESCALE == 0:
-            scale = 1 / alpha.sum(axis=0)
+            scale = 1 / alpha.sum(axis=1, keepdims=True)
             alpha *= scale
             own *= scale
-        alphas.append(alpha)
-        seen.append(own)
     moves = np.zeros((states, states))
-    shares = np.empty((states, len(symbols)))
-    ahead = last[:, :0]
+    ahead, m = last[:0], 0
     for step in range(len(active) - 1, -1, -1):
-        alpha, m = alphas.pop(), ahead.shape[1]
-        beta = model.move @ ahead
+        alpha, n = alphas[edges[step]:edges[step + 1]], edges[step + 1] - edges[step]
+        beta = ahead @ back
         if m:
-            moves += alpha[:, :m] @ ahead.T
-        if m < active[step]:  # texts that end here: all their paths together weigh as often as they count
-            own = last[:, m:active[step]]
-            beta = np.concatenate([beta, own * (times[m:active[step]] / (alpha[:, m:] * own).sum(axis=0))], axis=1)
-        np.multiply(alpha, beta, out=shares[:, starts[step]:starts[step + 1]])
-        ahead = seen.pop()
+            moves += alpha[:m].T @ ahead
+        if m < n:  # texts that end here: all their paths together weigh as often as they count
+            own = last[m:n]
+            beta = np.concatenate([beta, own * (times[m:n] / (alpha[m:] * own).sum(axis=1))[:, None]])
+        alpha *= beta  # from here on the states' shares
+        ahead, m = seen[edges[step]:edges[step + 1]], n
         ahead *= beta
     if come is not None and len(active):
-        moves += come[:, ~firsts] @ ahead[:, ~firsts].T
+        moves += come[~firsts].T @ ahead[~firsts]
     counts = np.zeros((CLASSES + 1 + states + 1, states))
     for state in range(states):
-        counts[:CLASSES + 1, state] = np.bincount(symbols, shares[state], CLASSES + 1)
+        counts[:CLASSES + 1, state] = np.bincount(symbols, alphas[:, state], CLASSES + 1)
     counts[CLASSES + 1:CLASSES + 1 + states] = moves * model.move
-    counts[-1] = shares[:, :len(order)][:, firsts].sum(axis=1)
+    counts[-1] = alphas[:len(order)][firsts].sum(axis=0)
     return counts
 
 

@@ -139,3 +139,20 @@ def test_segments_are_different_texts(spark):
     rows = [("a b",), ("a b",), ("A  b",), (None,), ("",), ("c",)] * 40
     got = hm._segments(spark.createDataFrame(rows, "text string").repartition(5)).collect()
     assert sorted(r["times"] for r in got) == [40, 80, 120]
+
+
+def test_long_texts_share_their_steps(monkeypatch):
+    steps = []
+    counted = hm.expected_counts
+
+    def watched(model, segments, *rest, **named):
+        steps.append(max(map(len, segments)))
+        return counted(model, segments, *rest, **named)
+
+    monkeypatch.setattr(hm, "expected_counts", watched)
+    texts = [np.full(3_000 + i, 5, dtype=np.uint16) for i in range(300)]
+    total = hm.text_counts(hm.States.drawn(2), texts)
+    # A step costs the same for few texts as for many: 900,000 tokens take those of one text.
+    assert steps == [3_299]
+    assert np.isclose(total[5].sum(), sum(map(len, texts)))
+    assert np.isclose(total[-1].sum(), len(texts))
