@@ -41,11 +41,16 @@ ROUNDS = 16
 #: Tokens of the longest text that is trained on in one piece, and of a longer one's pieces.
 WHOLE, SEGMENT = 16_384, 256
 #: Tokens whose recursions are held at once, unless one text has more.
-HELD_TOKENS = 1 << 20
+HELD_TOKENS = 1 << 21
+#: Tokens of the steps that are worked on together, which stay in the processor's cache.
+BLOCK_TOKENS = 1 << 14
 #: Steps after which probabilities are scaled; each multiplies them by 1e-13 or more.
 RESCALE = 16
 #: Most frequent words whose counts are shipped to the tasks: two megabytes.
 SHIPPED_WORDS = 1 << 17
+#: First bits of a word's hash by which it is looked up among them.
+HEAD_BITS = 18
+_HEAD = np.uint64(64 - HEAD_BITS)
 #: Classes of counts to each doubling, from which the shipped words are chosen.
 COUNT_CLASSES = 16
 #: Distinct words that a task gathers before it sums them up.
@@ -102,20 +107,37 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, len(lengths) - np.searchsorted(ascending, np.arange(longest), side="right")
 
 
+def _step_blocks(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last step of blocks of at most ``BLOCK_TOKENS`` tokens, or one step."""
+    begin, steps = 0, len(starts) - 1
+    while begin < steps:
+        end = int(np.searchsorted(starts, starts[begin] + BLOCK_TOKENS, side="right")) - 1
+        end = min(steps, max(end, begin + 1))
+        yield begin, end
+        begin = end
+
+
 def log_likelihoods(model: States, symbols: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of every sequence of ``symbols``, by the scaled forward recursion."""
     order, active = _by_length(lengths)
     begins = begins[order]
     total = np.zeros(len(order))
-    alpha = np.tile(model.start, (len(order), 1))
-    for step, n in enumerate(active):
-        alpha = alpha[:n] if step == 0 else alpha[:n] @ model.move
-        alpha = alpha * model.emit[symbols[begins[:n] + step]]
-        # Scaled now and then, and where texts end.
-        if step % RESCALE == RESCALE - 1 or step + 1 == len(active) or active[step + 1] < n:
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
+    alpha, spare = np.tile(model.start, (len(order), 1)), np.empty((len(order), len(model.start)))
+    widths = [*active.tolist(), 0]
+    for step, n in enumerate(widths[:-1]):
+        if step:
+            np.dot(alpha[:n], model.move, out=spare[:n])
+            alpha, spare = spare, alpha
+        own = alpha[:n]
+        own *= model.emit.take(symbols.take(begins[:n] + step, mode="clip"), axis=0, mode="clip")
+        # Scaled now and then; texts that end here add what is left.
+        if step % RESCALE == RESCALE - 1:
+            scale = own.sum(axis=1)
+            own /= scale[:, None]
             total[:n] += np.log10(scale)
+        m = widths[step + 1]
+        if m < n:
+            total[m:n] += np.log10(own[m:].sum(axis=1))
     out = np.empty(len(order))
     out[order] = total
     return out
@@ -142,46 +164,67 @@ def expected_counts(
     starts = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
     begins = (np.cumsum(lengths) - lengths)[order]
     joined = np.concatenate(segments)
-    symbols = np.empty(len(joined), dtype=np.int64)
-    edges = starts.tolist()
-    for step, n in enumerate(active.tolist()):
-        symbols[edges[step]:edges[step + 1]] = joined[begins[:n] + step]
+    symbols = np.empty(len(joined), dtype=joined.dtype)
+    edges, widths = starts.tolist(), active.tolist()
+    for step, n in enumerate(widths):
+        joined.take(begins[:n] + step, out=symbols[edges[step]:edges[step] + n], mode="clip")
+    blocks = list(_step_blocks(starts))
     back = np.ascontiguousarray(model.move.T)
     last = np.ones((len(order), states)) if afters is None else afters[order]
     come = None if carried is None else carried[order]
     before = model.mean() if come is None else come @ model.move
-    alpha = np.where(firsts[:, None], model.start, before)
-    seen = model.emit.take(symbols, axis=0, mode="clip")
-    alphas = np.empty_like(seen)
-    for step, n in enumerate(active.tolist()):
-        if step:
-            alpha = alpha[:n] @ model.move
-        own = seen[edges[step]:edges[step + 1]]
-        alpha = np.multiply(alpha, own, out=alphas[edges[step]:edges[step + 1]])
-        if step % RESCALE == 0:
-            scale = 1 / alpha.sum(axis=1, keepdims=True)
-            alpha *= scale
-            own *= scale
+    alphas, scales = np.empty((len(joined), states)), {}
+    for begin, end in blocks:
+        seen = model.emit.take(symbols[edges[begin]:edges[end]], axis=0, mode="clip")
+        for step in range(begin, end):
+            at, n = edges[step], widths[step]
+            alpha = alphas[at:at + n]
+            if step:
+                above = edges[step - 1]
+                np.dot(alphas[above:above + n], model.move, out=alpha)
+            else:
+                alpha[:] = np.where(firsts[:, None], model.start, before)
+            alpha *= seen[at - edges[begin]:at - edges[begin] + n]
+            if step % RESCALE == 0:
+                scale = scales[step] = 1 / alpha.sum(axis=1, keepdims=True)
+                alpha *= scale
+    # Backward, what a block of steps needs is taken again and summed up while it is at hand.
+    counts = np.zeros((CLASSES + 1 + states + 1, states))
     moves = np.zeros((states, states))
-    ahead, m = last[:0], 0
-    for step in range(len(active) - 1, -1, -1):
-        alpha, n = alphas[edges[step]:edges[step + 1]], edges[step + 1] - edges[step]
-        beta = ahead @ back
-        if m:
-            moves += alpha[:m].T @ ahead
-        if m < n:  # texts that end here: all their paths together weigh as often as they count
-            own = last[m:n]
-            beta = np.concatenate([beta, own * (times[m:n] / (alpha[m:] * own).sum(axis=1))[:, None]])
-        alpha *= beta  # from here on the states' shares
-        ahead, m = seen[edges[step]:edges[step + 1]], n
-        ahead *= beta
-    if come is not None and len(active):
+    ahead = last[:0]
+    for begin, end in reversed(blocks):
+        first, stop = edges[begin], edges[end]
+        own = symbols[first:stop].astype(np.intp)
+        seen = model.emit.take(own, axis=0, mode="clip")
+        # Beside each token: its backward value, and that of the next token with its emission.
+        betas, nexts = np.empty_like(seen), np.zeros_like(seen)
+        nexts[edges[end - 1] - first:edges[end - 1] - first + len(ahead)] = ahead
+        for step in range(end - 1, begin - 1, -1):
+            at, n, m = edges[step] - first, widths[step], len(ahead)
+            beta = betas[at:at + n]
+            if m:
+                np.dot(ahead, back, out=beta[:m])
+            if m < n:  # texts that end here: all their paths together weigh as often as they count
+                ends = last[m:n]
+                beta[m:] = ends * (times[m:n] / (alphas[first + at + m:first + at + n] * ends).sum(axis=1))[:, None]
+            emitted = seen[at:at + n]
+            if step in scales:
+                emitted *= scales[step]
+            if step > begin:
+                above = edges[step - 1] - first
+                ahead = np.multiply(emitted, beta, out=nexts[above:above + n])
+            else:
+                ahead = emitted * beta
+        alpha = alphas[first:stop]
+        moves += alpha.T @ nexts
+        betas *= alpha  # from here on the states' shares
+        for state in range(states):
+            counts[:CLASSES + 1, state] += np.bincount(own, betas[:, state], CLASSES + 1)
+        if begin == 0:
+            counts[-1] = betas[:len(order)][firsts].sum(axis=0)
+    if come is not None:
         moves += come[~firsts].T @ ahead[~firsts]
-    counts = np.zeros((CLASSES + 1 + states + 1, states))
-    for state in range(states):
-        counts[:CLASSES + 1, state] = np.bincount(symbols, alphas[:, state], CLASSES + 1)
     counts[CLASSES + 1:CLASSES + 1 + states] = moves * model.move
-    counts[-1] = alphas[:len(order)][firsts].sum(axis=0)
     return counts
 
 
@@ -299,11 +342,20 @@ def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> State
     return model
 
 
+def _summed(words: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every distinct word, its class and the sum of its counts."""
+    order = np.argsort(words)
+    ordered = words[order]
+    heads = np.flatnonzero(np.append(np.ones(min(1, len(words)), dtype=bool), ordered[1:] != ordered[:-1]))
+    if not len(heads):
+        return words, classes, counts
+    return ordered[heads], classes[order[heads]], np.add.reduceat(counts[order], heads)
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), class and n of every distinct word of ``docs``."""
     def summed(words: list, classes: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, at, numbers = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        return keys, np.concatenate(classes)[at], np.bincount(numbers, np.concatenate(counts)).astype(np.int64)
+        return _summed(np.concatenate(words), np.concatenate(classes), np.concatenate(counts))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> pa.RecordBatch:
@@ -316,9 +368,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         words, classes, counts = [], [], []
         for batch in stream:
             for _, _, hashes, _, tails in hashed_words(batch.column(0)):
-                keys, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                keys, ends, n = _summed(hashes, tails, np.ones(len(hashes), dtype=np.int64))
                 words.append(keys)
-                classes.append(_classes(tails[at]))
+                classes.append(_classes(ends))
                 counts.append(n)
                 if sum(map(len, words)) >= GATHERED_WORDS:
                     if len(words) == 1:
@@ -337,6 +389,25 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+class Places:
+    """Where words are among sorted ``words``: hashes are spread evenly, so their first bits tell nearly."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        heads = np.bincount((words >> _HEAD).astype(np.intp), minlength=1 << HEAD_BITS)
+        self.firsts = (np.cumsum(heads) - heads).astype(np.int32)
+        # No word is above the last, so a search ends there.
+        self.words = np.append(words, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """``np.searchsorted`` of ``words``."""
+        at = self.firsts[words >> _HEAD].astype(np.intp)
+        below = np.flatnonzero(self.words[at] < words)
+        while len(below):
+            at[below] += 1
+            below = below[self.words[at[below]] < words[below]]
+        return at
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Counts of the training corpus: the shipped words, and what the classes hold."""
@@ -387,6 +458,7 @@ def score_corpus(docs: DataFrame, training: Column) -> DataFrame:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, model = shipped.value
         frequent_logs = np.log10(corpus.counts + SMOOTHING)
+        places = Places(corpus.words)
         for batch in stream:
             n_words, known, logs, class_logs, symbols = [], [], [], [], []
             rare_words, rare_counts, rare_rows = [], [], []
@@ -394,7 +466,7 @@ def score_corpus(docs: DataFrame, training: Column) -> DataFrame:
                 classes = _classes(tails)
                 rows = stop - start
                 if len(corpus.words):
-                    at = np.minimum(np.searchsorted(corpus.words, hashes), len(corpus.words) - 1)
+                    at = np.minimum(places.of(hashes), len(corpus.words) - 1)
                     found = corpus.words[at] == hashes
                     own = np.where(found, frequent_logs[at], 0.0)
                 else:
@@ -418,7 +490,7 @@ def score_corpus(docs: DataFrame, training: Column) -> DataFrame:
                 continue
             lengths = np.concatenate(n_words) + 1
             likely = log_likelihoods(
-                model, np.concatenate(symbols).astype(np.int64), np.cumsum(lengths) - lengths, lengths
+                model, np.concatenate(symbols), np.cumsum(lengths) - lengths, lengths
             )
             borders = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rare_rows))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(

@@ -156,3 +156,58 @@ def test_long_texts_share_their_steps(monkeypatch):
     assert steps == [3_299]
     assert np.isclose(total[5].sum(), sum(map(len, texts)))
     assert np.isclose(total[-1].sum(), len(texts))
+
+
+def test_blocks_of_steps_give_the_same_counts(monkeypatch):
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(0, hm.CLASSES + 1, n).astype(np.uint16) for n in (1, 2, 17, 17, 33, 60)]
+    firsts, times = np.array([True, False, True, True, False, True]), np.arange(1, 7)
+    carried, afters = draw.random((6, 3)), draw.random((6, 3))
+    model = hm.States.drawn(3, seed=4)
+    whole = hm.expected_counts(model, texts, firsts, carried, afters, times)
+    for most in (1, 5, 64):
+        monkeypatch.setattr(hm, "BLOCK_TOKENS", most)
+        assert np.allclose(hm.expected_counts(model, texts, firsts, carried, afters, times), whole, rtol=1e-12)
+    assert np.isclose(whole[:hm.CLASSES + 1].sum(), sum(len(x) * n for x, n in zip(texts, times, strict=True)))
+
+
+def test_two_million_tokens_share_their_steps(monkeypatch):
+    steps = []
+    counted = hm.expected_counts
+    monkeypatch.setattr(hm, "expected_counts", lambda m, own, *a, **k: steps.append(len(own)) or counted(m, own, *a, **k))
+    total = hm.text_counts(hm.States.drawn(2), [np.full(2_000, 5, dtype=np.uint16)] * 1_000)
+    assert steps == [1_000]
+    assert np.isclose(total[5].sum(), 2_000_000)
+
+
+def test_long_sequences_keep_their_likelihood():
+    draw = np.random.default_rng(9)
+    model = hm.States.drawn(3, seed=5)
+    texts = [draw.integers(0, hm.CLASSES + 1, n) for n in (500, 16, 1, 15, 17, 32)]
+    lengths = np.array([len(x) for x in texts])
+    got = hm.log_likelihoods(model, np.concatenate(texts), np.cumsum(lengths) - lengths, lengths)
+    for i, own in enumerate(texts):
+        alpha, expected = model.start, 0.0
+        for at, symbol in enumerate(own):
+            alpha = (alpha @ model.move if at else alpha) * model.emit[symbol]
+            expected += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert abs(got[i] - expected) < 1e-9
+
+
+def test_words_are_found_by_their_first_bits():
+    draw = np.random.default_rng(10)
+    top = np.iinfo(np.uint64).max
+    for n in (1, 2, 5_000):
+        words = np.unique(draw.integers(0, top, n, dtype=np.uint64, endpoint=True) >> np.uint64(draw.integers(0, 40)))
+        asked = np.concatenate([words, words + np.uint64(1), words - np.uint64(1), np.array([0, 1, top], dtype=np.uint64)])
+        assert np.array_equal(hm.Places(words).of(asked), np.searchsorted(words, asked))
+
+
+def test_counts_of_equal_words_are_summed():
+    words, kinds, n = hm._summed(
+        np.array([7, 3, 7, 2**63 + 1, 3, 7], dtype=np.uint64), np.array([1, 2, 1, 4, 2, 1]), np.array([1, 10, 100, 5, 20, 1_000])
+    )
+    assert (words.tolist(), kinds.tolist(), n.tolist()) == ([3, 7, 2**63 + 1], [2, 1, 4], [30, 1_101, 5])
+    empty = hm._summed(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert [len(x) for x in empty] == [0, 0, 0]
