@@ -2,10 +2,16 @@
 
 1. Every document becomes the set of hashes of its shingles. Equal sets are one set from
    here on, whatever the number of copies.
-2. A set's keys are its first shingles in the order of their hashes: as many as may be
+2. From ``PARTED`` per cent on, a set is cut by ranges of its hashes into parts: as many as
+   shingles may be in only one of two linked sets of such sizes, and m more. So m parts at
+   least are the same in both. Each part as a whole is a key, but for the m - 1 that hold
+   least, as one shared key must remain. Single shingles, which more sets share by chance
+   the more sets there are, bring nobody together.
+   Below, where parts would be as small as shingles, a set's keys are its first shingles in
+   the order of their hashes: as many as may be
    missing from a partner, and m more. Linked sets share at least m keys. A set that
    shares fewer with all other sets together has no links and is done. Of the others'
-   keys the m - 1 that most sets share are left out, as one shared key must remain. So
+   keys the m - 1 that most sets share are left out. So
    common passages bring nobody together.
 3. Sets that share a key that is left and whose sizes allow a link are chained, and the
    chains' connected components are families: no link leaves a family.
@@ -28,6 +34,7 @@ no other. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +53,12 @@ TILE_SHINGLES, SET_SHINGLES = 1 << 20, 1 << 10
 SIGNATURE_BITS = 2_048
 #: One shared key more is asked for with so many shingles that may be missing.
 SPARE = 3
+#: Sets that link from so many per cent on are cut into parts.
+PARTED = 85
+#: One part more is left out with so many shingles that only one of two sets may have.
+SPARE_PARTS = 6
+#: Sizes from one of these numbers up to the next are cut into as many parts.
+RUNGS = np.unique(np.floor(1.5 ** np.arange(80)).astype(np.int64))
 #: Rounds that take out sets which share too little with those that are left.
 PRUNING = 2
 #: Rows whose sets are made at once.
@@ -71,6 +84,17 @@ class Likeness:
         shared = 1 + min(missing // SPARE, size - missing - 1)
         return missing + shared, shared
 
+    @functools.cached_property
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of every rung of sizes, in how many parts its sets are cut, and how many of these are keys.
+
+        No parts where sets of a rung link only if they are equal.
+        """
+        most = RUNGS[1:] - 1
+        only_one = 2 * most * (100 - self.per_cent) // (100 + self.per_cent)
+        keys = np.where(only_one > 0, only_one + 1, 0)
+        return np.where(only_one > 0, keys + 2 + only_one // SPARE_PARTS, 0), keys
+
     def sizes_fit(self, small, large):
         """Whether sets of these sizes can link at all."""
         return 100 * small >= self.per_cent * large
@@ -103,22 +127,64 @@ def _set_name(shingles: np.ndarray) -> int:
         return int(mix64(np.array([total ^ np.uint64(len(shingles))]))[0].astype(np.int64))
 
 
+def part_keys(sets: list[np.ndarray], like: Likeness) -> list[np.ndarray]:
+    """Keys of every set: hashes of its parts, without those that hold least.
+
+    A set is cut as the sets of its own rung are, and as those of each higher rung in
+    which it may have partners.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    own = np.searchsorted(RUNGS, sizes, side="right") - 1
+    found: list[list[np.ndarray]] = [[] for _ in sets]
+    rows, rungs = np.flatnonzero(sizes), own[sizes > 0]
+    while len(rows):
+        cut = like.parts[0][rungs] > 0
+        for row, keys in zip(rows[cut], _cut([sets[i] for i in rows[cut]], rungs[cut], like), strict=True):
+            found[row].append(keys)
+        near = like.sizes_fit(sizes[rows], RUNGS[rungs + 1])
+        rows, rungs = rows[near], rungs[near] + 1
+    return [np.concatenate([np.zeros(0, dtype=np.uint64), *x]) for x in found]
+
+
+def _cut(sets: list[np.ndarray], rungs: np.ndarray, like: Likeness) -> Iterator[np.ndarray]:
+    """The keys of each set, cut as the sets of a rung are."""
+    if not sets:
+        return
+    parts, keys = (x[rungs] for x in like.parts)
+    before = np.cumsum(parts) - parts
+    sizes = [len(x) for x in sets]
+    shingles = np.concatenate(sets)
+    high, low = shingles >> np.uint64(32), np.uint64(32)
+    part = ((high * np.repeat(parts.astype(np.uint64), sizes)) >> low).astype(np.int64) + np.repeat(before, sizes)
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    total = int(parts.sum())
+    held, names = np.bincount(part, minlength=total), np.zeros(total, dtype=np.uint64)
+    names[part[heads]] = np.add.reduceat(mix64(shingles + np.uint64(0x2545F491)), heads)
+    row, place = np.repeat(np.arange(len(sets)), parts), np.arange(total) - np.repeat(before, parts)
+    names = mix64(names ^ mix64((np.repeat(rungs, parts) << 32 | place).astype(np.uint64)))
+    order = np.lexsort((names, held, row))
+    kept = names[order[place >= np.repeat(parts - keys, parts)]]
+    yield from np.split(kept, np.cumsum(keys)[:-1])
+
+
 def _keyed(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, text_hash, size, set (name), keys and needed (shared ones) of every document."""
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for at in range(0, len(batch), SET_ROWS):
                 piece = batch.slice(at, SET_ROWS)
-                sizes, names, keys, needed = [], [], [], []
-                for shingles in shingle_sets(piece.column(2), like.words):
-                    sizes.append(len(shingles))
-                    names.append(_set_name(shingles) if len(shingles) else None)
-                    length, shared = like.prefix(len(shingles)) if len(shingles) else (0, 0)
-                    keys.append(shingles[:length].view(np.int64))
-                    needed.append(shared)
+                sets = list(shingle_sets(piece.column(2), like.words))
+                names = [_set_name(x) if len(x) else None for x in sets]
+                if like.per_cent >= PARTED:
+                    keys, needed = part_keys(sets, like), [1] * len(sets)
+                else:
+                    prefixes = [like.prefix(len(x)) if len(x) else (0, 0) for x in sets]
+                    keys = [x[:length] for x, (length, _) in zip(sets, prefixes, strict=True)]
+                    needed = [shared for _, shared in prefixes]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(needed, pa.int32())],
+                    [piece.column(0), piece.column(1), pa.array([len(x) for x in sets], pa.int64()),
+                     pa.array(names, pa.int64()), pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64())),
+                     pa.array(needed, pa.int32())],
                     names=["doc_id", "text_hash", "size", "set", "keys", "needed"],
                 )
 
@@ -149,14 +215,17 @@ def _chains(keyed: DataFrame, like: Likeness) -> DataFrame:
     sets = keyed.where(F.col("size") > 0).groupBy("set").agg(
         F.first("size").alias("size"), F.first("needed").alias("needed"), F.first("keys").alias("keys")
     )
-    entries = sets.select("set", "needed", F.explode("keys").alias("key"))
-    for _ in range(PRUNING):
-        entries = cut_lineage(_shared(entries.select("key", "set", "needed")))
-    # The keys that most sets share are spared, as many as may be.
-    common_first = Window.partitionBy("set").orderBy(F.col("sharing").desc(), "key")
-    kept = entries.withColumn("place", F.row_number().over(common_first)).where(
-        F.col("place") >= F.col("needed")
-    ).select("key", "set").join(sets.select("set", "size"), "set")
+    if like.per_cent >= PARTED:
+        kept = sets.select("set", "size", F.explode("keys").alias("key"))
+    else:
+        entries = sets.select("set", "needed", F.explode("keys").alias("key"))
+        for _ in range(PRUNING):
+            entries = cut_lineage(_shared(entries.select("key", "set", "needed")))
+        # The keys that most sets share are spared, as many as may be.
+        common_first = Window.partitionBy("set").orderBy(F.col("sharing").desc(), "key")
+        kept = entries.withColumn("place", F.row_number().over(common_first)).where(
+            F.col("place") >= F.col("needed")
+        ).select("key", "set").join(sets.select("set", "size"), "set")
     by_size = Window.partitionBy("key").orderBy("size", "set")
     so_far = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.lag("size").over(by_size)

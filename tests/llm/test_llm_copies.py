@@ -229,3 +229,29 @@ def test_tiles_are_bounded_in_shingles_and_sets(spark):
     assert sum(r["count(set)"] for r in tiles) == len(rows)
     assert max(r["sum(size)"] for r in tiles) <= 3 * jaccard.TILE_SHINGLES
     assert max(r["count(set)"] for r in tiles) <= 3 * jaccard.TILE_SHINGLES // jaccard.SET_SHINGLES
+
+
+def test_linked_sets_share_a_part():
+    draw, like, links = np.random.default_rng(3), jaccard.Likeness(3, 90), 0
+    for _ in range(1_500):
+        n = int(draw.integers(10, 400))
+        most = n // 9 + 1
+        own = draw.integers(0, 2**63, n + most, dtype=np.uint64)
+        less, more = int(draw.integers(0, most)), int(draw.integers(0, most))
+        one, two = np.unique(own[:n]), np.unique(own[less:n + more])
+        common = len(np.intersect1d(one, two))
+        if common < max(len(one), len(two)) and 100 * common >= 90 * (len(one) + len(two) - common):
+            links += 1
+            assert len(np.intersect1d(*jaccard.part_keys([one, two], like)))
+    assert links > 200
+
+
+def test_shingles_shared_by_chance_make_no_family(spark):
+    """As many texts as these, of as few words, share some shingle with many others each."""
+    draw, like = random.Random(8), jaccard.Likeness(3, 90)
+    texts = [draw.choices("abcdefghijklmnopqrst", k=100) for _ in range(400)]
+    near = [*texts[0][:50], "z", *texts[0][51:]]
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([*texts, near])], TEXTS)
+    families = components.connected(jaccard._chains(jaccard._keyed(frame, like), like))
+    assert families.count() == 2
+    assert {r["doc_id"] for r in jaccard.linked_documents(frame, like).collect() if r["n_links"]} == {0, 400}
