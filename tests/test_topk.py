@@ -134,3 +134,28 @@ def test_grid_writes_each_vector_once(spark):
     whole = topk.shipped_topk(queries, index, 3)
     key = lambda r: (r["query_id"], r["rank"])
     assert [r["item_id"] for r in sorted(found.collect(), key=key)] == [r["item_id"] for r in sorted(whole.collect(), key=key)]
+
+
+def test_near_copies_are_met_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 16))
+    index = (np.repeat(base, 20, axis=0) + 0.02 * rng.normal(size=(1_200, 16)))[rng.permutation(1_200)]
+    unit = index / np.linalg.norm(index, axis=1, keepdims=True)
+    order, heads, radii = topk.grouped(unit)
+    assert len(heads) == 60 and sorted(order) == list(range(1_200))
+    assert radii.max() < topk.GROUP_RADIUS
+    scored = []
+    monkeypatch.setattr(topk, "_pair_scores", lambda *x, f=topk._pair_scores: scored.append(len(x[2])) or f(*x))
+    queries = base + 0.02 * rng.normal(size=base.shape)
+    running = topk._Running([f"q{i}" for i in range(60)], queries / np.linalg.norm(queries, axis=1, keepdims=True), 5)
+    items = np.array([f"i{i}" for i in order], dtype=object)
+    for _ in range(2):  # the second time bounds are known, which rule out all other groups
+        scored.clear()
+        running.offer(unit[order], order, items, items, False, topk.Groups.of(heads, radii, 1_200))
+    assert sum(scored) <= 60 * 20
+    left = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "query_id string, vector array<double>")
+    right = spark.createDataFrame(
+        [(f"i{i}", i, None, v.tolist()) for i, v in enumerate(index)],
+        "item_id string, position bigint, item_label string, vector array<double>",
+    )
+    assert as_lists(topk.grid_topk(left, right, 60, 1_200, 5, chunk_rows=100, part_rows=400)) == brute(queries, index, 5)
